@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lines import op6_line_dedup
+from .simhash import op1_simhash
 from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
+        "op6_line_dedup": op6_line_dedup,
         "op7_toxicity": op7_toxicity,
     }
 
