@@ -149,10 +149,10 @@ def boilerplate(docs: DataFrame, occurrences: DataFrame, text_col: str = "text")
     return members.join(bad, "template", "left_semi").select("line")
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str = "dropped_lines") -> DataFrame:
+def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str | None = "dropped_lines") -> DataFrame:
     """``docs`` without the lines of recurring templates.
 
-    Adds ``dropped``: the positions of the dropped lines, from 0.  Null texts
+    Adds ``dropped`` (unless None): positions of the dropped lines, from 0.  Null texts
     stay null, empty ones empty; lines under ``MIN_TOKENS`` tokens and blank
     lines are never dropped; repeated rows are cleaned alike; ``n_chars`` is
     set anew where the text changed; all other columns are untouched.
@@ -181,7 +181,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str = "dropped
             out.append(F.when(F.size(pos) > 0, F.length(kept).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(quoted(c)))
-    return with_pos.select(*out, F.col(pos).alias(dropped))
+    return with_pos.select(*out, *([F.col(pos).alias(dropped)] if dropped else []))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

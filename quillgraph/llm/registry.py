@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op9_decontaminate
 from .lines import op6_line_dedup
+from .packing import op5_packing
 from .simhash import op1_simhash
 from .toxicity import op7_toxicity
 
@@ -14,10 +17,14 @@ from .toxicity import op7_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op5_packing": op5_packing,
         "op6_line_dedup": op6_line_dedup,
         "op7_toxicity": op7_toxicity,
+        "op9_decontaminate": op9_decontaminate,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in found.items() if v}
