@@ -9,17 +9,19 @@ their lines are dropped wherever they stand.
 
 Copies of one document repeat all its lines; that is for near-duplicate
 removal to settle, not a reason to empty them.  So support is counted over
-distinct texts, and texts are told apart by a one-hash MinHash of their words:
-a template must come with at least ``MIN_DOCS`` different MinHash values, and
+distinct texts, and texts are told apart by a one-hash MinHash of all but the
+line in question: a template must come with at least ``MIN_DOCS`` different MinHash values, and
 with as many as a share ``UNRELATED`` of its texts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,28 +32,52 @@ MIN_DOCS = 3
 MIN_TOKENS = 3
 SIMILAR = 0.7
 UNRELATED = 0.3
-#: Rows up to which a table of hashes is broadcast; larger ones are shuffled.
+#: Hashes up to which a set of lines is broadcast (16 MB); a larger one is joined by shuffling.
 BROADCAST_ROWS = 2_000_000
-_VARIABLE = r"(?<!\S)[^\s\d]*+\d\S*+"
+_VARIABLE, _DIGIT = re.compile(r"(?<!\S)[^\s\d]*+\d\S*+"), re.compile(r"\d")
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+def masked(line: str) -> str:
+    """The line with single spaces, its tokens with digits as wildcards."""
+    line = " ".join(line.split())
+    return _VARIABLE.sub("<*>", line) if _DIGIT.search(line) else line
 
 
-def _masked(line: Column) -> Column:
-    line = F.trim(F.regexp_replace(line, r"[\t\r ]+", " "))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line)
+def line_hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(line) - (1 << 63)
 
 
-def _sketch(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s.,]+"), lambda w: F.length(w) >= 6)
-    return F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.coalesce(text, F.lit(""))))
+def parse(line: str) -> tuple[int, int, str] | None:
+    """(hash, leaf of the tree, masked line); None for lines of too few tokens."""
+    line = masked(line)
+    n = line.count(" ") + 1
+    if n < MIN_TOKENS or not line:
+        return None
+    return line_hash(line), line_hash(f"{n} " + " ".join(line.split(" ", DEPTH)[:DEPTH])), line
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, broadcast when it is known to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def sketches(text: str) -> np.ndarray:
+    """For each line, a one-hash MinHash of the runs of eight bytes of all the other lines.
+
+    The line itself is left out, else one with a small hash would make all
+    documents that hold it look alike.  A single line has 0.
+    """
+    data = text.encode() + b"\n"
+    size = len(data)
+    grams = np.ndarray((size,), np.uint64, data + b"\0" * 8, strides=(1,))
+    mixed = grams * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    for back in range(7):  # runs that reach over the end of a line are not of it
+        mixed[np.maximum(ends - back, 0)] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    if len(ends) == 1:
+        return np.zeros(1, np.int64)
+    least = np.minimum.reduceat(mixed, np.concatenate([[0], ends[:-1] + 1]))
+    none = np.array([0xFFFFFFFFFFFFFFFF], np.uint64)
+    before = np.concatenate([none, np.minimum.accumulate(least)[:-1]])
+    after = np.concatenate([np.minimum.accumulate(least[::-1])[::-1][1:], none])
+    return np.minimum(before, after).astype(np.int64)
 
 
 def similarity(template: list[str], tokens: list[str]) -> float:
@@ -106,22 +132,54 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done()
 
 
+def _parse_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        doc, lines, leaves, rest = [], [], [], []
+        for i, text in enumerate(pdf["text"]):
+            others = sketches(text)
+            found = {p[0]: (p[1], r) for raw, r in zip(text.split("\n"), others) if (p := parse(raw))}
+            lines += found.keys()
+            leaves += [f[0] for f in found.values()]
+            rest += [f[1] for f in found.values()]
+            doc += [i] * len(found)
+        at = np.array(doc, np.int64)
+        yield pd.DataFrame({
+            "k1": pdf["k1"].to_numpy()[at], "k2": pdf["k2"].to_numpy()[at], "sketch": np.array(rest, np.int64),
+            "line": np.array(lines, np.int64), "leaf": np.array(leaves, np.int64),
+        })
+
+
 def _occurrences(docs: DataFrame, text_col: str) -> DataFrame:
     """k1, k2, sketch, line, leaf: the distinct lines of each distinct text."""
     text = F.col(quoted(text_col))
     k1, k2 = text_key(text)
-    rows = docs.select(k1.alias("k1"), k2.alias("k2"), _sketch(text).alias("sketch"), F.explode(_lines(text)).alias("raw"))
-    rows = rows.withColumn("masked", _masked(F.col("raw")))
-    tokens = F.split("masked", " ")
-    return (
-        rows.withColumn("tokens", tokens)
-        .where(F.size("tokens") >= MIN_TOKENS)
-        .select(
-            "k1", "k2", "sketch", F.xxhash64("masked").alias("line"),
-            F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, DEPTH), " ")).alias("leaf"),
-        )
-        .distinct()
-    )
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).where("text <> ''")
+    return rows.mapInPandas(_parse_texts, "k1 long, k2 long, sketch long, line long, leaf long").distinct()
+
+
+def _line_texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """line, leaf, masked: the text of each of the lines ``wanted``."""
+    shared = None
+    if wanted.count() <= BROADCAST_ROWS:  # else all lines are sent to the join
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(wanted.select("line").toPandas()["line"]))
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: dict[int, tuple[int, int, str]] = {}
+            for text in pdf["text"]:
+                for raw in text.split("\n"):
+                    p = parse(raw)
+                    if p and (shared is None or p[0] in shared.value):
+                        found[p[0]] = p
+            rows = list(found.values())
+            yield pd.DataFrame({
+                "line": np.array([r[0] for r in rows], np.int64), "leaf": np.array([r[1] for r in rows], np.int64), "masked": [r[2] for r in rows],
+            })
+
+    rows = docs.select(F.col(quoted(text_col)).alias("text")).where("text <> ''").mapInPandas(texts, "line long, leaf long, masked string")
+    if shared is None:
+        rows = rows.join(wanted.select("line"), "line", "left_semi")
+    return rows.dropDuplicates(["line"])
 
 
 def _recurring(support: DataFrame) -> Column:
@@ -135,8 +193,7 @@ def boilerplate(docs: DataFrame, occurrences: DataFrame, text_col: str = "text")
     leaves = lines.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.count(F.lit(1)).alias("lines"))
     shared = leaves.where((F.col("texts") >= MIN_DOCS) & (F.col("lines") > 1)).select("leaf")
     mixed = materialize(lines.join(shared, "leaf", "left_semi").select("line", "leaf"))
-    raw = docs.select(F.explode(_lines(F.col(quoted(text_col)))).alias("raw")).select(_masked(F.col("raw")).alias("masked"))
-    texts = raw.withColumn("line", F.xxhash64("masked")).join(_small(mixed), "line").dropDuplicates(["line"])
+    texts = _line_texts(docs, mixed, text_col)
     merged = texts.repartition("leaf").sortWithinPartitions("leaf", "line").mapInPandas(_merge, "line long, template long")
     merged = materialize(merged)
     support = (
@@ -149,6 +206,24 @@ def boilerplate(docs: DataFrame, occurrences: DataFrame, text_col: str = "text")
     return members.join(bad, "template", "left_semi").select("line")
 
 
+_CUT = "text string, at array<int>"
+
+
+def _cut_all(rows: list[tuple[str | None, frozenset]]) -> pd.DataFrame:
+    """Texts without their bad lines (null where nothing changed) and the positions of those."""
+    texts, places = [], []
+    for text, bad in rows:
+        at: list[int] = []
+        if text and bad:
+            lines = text.split("\n")
+            at = [i for i, raw in enumerate(lines) if (p := parse(raw)) and p[0] in bad]
+            gone = set(at)
+            text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        texts.append(text if at else None)
+        places.append(np.array(at, np.int32))
+    return pd.DataFrame({"text": texts, "at": places})
+
+
 def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str | None = "dropped_lines") -> DataFrame:
     """``docs`` without the lines of recurring templates.
 
@@ -157,31 +232,42 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str | None = "
     lines are never dropped; repeated rows are cleaned alike; ``n_chars`` is
     set anew where the text changed; all other columns are untouched.
     """
-    occurrences = materialize(_occurrences(docs, text_col))
-    bad = boilerplate(docs, occurrences, text_col)
-    hits = occurrences.join(bad, "line", "left_semi").groupBy("k1", "k2").agg(F.collect_set("line").alias("bad"))
-    a, b, n1, n2, cut, pos = fresh(docs, "k1", "k2", "h1", "h2", "bad", "pos")
+    occurrences = _occurrences(docs, text_col)
+    bad = materialize(boilerplate(docs, occurrences, text_col))
     text = F.col(quoted(text_col))
-    k1, k2 = text_key(text)
-    hits = hits.select(F.col("k1").alias(n1), F.col("k2").alias(n2), F.col("bad").alias(cut))
-    joined = docs.withColumns({a: k1, b: k2}).join(hits, (F.col(a) == F.col(n1)) & (F.col(b) == F.col(n2)), "left")
-    is_bad = lambda line: F.array_contains(F.col(cut), F.xxhash64(_masked(line)))
-    flags = F.transform(_lines(text), lambda line: is_bad(line))
-    at = F.when(F.col(cut).isNull(), F.array().cast("array<int>")).otherwise(
-        F.filter(F.transform(flags, lambda bad, i: F.when(bad, i)), lambda i: i.isNotNull())
-    )
-    with_pos = joined.withColumn(pos, at)
-    kept = F.array_join(F.filter(_lines(text), lambda line, i: ~F.array_contains(F.col(pos), i)), "\n")
-    new = F.when(F.size(pos) > 0, kept).otherwise(text)
+    (tmp,) = fresh(docs, "lines")
+    if bad.count() <= BROADCAST_ROWS:
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(bad.toPandas()["line"]))
+
+        def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in batches:
+                yield _cut_all([(t, shared.value) for t in texts])
+
+        cleaned = docs.withColumn(tmp, F.pandas_udf(cut, _CUT)(text))
+    else:
+        a, b, n1, n2, lines = fresh(docs, "k1", "k2", "h1", "h2", "bad")
+        k1, k2 = text_key(text)
+        hits = occurrences.join(bad, "line", "left_semi").groupBy("k1", "k2").agg(F.collect_set("line").alias("bad"))
+        hits = hits.select(F.col("k1").alias(n1), F.col("k2").alias(n2), F.col("bad").alias(lines))
+
+        def cut_own(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            for texts, own in batches:
+                yield _cut_all([(t, frozenset(x) if x is not None else frozenset()) for t, x in zip(texts, own)])
+
+        joined = docs.withColumns({a: k1, b: k2}).join(hits, (F.col(a) == F.col(n1)) & (F.col(b) == F.col(n2)), "left")
+        cleaned = joined.withColumn(tmp, F.pandas_udf(cut_own, _CUT)(F.when(F.col(lines).isNotNull(), text), F.col(lines)))
+    hit = F.col(tmp)
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(new.alias(c))
+            out.append(F.coalesce(hit["text"], text).alias(c))
         elif c == "n_chars" and text_col == "text":
-            out.append(F.when(F.size(pos) > 0, F.length(kept).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            out.append(F.when(hit["text"].isNotNull(), F.length(hit["text"]).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(quoted(c)))
-    return with_pos.select(*out, *([F.col(pos).alias(dropped)] if dropped else []))
+    if dropped:
+        out.append(hit["at"].alias(dropped))
+    return cleaned.select(*out)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
