@@ -50,9 +50,10 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def col(df: DataFrame, name: str) -> Column:
-    """A column by its exact name, also when others differ only by dots or case."""
-    return df[quoted(name)]
+def others(df: DataFrame, *outputs: str) -> list[Column]:
+    """The columns of ``df``, without those that an output of the same name replaces."""
+    taken = {x.lower() for x in outputs}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in taken]
 
 
 def text_key(text: Column) -> list[Column]:

@@ -2,15 +2,16 @@
 
 The automaton holds every run of tokens of every normalised test item.  A
 document's tokens are streamed through it; the state's length is the longest
-run, ending at this token, that some test item has too.  Maximal matches that
-are long, or that cover most of one item, are cut out of the text; a document
-made up mostly of them goes.
+run, ending at this token, that some test item has too.  Where it reaches
+``MIN_LENGTH``, or a run that ends here covers most of an item, the run is cut
+out of the text; a document made up mostly of such runs goes.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted
+from .common import fresh, materialize, others, quoted, text_key
 
 #: A match of so many tokens is removed.
 MIN_LENGTH = 8
@@ -26,8 +27,8 @@ MIN_LENGTH = 8
 COVERAGE, MIN_SHORT = 0.8, 4
 #: A document with this share of its tokens in removed spans goes whole.
 DROP_SHARE = 0.8
-#: Tokens in one automaton; more items make more automata, each streamed in turn.
-AUTOMATON_TOKENS = 2_000_000
+#: Tokens of the test items in one automaton (some 100 MB in a worker); more items are streamed in more passes.
+AUTOMATON_TOKENS = 200_000
 _TOKEN = re.compile(r"\w+")
 
 
@@ -41,13 +42,16 @@ class SuffixAutomaton:
     """Generalised suffix automaton over token ids.
 
     ``next``: transitions; ``link``: suffix links; ``length``: longest run;
-    ``shortest``: tokens of the shortest item that the longest run occurs in.
+    ``shortest``: tokens of the shortest item that the longest run occurs in;
+    ``covering``: the longest run, among those of the state's suffix links and
+    its own, that covers enough of an item.
     """
 
     next: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
     shortest: list[int] = field(default_factory=lambda: [1 << 60])
+    covering: list[int] = field(default_factory=list)
     ids: dict[str, int] = field(default_factory=dict)
 
     def _state(self, length: int, link: int, edges: dict[int, int], shortest: int) -> int:
@@ -92,71 +96,70 @@ class SuffixAutomaton:
                 self.shortest[s] = len(tokens)
                 s = self.link[s]
 
-    def matches(self, tokens: list[str]) -> list[tuple[int, int, int]]:
-        """Maximal matches (first token, end, tokens of the shortest item that has it)."""
-        nxt, link, length, get = self.next, self.link, self.length, self.ids.get
+    def finish(self) -> SuffixAutomaton:
+        self.covering = [0] * len(self.next)
+        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            n = self.length[s]
+            self.covering[s] = n if n >= MIN_SHORT and n >= COVERAGE * self.shortest[s] else self.covering[self.link[s]]
+        return self
+
+    def spans(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """Runs of tokens [start, end) to remove, merged where they touch."""
+        nxt, link, length = self.next, self.link, self.length
         state = size = 0
-        out: list[tuple[int, int, int]] = []
-        for i, t in enumerate(tokens):
-            c = get(t)
+        out: list[tuple[int, int]] = []
+        for i, c in enumerate(map(self.ids.get, tokens), 1):
             if c is None:
-                if size >= MIN_SHORT:
-                    out.append((i - size, i, self.shortest[state]))
                 state = size = 0
                 continue
             to = nxt[state].get(c)
-            if to is not None:
-                state, size = to, size + 1
+            while to is None and state:
+                state = link[state]
+                size = length[state]
+                to = nxt[state].get(c)
+            if to is None:
+                size = 0
                 continue
+            state, size = to, size + 1
             if size >= MIN_SHORT:
-                out.append((i - size, i, self.shortest[state]))
-            while state and c not in nxt[state]:
-                state = link[state]
-            size = length[state] if state else 0
-            to = nxt[state].get(c)
-            if to is not None:
-                state, size = to, size + 1
-        if size >= MIN_SHORT:
-            out.append((len(tokens) - size, len(tokens), self.shortest[state]))
+                n = size if size >= MIN_LENGTH or size >= COVERAGE * self.shortest[state] else self.covering[link[state]]
+                if n:
+                    a = i - n
+                    while out and a <= out[-1][1]:
+                        a = min(a, out.pop()[0])
+                    out.append((a, i))
         return out
 
 
-def build_automata(items: list[str]) -> list[SuffixAutomaton]:
-    """Automata over the distinct normalised items, each of bounded size."""
-    out: list[SuffixAutomaton] = []
-    room = 0
-    for tokens in sorted({tuple(t) for x in items if (t := normalise(x))}):
-        if not out or room < len(tokens):
-            out.append(SuffixAutomaton())
-            room = AUTOMATON_TOKENS
-        out[-1].add(list(tokens))
+def batched(items: Iterable[str | None]) -> Iterator[SuffixAutomaton]:
+    """Automata of bounded size over all items."""
+    automaton, room = SuffixAutomaton(), AUTOMATON_TOKENS
+    for x in items:
+        tokens = normalise(x)
+        if not tokens:
+            continue
+        if automaton.ids and room < len(tokens):
+            yield automaton.finish()
+            automaton, room = SuffixAutomaton(), AUTOMATON_TOKENS
+        automaton.add(tokens)
         room -= len(tokens)
-    return out
+    if automaton.ids:
+        yield automaton.finish()
 
 
-def leaked_spans(tokens: list[str], automata: list[SuffixAutomaton]) -> list[tuple[int, int]]:
-    """Merged token spans to remove."""
-    hits = []
-    for automaton in automata:
-        for a, b, shortest in automaton.matches(tokens):
-            n = b - a
-            if n >= MIN_LENGTH or n >= COVERAGE * shortest:
-                hits.append((a, b))
-    hits.sort()
-    merged: list[tuple[int, int]] = []
-    for a, b in hits:
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            merged.append((a, b))
-    return merged
+            out.append((a, b))
+    return out
 
 
-def clean(text: str | None, automata: list[SuffixAutomaton]) -> tuple[str | None, list[tuple[int, int]], float]:
-    """The text without leaked spans, the spans in characters, their share of the tokens."""
-    tokens = normalise(text)
-    spans = leaked_spans(tokens, automata) if tokens else []
-    if not spans:
+def clean(text: str | None, spans: list[tuple[int, int]], tokens: list[str]) -> tuple[str | None, list[tuple[int, int]], float]:
+    """The text without the spans of its tokens, the spans in characters, their share of the tokens."""
+    if not text or not spans:
         return text, [], 0.0
     low = text.lower()
     if len(low) == len(text):
@@ -173,8 +176,63 @@ def clean(text: str | None, automata: list[SuffixAutomaton]) -> tuple[str | None
         parts.append(text[end:x])
         end = y
     parts.append(text[end:])
-    share = sum(b - a for a, b in spans) / len(tokens)
-    return "".join(parts), chars, share
+    return "".join(parts), chars, sum(b - a for a, b in spans) / len(tokens)
+
+
+_CLEAN = "text string, starts array<int>, ends array<int>, share double"
+
+
+def _cleaned(rows: list[tuple[str | None, list[tuple[int, int]], float]]) -> pd.DataFrame:
+    return pd.DataFrame({
+        "text": [r[0] if r[1] else None for r in rows],  # unchanged texts are not sent back
+        "starts": [np.array([s[0] for s in r[1]], np.int32) for r in rows],
+        "ends": [np.array([s[1] for s in r[1]], np.int32) for r in rows],
+        "share": [r[2] for r in rows],
+    })
+
+
+def _in_one_pass(docs: DataFrame, automaton: SuffixAutomaton, text_col: str, tmp: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)  # at most AUTOMATON_TOKENS tokens
+
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = shared.value
+        for texts in batches:
+            split = [normalise(t) for t in texts]
+            yield _cleaned([clean(t, automaton.spans(x), x) for t, x in zip(texts, split)])
+
+    return docs.withColumn(tmp, F.pandas_udf(cleaned, _CLEAN)(F.col(quoted(text_col))))
+
+
+def _in_passes(docs: DataFrame, automata: Iterable[SuffixAutomaton], text_col: str, tmp: str) -> DataFrame:
+    """A pass for each automaton writes the spans of the texts that have any; the last joins and cuts them."""
+    text = F.col(quoted(text_col))
+    k1, k2 = text_key(text)
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).where("text <> ''")
+    found: DataFrame | None = None
+    for automaton in automata:
+        shared = docs.sparkSession.sparkContext.broadcast(automaton)  # at most AUTOMATON_TOKENS tokens
+
+        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(a, b, s) for a, b, t in zip(pdf["k1"], pdf["k2"], pdf["text"]) if (s := shared.value.spans(normalise(t)))]
+                yield pd.DataFrame({"k1": np.array([r[0] for r in rows], np.int64), "k2": np.array([r[1] for r in rows], np.int64), "at": [np.array(r[2], np.int32).ravel() for r in rows]})
+
+        one = materialize(texts.mapInPandas(find, "k1 long, k2 long, at array<int>"))
+        found = one if found is None else found.union(one)
+    a, b, n1, n2, at = fresh(docs, "k1", "k2", "h1", "h2", "at")
+    by_text = found.groupBy("k1", "k2").agg(F.flatten(F.collect_set("at")).alias(at))
+    by_text = by_text.select(F.col("k1").alias(n1), F.col("k2").alias(n2), at)
+    joined = docs.withColumns({a: k1, b: k2}).join(by_text, (F.col(a) == F.col(n1)) & (F.col(b) == F.col(n2)), "left")
+
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, places in batches:
+            rows = []
+            for t, p in zip(texts, places):
+                own = merged(map(tuple, np.reshape(p, (-1, 2)).tolist())) if p is not None and len(p) else []
+                rows.append(clean(t, own, normalise(t) if own else []))
+            yield _cleaned(rows)
+
+    return joined.withColumn(tmp, F.pandas_udf(cut, _CLEAN)(F.when(F.col(at).isNotNull(), text), F.col(at)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: tuple[str, str, str] = ("clean", "spans", "leaked")) -> DataFrame:
@@ -182,38 +240,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Null and empty texts stay as they are with no spans; null, empty and
     repeated test items are ignored; with no items nothing changes.  Texts are
-    streamed whole, in one pass for each automaton.
+    streamed whole; repeated rows are cleaned alike; columns of ``docs`` that
+    are named like an output are replaced, all others are untouched.
     """
-    spark = docs.sparkSession
-    items = [r[0] for r in benchmark.select("text").where(F.col("text").isNotNull()).distinct().toLocalIterator()]
-    shared = spark.sparkContext.broadcast(build_automata(items))  # test items, not training data
-
-    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automata = shared.value
-        for texts in batches:
-            rows = [clean(t, automata) for t in texts]
-            yield pd.DataFrame({
-                # unchanged texts are not sent back
-                "text": [r[0] if r[1] else None for r in rows],
-                "starts": [np.array([s[0] for s in r[1]], np.int32) for r in rows],
-                "ends": [np.array([s[1] for s in r[1]], np.int32) for r in rows],
-                "share": [r[2] for r in rows],
-            })
-
-    udf = F.pandas_udf(cleaned, "text string, starts array<int>, ends array<int>, share double")
+    text = F.col(quoted(text_col))
+    items = benchmark.select("text").where(F.col("text").isNotNull()).distinct().orderBy("text")
+    automata = batched(r[0] for r in items.toLocalIterator())
+    first = next(automata, None) or SuffixAutomaton().finish()
+    second = next(automata, None)
     (tmp,) = fresh(docs, "leak")
-    df = docs.withColumn(tmp, udf(F.col(quoted(text_col))))
+    if second is None:
+        df = _in_one_pass(docs, first, text_col, tmp)
+    else:
+        df = _in_passes(docs, itertools.chain((first, second), automata), text_col, tmp)
     hit = F.col(tmp)
     return df.select(
-        *[F.col(quoted(c)) for c in docs.columns],
-        F.when(hit["share"] > 0, hit["text"]).otherwise(F.col(quoted(text_col))).alias(out[0]),
+        *others(docs, *out),
+        F.when(hit["share"] > 0, hit["text"]).otherwise(text).alias(out[0]),
         F.arrays_zip(hit["starts"].alias("start"), hit["ends"].alias("end")).alias(out[1]),
         hit["share"].alias(out[2]),
     )
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents with leaked spans cut out; those leaked for DROP_SHARE of their tokens go.  All columns kept, ``n_chars`` set anew."""
+    """Documents with leaked spans cut out; those leaked for DROP_SHARE of their tokens go.
+
+    All columns kept; ``n_chars`` is set anew where the text changed.  Null
+    and empty texts stay, an empty table stays empty.
+    """
     a, b, c = fresh(docs, "clean", "spans", "leaked")
     df = decontaminate(docs, benchmark, out=(a, b, c)).where(F.col(c) < DROP_SHARE)
     new = {"text": F.col(a), "n_chars": F.when(F.col(c) > 0, F.length(a)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted
+from .common import fresh, others, quoted
 
 #: Bound on the labelled pages that weights are learned from.
 MAX_LABELLED = 2_000
@@ -154,7 +154,8 @@ def extract_content(pages: DataFrame, model: ContentModel, html_col: str = "html
 
     A null page gives null, an empty one or one without words ''.  Pages are
     read whole, in one linear scan; broken markup is read as words.  Equal
-    pages give equal text; other columns are untouched.
+    pages give equal text; a column named like the output is replaced, all
+    others are untouched.  No rows give none.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)  # some tag names
 
@@ -164,7 +165,7 @@ def extract_content(pages: DataFrame, model: ContentModel, html_col: str = "html
 
     (tmp,) = fresh(pages, "content")
     df = pages.withColumn(tmp, F.pandas_udf(extracted, "string")(F.col(quoted(html_col))))
-    return df.select(*[F.col(quoted(c)) for c in pages.columns], F.col(tmp).alias(out))
+    return df.select(*others(pages, out), F.col(tmp).alias(out))
 
 
 def op10_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:

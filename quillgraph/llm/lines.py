@@ -230,7 +230,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str | None = "
     Adds ``dropped`` (unless None): positions of the dropped lines, from 0.  Null texts
     stay null, empty ones empty; lines under ``MIN_TOKENS`` tokens and blank
     lines are never dropped; repeated rows are cleaned alike; ``n_chars`` is
-    set anew where the text changed; all other columns are untouched.
+    set anew where the text changed; a column named like ``dropped`` is
+    replaced, all others are untouched.  No rows give none.
     """
     occurrences = _occurrences(docs, text_col)
     bad = materialize(boilerplate(docs, occurrences, text_col))
@@ -259,6 +260,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str | None = "
     hit = F.col(tmp)
     out = []
     for c in docs.columns:
+        if dropped and c.lower() == dropped.lower():  # replaced
+            continue
         if c == text_col:
             out.append(F.coalesce(hit["text"], text).alias(c))
         elif c == "n_chars" and text_col == "text":

@@ -86,6 +86,8 @@ class Packer:
 
     def add(self, length: int, pieces: list) -> tuple[int, list] | None:
         """Places pieces of ``length`` tokens in all; returns a window that had to go."""
+        if length == self.size:  # a window of its own
+            return length, list(pieces)
         best = -1
         for i, (used, _) in enumerate(self.open):
             if used + length <= self.size and (best < 0 or used > self.open[best][0]):
@@ -98,10 +100,6 @@ class Packer:
         if len(self.open) >= self.space:
             full = max(range(len(self.open)), key=lambda i: (self.open[i][0], -i))
             out = self.open.pop(full)
-        if length == self.size:
-            if out is not None:
-                self.open.insert(0, out)
-            return length, list(pieces)
         self.open.append((length, list(pieces)))
         return out
 

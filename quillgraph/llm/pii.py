@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, quoted, text_key
+from .common import fresh, materialize, others, quoted, text_key
 
 #: Disclosure from which terms are generalised and removed.
 GENERALISE, REMOVE = 0.75, 0.95
@@ -98,7 +98,7 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     joint = materialize(joint.join(n_e, "entity"))
     wanted = joint.select("term").distinct()
     wanted = F.broadcast(wanted) if joint.count() <= BROADCAST_ROWS else wanted
-    total = docs.select(F.approx_count_distinct(k1, 0.01).alias("n_all"))
+    total = docs.select(k1.alias("a"), k2.alias("b")).where(text != "").distinct().agg(F.count(F.lit(1)).alias("n_all"))
     words = docs.select(k1.alias("k"), F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_'’]+"))).alias("term"))
     n_t = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     scored = joint.join(n_t, "term", "left").crossJoin(F.broadcast(total))  # one row
@@ -153,7 +153,8 @@ def sanitise_documents(docs: DataFrame, text_col: str = "text", out: tuple[str,
 
     Null and empty texts stay as they are; texts without entities are not
     touched; repeated rows are treated alike and count once; on an empty
-    table nothing is revealing.  Other columns are untouched.
+    table nothing is revealing.  Columns named like an output are replaced,
+    all others are untouched.
     """
     terms, holders = revealing_terms(docs, text_col)
     by_text = (
@@ -183,7 +184,7 @@ def sanitise_documents(docs: DataFrame, text_col: str = "text", out: tuple[str,
     made = F.pandas_udf(clean, "text string, entities int, terms int")(F.when(text.rlike(_MAYBE), text), F.col(x), F.col(y))
     hit = F.col(tmp)
     return df.withColumn(tmp, made).select(
-        *[F.col(quoted(c)) for c in docs.columns],
+        *others(docs, *out),
         F.coalesce(hit["text"], text).alias(out[0]), hit["entities"].alias(out[1]), hit["terms"].alias(out[2]),
     )
 

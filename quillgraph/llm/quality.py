@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted
+from .common import fresh, others, quoted
 
 #: Bound on the labelled documents that rules are learned from.
 MAX_LABELLED = 16_000
@@ -180,7 +180,9 @@ def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", out:
     """``docs`` with the statistics, the rule that rejects (null: none) and ``keep``.
 
     Statistics are added under names that clash with no column of ``docs``
-    (``stat_chars`` and so on where free).  Null and empty texts have zeros.
+    (``stat_chars`` and so on where free).  Null and empty texts have zeros;
+    equal texts get equal rules; columns named like an output are replaced.
+    No rows give none.
     """
     names = {}
     taken = {c.lower() for c in docs.columns}
@@ -192,7 +194,7 @@ def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", out:
     with_stats = docs.select(*[F.col(quoted(c)) for c in docs.columns], *[c.alias(names[k]) for k, c in statistics(F.col(quoted(text_col))).items()])
     (tmp,) = fresh(with_stats, "rule")
     ruled = with_stats.withColumn(tmp, rule_column(rules, {k: F.col(v) for k, v in names.items()}))
-    return ruled.select(*[F.col(quoted(c)) for c in with_stats.columns], F.col(tmp).alias(out[0]), F.col(tmp).isNull().alias(out[1]))
+    return ruled.select(*others(with_stats, *out), F.col(tmp).alias(out[0]), F.col(tmp).isNull().alias(out[1]))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

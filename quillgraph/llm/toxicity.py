@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, quoted
+from .common import fresh, materialize, others, quoted
 
 #: Letters that the language model knows; everything else ends a word.
 ALPHABET = " abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -300,7 +300,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     """``docs`` with a score, the restored offending words and the decision.
 
     Null and empty texts score 0 and are not toxic; texts are read whole;
-    repeated rows get equal scores; other columns are untouched.
+    repeated rows get equal scores; columns named like an output are replaced, all
+    others are untouched.  No rows give none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 64^3 floats and the lexicon
 
@@ -315,7 +316,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     df = docs.withColumn(tmp, scored(F.col(quoted(text_col))))
     hit = F.col(tmp)
     return df.select(
-        *[F.col(quoted(c)) for c in docs.columns],
+        *others(docs, *out),
         hit["score"].alias(out[0]),
         hit["words"].alias(out[1]),
         (hit["score"] >= F.lit(model.threshold)).alias(out[2]),
@@ -323,7 +324,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not toxic, all columns kept."""
+    """The documents that are not toxic, all columns kept.
+
+    Null and empty texts stay; equal texts share their fate; without labels
+    nothing is toxic; an empty table stays empty.
+    """
     a, b, c = fresh(docs, "tox_score", "tox_words", "tox_flag")
     scored = score_documents(docs, train(docs, labels), out=(a, b, c))
     return scored.where(~F.col(c)).select(*[F.col(quoted(x)) for x in docs.columns])

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted
+from .common import fresh, others, quoted
 
 #: Width of the hashed feature space and the n-grams used.
 BUCKETS, SIZES = 1 << 18, (3, 4, 5)
@@ -118,7 +118,8 @@ def score_urls(df: DataFrame, model: UrlModel, url_col: str = "url", out: tuple[
     """``df`` with the probability of an unwanted URL and whether to keep the row.
 
     Null, empty and blank URLs score null and are kept: nothing is known
-    against them.  Equal URLs score equal; other columns are untouched.
+    against them.  Equal URLs score equal; columns named like an output are replaced,
+    all others are untouched.  No rows give none.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # fixed size: 2^18 floats
 
@@ -131,7 +132,7 @@ def score_urls(df: DataFrame, model: UrlModel, url_col: str = "url", out: tuple[
     (tmp,) = fresh(df, "url_score")
     with_score = df.withColumn(tmp, F.pandas_udf(scored, "double")(F.col(quoted(url_col))))
     keep = F.coalesce(F.col(tmp) < threshold, F.lit(True))
-    return with_score.select(*[F.col(quoted(c)) for c in df.columns], F.col(tmp).alias(out[0]), keep.alias(out[1]))
+    return with_score.select(*others(df, *out), F.col(tmp).alias(out[0]), keep.alias(out[1]))
 
 
 def fit_table(labelled: DataFrame, max_rows: int = MAX_LABELLED) -> UrlModel:
