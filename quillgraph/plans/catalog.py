@@ -133,8 +133,8 @@ def centroid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CENTROIDS}, both AS (SELECT a AS x, b AS y, similarity FROM p UNION ALL SELECT b, a, similarity FROM p),
-k AS (SELECT x, y, similarity FROM both QUALIFY row_number() OVER (PARTITION BY x ORDER BY similarity DESC, y) <= 3)
+    f"""WITH {_CENTROIDS}, sides AS (SELECT a AS x, b AS y, similarity FROM p UNION ALL SELECT b, a, similarity FROM p),
+k AS (SELECT x, y, similarity FROM sides QUALIFY row_number() OVER (PARTITION BY x ORDER BY similarity DESC, y) <= 3)
 SELECT k.x AS a, k.y AS b, k.similarity FROM k JOIN k r ON k.x = r.y AND k.y = r.x WHERE k.x < k.y"""
 )
 def reciprocal_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
