@@ -14,7 +14,7 @@ EDGE_WEIGHTS = {
     "CONTAINS": 5.0, "DEFINES": 10.0, "REFERENCES": 4.0, "DEPENDS_ON": 9.0, "LINKS_TO": 7.0, "IMPLEMENTS": 8.0,
     "REFERENCES_SOURCE": 6.0, "SUPERSEDES": 8.0, "DEPRECATED_BY": 8.0, "SAME_AS": 7.0, "RELATED_TO": 2.0, "CONTRADICTS": 6.0,
 }
-EXCLUDED = ("node_modules", "dist", "build", "coverage", ".git", ".mdgraph", ".next", ".turbo", ".cache", "temp", "tmp")
+EXCLUDED = ("node_modules", "dist", "build", "coverage", ".git", ".quillgraph", ".next", ".turbo", ".cache", "temp", "tmp")
 
 
 @dataclass(frozen=True)

@@ -29,7 +29,8 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, prefixes: list[str], index
     plain = words(F.col(text_col))
     stream = index_tokens(F.col(text_col)) if indexed else plain
     count = lambda tokens, p: F.size(F.filter(tokens, lambda t: t.startswith(p)))
-    hit = [F.exists("stream", lambda t, p=p: t.startswith(p)) if indexed else F.col(f"tf{i}") > 0 for i, p in enumerate(prefixes)]
+    begins = lambda p: F.exists("stream", lambda t: t.startswith(p))
+    hit = [begins(p) if indexed else F.col(f"tf{i}") > 0 for i, p in enumerate(prefixes)]
     rows = docs.select(F.col(id_col).alias("id"), stream.alias("stream"), plain.alias("plain"))
     rows = rows.select("id", "stream", F.size("stream").alias("len"), *[count(F.col("plain"), p).alias(f"tf{i}") for i, p in enumerate(prefixes)])
     rows = rows.select("id", "len", *[F.col(f"tf{i}") for i in range(len(prefixes))], *[h.alias(f"hit{i}") for i, h in enumerate(hit)])

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -76,10 +74,6 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int, target: str | None
     return seen
 
 
-def normalise_path(path: str) -> str:
-    return os.path.normpath(path.replace("\\", "/")).replace("\\", "/")
-
-
 def unique_aliases(aliases: DataFrame) -> DataFrame:
     """alias, id for the aliases (alias, id) of a single target; the others resolve to nothing."""
     return aliases.groupBy("alias").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n")).where("n = 1").drop("n")
@@ -90,5 +84,30 @@ def definition_collisions(definitions: DataFrame) -> DataFrame:
     return definitions.groupBy("entity_id").agg(F.countDistinct("document_id").alias("documents")).where("documents > 1")
 
 
-def node_order(w: list[str]) -> Window:
-    return Window.partitionBy(*w)
+def shortest_path(edges: DataFrame, start: str, target: str, max_depth: int) -> list | None:
+    """The edges of a path of fewest hops, read both ways; None where there is none within ``max_depth``.
+
+    Of several, the one whose edges are heaviest, then most confident, from
+    the start on.  A level is a join and a group-by; each reached node carries
+    its path, so no order over a whole level is needed.
+    """
+    from ..session import materialize
+
+    if start == target:
+        return []
+    step = "struct<w: double, c: double, edge: string, a: string, b: string>"
+    own = lambda a, b: F.struct((-F.col("weight")).alias("w"), (-F.col("confidence")).alias("c"), F.col("id").alias("edge"), F.col(a).alias("a"), F.col(b).alias("b"))
+    both = edges.select(F.col("from_id").alias("x"), F.col("to_id").alias("y"), own("from_id", "to_id").alias("s")).union(edges.select("to_id", "from_id", own("to_id", "from_id")))
+    frontier = materialize(edges.sparkSession.createDataFrame([(start,)], "x string").withColumn("path", F.array().cast(f"array<{step}>")))
+    seen = frontier.select("x")
+    for _ in range(max_depth):
+        reached = both.join(frontier, "x").groupBy("y").agg(F.min(F.concat("path", F.array("s"))).alias("path"))
+        fresh = reached.join(seen.withColumnRenamed("x", "y"), "y", "left_anti")
+        frontier = materialize(fresh.withColumnRenamed("y", "x"))
+        hit = frontier.where(F.col("x") == target).head(1)
+        if hit:
+            return hit[0]["path"]
+        if frontier.isEmpty():
+            return None
+        seen = seen.union(frontier.select("x"))
+    return None
