@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,11 @@ def others(df: DataFrame, *outputs: str) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns if c.lower() not in taken]
 
 
+def objects(values: Iterable) -> pd.Series:
+    """A column of texts or lists that keeps its kind when it has no rows."""
+    return pd.Series(list(values), dtype=object)
+
+
 def text_key(text: Column) -> list[Column]:
     """Two independent 64-bit hashes that stand for a whole text in joins."""
     filled = F.coalesce(text, F.lit(""))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, others, quoted, text_key
+from .common import fresh, materialize, objects, others, quoted, text_key
 
 #: A match of so many tokens is removed.
 MIN_LENGTH = 8
@@ -184,9 +184,9 @@ _CLEAN = "text string, starts array<int>, ends array<int>, share double"
 
 def _cleaned(rows: list[tuple[str | None, list[tuple[int, int]], float]]) -> pd.DataFrame:
     return pd.DataFrame({
-        "text": [r[0] if r[1] else None for r in rows],  # unchanged texts are not sent back
-        "starts": [np.array([s[0] for s in r[1]], np.int32) for r in rows],
-        "ends": [np.array([s[1] for s in r[1]], np.int32) for r in rows],
+        "text": objects(r[0] if r[1] else None for r in rows),  # unchanged texts are not sent back
+        "starts": objects(np.array([s[0] for s in r[1]], np.int32) for r in rows),
+        "ends": objects(np.array([s[1] for s in r[1]], np.int32) for r in rows),
         "share": [r[2] for r in rows],
     })
 
@@ -215,7 +215,7 @@ def _in_passes(docs: DataFrame, automata: Iterable[SuffixAutomaton], text_col: s
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = [(a, b, s) for a, b, t in zip(pdf["k1"], pdf["k2"], pdf["text"]) if (s := shared.value.spans(normalise(t)))]
-                yield pd.DataFrame({"k1": np.array([r[0] for r in rows], np.int64), "k2": np.array([r[1] for r in rows], np.int64), "at": [np.array(r[2], np.int32).ravel() for r in rows]})
+                yield pd.DataFrame({"k1": np.array([r[0] for r in rows], np.int64), "k2": np.array([r[1] for r in rows], np.int64), "at": objects(np.array(r[2], np.int32).ravel() for r in rows)})
 
         one = materialize(texts.mapInPandas(find, "k1 long, k2 long, at array<int>"))
         found = one if found is None else found.union(one)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, quoted, text_key
+from .common import fresh, materialize, objects, quoted, text_key
 
 DEPTH = 3
 MIN_DOCS = 3
@@ -173,7 +173,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
                         found[p[0]] = p
             rows = list(found.values())
             yield pd.DataFrame({
-                "line": np.array([r[0] for r in rows], np.int64), "leaf": np.array([r[1] for r in rows], np.int64), "masked": [r[2] for r in rows],
+                "line": np.array([r[0] for r in rows], np.int64), "leaf": np.array([r[1] for r in rows], np.int64), "masked": objects(r[2] for r in rows),
             })
 
     rows = docs.select(F.col(quoted(text_col)).alias("text")).where("text <> ''").mapInPandas(texts, "line long, leaf long, masked string")
@@ -221,7 +221,7 @@ def _cut_all(rows: list[tuple[str | None, frozenset]]) -> pd.DataFrame:
             text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         texts.append(text if at else None)
         places.append(np.array(at, np.int32))
-    return pd.DataFrame({"text": texts, "at": places})
+    return pd.DataFrame({"text": objects(texts), "at": objects(places)})
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str | None = "dropped_lines") -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, quoted
+from .common import materialize, objects, quoted
 
 WINDOW = 2048
 OPEN = 16
@@ -107,10 +107,10 @@ class Packer:
 def _rows(part: int, windows: list[tuple[int, list, bool]], prefix: str) -> pd.DataFrame:
     return pd.DataFrame({
         "part": np.full(len(windows), part, np.int64),
-        "window": [f"{prefix}-{part}-{i}" for i in range(len(windows))],
+        "window": objects(f"{prefix}-{part}-{i}" for i in range(len(windows))),
         "used": np.array([w[0] for w in windows], np.int32),
         "done": np.array([w[2] for w in windows], bool),
-        "pieces": [w[1] for w in windows],
+        "pieces": objects(w[1] for w in windows),
     })
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, others, quoted, text_key
+from .common import fresh, materialize, objects, others, quoted, text_key
 
 #: Disclosure from which terms are generalised and removed.
 GENERALISE, REMOVE = 0.75, 0.95
@@ -78,7 +78,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for e, near in seen.items():
                 for t in near or {""}:
                     k1.append(a), k2.append(b), entity.append(e), term.append(t)
-        yield pd.DataFrame({"k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "entity": entity, "term": term})
+        yield pd.DataFrame({"k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "entity": objects(entity), "term": objects(term)})
 
 
 def revealing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -4,8 +4,8 @@ A word such as ``1d10t``, ``s t u p i d`` or ``looooser`` is read as a lattice:
 each written character may stand for several letters (leetspeak), for nothing
 (spacing) or for a repetition of its neighbour.  Viterbi decoding picks the
 letters that a character trigram model, counted over the whole corpus, finds
-most likely; the restored words are then scored with a lexicon of words and
-word stems learned from labelled documents.
+most likely; the restored words are then scored with a lexicon of words,
+word stems and stems that recur in a text, learned from labelled documents.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, others, quoted
+from .common import fresh, materialize, objects, others, quoted
 
 #: Letters that the language model knows; everything else ends a word.
 ALPHABET = " abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -39,6 +39,8 @@ _STRIP = ".,;:!?\"'()[]{}<>|%&*#=~`^…“”«»¿¡-_/\\"
 _SUSPECT = re.compile(r"[0-9@$!|+(€£¡*._\-~/\\^:;#='`​‌‍­]|(.)\1\1")
 #: Single characters with one separator between them: s t u p i d.
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*](?:[^\W_]|[@$!|+])){2,}(?!\S)")
+#: Numbers of different words with a stem from which it weighs more.
+RECURRENCES = (2, 3, 4)
 #: A restored word longer than this holds no lexicon entry.
 MAX_DECODE = 48
 _CACHE_LIMIT = 400_000
@@ -47,7 +49,8 @@ _CACHE_LIMIT = 400_000
 @dataclass(frozen=True)
 class ToxicityModel:
     """trigram: log-probabilities of the character model; weights: log-odds of
-    words (``=word``) and stems (``stem*``); threshold on a document's score."""
+    words (``=word``), stems (``stem*``) and stems of at least k different words
+    of a text (``stem*k``); threshold on a document's score."""
 
     trigram: np.ndarray
     weights: dict[str, float]
@@ -118,6 +121,11 @@ def features(word: str) -> list[str]:
     return ["=" + word] + [word[:n] + "*" for n in (4, 5, 6, 7) if len(word) > n]
 
 
+def stems(word: str) -> list[str]:
+    """The beginnings of a word that count where they recur in a text."""
+    return [word[:n] for n in range(3, 9) if len(word) > n]
+
+
 def plain_words(text: str) -> set[str]:
     return {w.strip(_STRIP) for w in text.lower().split()}
 
@@ -155,7 +163,9 @@ def train_lexicon(
     of the toxic documents hold it and its log-odds reach ``min_odds``; a
     stem also needs ``min_words`` different toxic words behind it, so that
     one frequent word does not turn all words that begin like it into
-    offences.  With no toxic example the lexicon is empty.
+    offences.  A word with a recurring stem counts by its recurrence alone:
+    one of them is in many a harmless text.  With no toxic example the
+    lexicon is empty.
     """
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}  # two rows
     n_bad, n_good = n.get(1, 0), n.get(0, 0)
@@ -171,9 +181,10 @@ def train_lexicon(
     weights: dict[str, float] = {}
     for f, bad, good in zip(counted["feature"], counted["bad"], counted["good"]):
         odds = math.log((bad + 0.5) / (n_bad + 1)) - math.log((good + 0.5) / (n_good + 1))
-        if odds >= min_odds and f.strip("=*"):
+        if odds >= min_odds and f.strip("=*234"):
             weights[f] = round(odds, 6)
-    return weights
+    recurring = {f.partition("*")[0] for f in weights if f[0] != "=" and f[-1] != "*"}
+    return {f: w for f, w in weights.items() if f[0] != "=" or recurring.isdisjoint(stems(f[1:]))}
 
 
 def best_threshold(scores: pd.DataFrame) -> float:
@@ -193,11 +204,18 @@ def _document_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
     for pdf in batches:
         toxic, feature, word = [], [], []
         for text, t in zip(pdf["text"], pdf["toxic"]):
-            found = {f: w for w in plain_words(text) if 3 <= len(w) <= MAX_DECODE for f in features(w)}
+            words = [w for w in plain_words(text) if 3 <= len(w) <= MAX_DECODE]
+            found = {f: w for w in words for f in features(w)}
+            times: dict[str, int] = {}
+            for w in words:
+                for s in stems(w):
+                    times[s] = n = times.get(s, 0) + 1
+                    if n in RECURRENCES:
+                        found[f"{s}*{n}"] = w
             toxic += [t] * len(found)
             feature += found.keys()
             word += found.values()
-        yield pd.DataFrame({"toxic": np.array(toxic, np.int32), "feature": feature, "word": word})
+        yield pd.DataFrame({"toxic": np.array(toxic, np.int32), "feature": objects(feature), "word": objects(word)})
 
 
 def decode(written: str, trigram: np.ndarray) -> str:
@@ -240,7 +258,12 @@ class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model = model
         self.squeezed = {("=" + squeeze(f[1:]) if f[0] == "=" else squeeze(f[:-1]) + "*"): w for f, w in model.weights.items()}
-        self.known: dict[str, tuple[float, str] | None] = {}
+        self.recurring: dict[str, dict[int, float]] = {}
+        for f, w in model.weights.items():
+            stem, star, k = f.partition("*")
+            if star and k and f[0] != "=":
+                self.recurring.setdefault(stem, {})[int(k)] = w
+        self.known: dict[str, tuple[float, str, tuple[str, ...]] | None] = {}
 
     def weight(self, word: str) -> float:
         return max((self.model.weights.get(f, 0.0) for f in features(word)), default=0.0)
@@ -249,22 +272,27 @@ class Scorer:
         """Also against the lexicon with repetitions squeezed on both sides."""
         return max(self.weight(word), max((self.squeezed.get(f, 0.0) for f in features(squeeze(word))), default=0.0))
 
-    def look(self, token: str) -> tuple[float, str] | None:
+    def look(self, token: str) -> tuple[float, str, tuple[str, ...]] | None:
+        """(weight, word, its stems that may recur); None for a harmless token."""
         word = token.strip(_STRIP)
-        if len(word) >= 3 and (w := self.weight(word)):
-            return w, word
+        own = tuple(s for s in stems(word) if s in self.recurring) if 3 <= len(word) <= MAX_DECODE else ()
+        w = self.weight(word) if len(word) >= 3 else 0.0
+        if w or own:
+            return w, word, own
         core = token.rstrip(".,;:!?%&\"')]}").lstrip("\"'([{<.,;:%&*#")
         if not 3 <= len(core) <= MAX_DECODE or not _SUSPECT.search(core) or sum(c.isalpha() for c in core) * 4 < len(core):
             return None
         restored = decode(core, self.model.trigram)
         w = self.restored_weight(restored) if len(restored) >= 3 else 0.0
-        return (w, restored) if w else None
+        own = tuple(s for s in stems(restored) if s in self.recurring)
+        return (w, restored, own) if w or own else None
 
     def score(self, text: str | None) -> tuple[float, list[str]]:
-        """The sum of the weights of the distinct offending words, and the words."""
+        """The sum of the weights of the distinct offending words and of the heaviest recurring stem, and the words."""
         if not text or not self.model.weights:
             return 0.0, []
         found: dict[str, float] = {}
+        groups: dict[str, set[str]] = {}
         low = text.lower()
         known = self.known
         for token in set(low.split()):
@@ -275,7 +303,10 @@ class Scorer:
                     known.clear()
                 hit = known[token] = self.look(token)
             if hit:
-                found[hit[1]] = hit[0]
+                if hit[0]:
+                    found[hit[1]] = hit[0]
+                for s in hit[2]:
+                    groups.setdefault(s, set()).add(hit[1])
         for m in _SPACED.finditer(low):
             run = m.group(0)
             if len(run) > 4 * MAX_DECODE:
@@ -285,7 +316,8 @@ class Scorer:
                 if len(word) >= 3 and (w := self.restored_weight(word)):
                     found[word] = w
                     break
-        return round(sum(found.values()), 6), sorted(found)
+        best, stem = max(((max((w for k, w in self.recurring[s].items() if k <= len(ws)), default=0.0), s) for s, ws in groups.items()), default=(0.0, ""))
+        return round(sum(found.values()) + best, 6), sorted(set(found) | (groups[stem] if best else set()))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, **options: float) -> ToxicityModel:

@@ -72,3 +72,8 @@ def test_with_and_without_broadcast(spark, monkeypatch, limit):
     monkeypatch.setattr(pii, "BROADCAST_ROWS", limit)
     df = spark.createDataFrame(rows(), "doc_id long, text string")
     assert "[EMAIL]" in pii.sanitise_documents(df).where("doc_id = 0").first()["clean"]
+
+
+def test_a_batch_without_entities(spark):
+    df = spark.createDataFrame([(i, "nothing to find in 3 words") for i in range(4)] + [(9, "a@b.example")], "doc_id long, text string").repartition(5)
+    assert sorted(r["entities"] for r in pii.sanitise_documents(df).collect()) == [0, 0, 0, 0, 1]

@@ -74,8 +74,8 @@ def path_score(written, out, trigram):
 def test_trigrams_are_those_of_the_whole_corpus(spark):
     df = spark.createDataFrame([("abc",), ("abd",), (None,), ("",), ("a" * 200_000,)], "text string").repartition(3)
     model = tx.train_char_model(df)
-    a, b, c, d = (tx._INDEX[x] for x in "abcd")
-    assert model[a, b, c] == model[a, b, d] > model[a, b, a]
+    a, b, c, d, e = (tx._INDEX[x] for x in "abcde")
+    assert model[a, b, c] == model[a, b, d] > model[a, b, e]
     assert model[a, a, a] > math.log(0.99)
 
 
@@ -90,6 +90,23 @@ def test_held_out_documents(spark, sf_small):
     assert int(((got.toxic == 0) & got.is_toxic).sum()) <= 0.02 * (got.toxic == 0).sum()
 
 
+def test_held_out_documents_with_more_labels(spark, sf_small):
+    larger = sf_small.replace("sf0.01", "sf0.1")
+    docs, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
+    model = tx.train(docs, labels.where("pmod(xxhash64(doc_id), 2) = 0"))
+    got = tx.score_documents(docs.join(labels.where("pmod(xxhash64(doc_id), 2) = 1"), "doc_id"), model).select("toxic", "is_toxic").toPandas()
+    assert ((got.toxic == 1) & got.is_toxic).sum() >= 0.92 * (got.toxic == 1).sum()
+    assert ((got.toxic == 0) & got.is_toxic).sum() <= 0.01 * (got.toxic == 0).sum()
+
+
+def test_a_stem_weighs_when_it_recurs():
+    scorer = tx.Scorer(tx.ToxicityModel(uniform(), {"grum*3": 5.0, "=dolt": 6.0}, 4.0))
+    assert scorer.score("grumble and grumpy words")[0] == 0
+    assert scorer.score("grumble grumpy grumly") == (5.0, ["grumble", "grumly", "grumpy"])
+    assert scorer.score("grumble grumble grumble")[0] == 0
+    assert scorer.score("a dolt, grumble grumpy grumly")[0] == 11.0
+
+
 def test_obfuscated_words_are_restored(spark, sf_small):
     model = tx.train(spark.read.parquet(f"{sf_small}/documents.parquet"), spark.read.parquet(f"{sf_small}/labels.parquet"))
     scorer = tx.Scorer(model)
