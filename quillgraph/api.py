@@ -16,6 +16,7 @@ from .operators.build import now
 from .operators.diff import GraphDiff, graph_diff
 from .operators.nodes import Resolution, all_nodes, edge_owner, edges_of, node_text, resolve_node
 from .plans import dsl
+from .session import materialize
 from .sources import git
 from .sources.markdown import list_files, parse_files
 from .sources.store import GraphStore, counts
@@ -118,7 +119,7 @@ class Project:
     # ------------------------------------------------------------------ health
     def doctor(self, scope: health.Scope | None = None) -> health.Report:
         files = git.all_files(self.spark, self.root) if "://" not in self.root else None
-        report = health.run_doctor(self.parsed().cache(), self.graph, self.config, files, scope)
+        report = health.run_doctor(materialize(self.parsed()), self.graph, self.config, files, scope)
         if report.is_stale:
             report.parts = {}
         return report
@@ -133,12 +134,9 @@ class Project:
 
     def diff(self, base: str) -> GraphDiff:
         """Against a revision of the repository that the project lies in."""
-        from .operators.build import build_graph
-
         files, paths = git.snapshot_files(self.spark, self.root, base, self.config)
-        parsed = parse_files(files).cache()
-        old = build_graph(parsed, self.config)
-        before = health.run_doctor(parsed, old, self.config, paths).warnings
+        old = GraphStore(self.spark, f"{self.store.root}/base-{git.revision(self.root, base)}").index(parse_files(files), self.config, now())
+        before = health.run_doctor(old.extra["parsed"], old, self.config, paths).warnings
         return graph_diff(old, self.graph, git.renames(self.root, base), before, self.doctor().warnings)
 
     # ----------------------------------------------------------------- exports

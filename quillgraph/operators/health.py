@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim
 from ..model import Config, GraphTables
+from ..session import materialize
 from . import graph
 from .extract import content_risks
 from .nodes import all_nodes, owners
@@ -190,8 +191,8 @@ def run_doctor(parsed: DataFrame, g: GraphTables, config: Config | None = None,
         return Report(ordered(told.union(failures)), stale, True, scope, {"stale": stale})
     good = parsed.where("error IS NULL")
     mine = within(good)
-    links = all_links(good)
-    stats = within(document_links(g))
+    links = materialize(all_links(good))  # four checks read them
+    stats = materialize(within(document_links(g)))
     dead = within(links.where("node_id IS NULL").where((F.col("kind") == "wikilink") | is_local_document(F.col("raw"))), "from_path")
     orphan, weak = stats.where("raw = 0"), stats.where("raw > 0 AND raw < 2")
     undefined = stats.where(F.col("type").isin(list(DEFINING)) & (F.col("definitions") == 0))

@@ -77,7 +77,7 @@ def _matches(options: Options):
     def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = independent(list(zip(pdf["s"], pdf["ca"], pdf["cb"])), max(options.evidence, 4))
         if len(found) < options.evidence:
-            return pd.DataFrame({"a": [], "b": [], "confidence": [], "evidence": []}).astype({"a": str, "b": str})
+            return pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "confidence": pd.Series(dtype=float), "evidence": pd.Series(dtype=object)})
         confidence = round(float(np.mean([f[0] for f in found[: options.evidence]])), 6)
         return pd.DataFrame({"a": [key[0]], "b": [key[1]], "confidence": [confidence], "evidence": [[{"similarity": float(s), "a_chunk": x, "b_chunk": y} for s, x, y in found]]})
 
