@@ -9,9 +9,15 @@ their lines are dropped wherever they stand.
 
 Copies of one document repeat all its lines; that is for near-duplicate
 removal to settle, not a reason to empty them.  So support is counted over
-distinct texts, and texts are told apart by a one-hash MinHash of all but the
-line in question: a template must come with at least ``MIN_DOCS`` different MinHash values, and
-with as many as a share ``UNRELATED`` of its texts.
+distinct texts, and first told by a one-hash MinHash of all but the line in
+question: a template with at least ``MIN_DOCS`` different MinHash values, and
+as many as a share ``UNRELATED`` of its texts, recurs.  Where that doesn't
+tell, because near copies swell the texts or a shared block makes its hosts
+alike, the texts are compared: two are related when most of the lines that
+one doesn't share with ``MIN_DOCS`` texts are found in the other (of a text
+that shares all its lines, the rest but the line in question).  The template
+recurs when ``MIN_DOCS`` of its texts are unrelated, however many copies
+there are.  Texts that are nothing but the line count as one.
 """
 
 from __future__ import annotations
@@ -32,6 +38,10 @@ MIN_DOCS = 3
 MIN_TOKENS = 3
 SIMILAR = 0.7
 UNRELATED = 0.3
+#: Hashes kept of a whole text and of the part looked for in others; share found from which texts are related.
+WHOLE, PROBE, RELATED = 256, 32, 0.5
+#: Lines for which a task remembers texts, to send on only unrelated ones.
+REMEMBERED = 200_000
 #: Hashes up to which a set of lines is broadcast (16 MB); a larger one is joined by shuffling.
 BROADCAST_ROWS = 2_000_000
 _VARIABLE, _DIGIT = re.compile(r"(?<!\S)[^\s\d]*+\d\S*+"), re.compile(r"\d")
@@ -80,6 +90,67 @@ def sketches(text: str) -> np.ndarray:
     return np.minimum(before, after).astype(np.int64)
 
 
+class Portrait:
+    """The least hashes of the runs of 16 bytes in a text, with the lines they stand in.
+
+    ``own`` has those of lines that aren't shared; ``probe(i)`` is what
+    another text must hold to be related, where line ``i`` is in question.
+    """
+
+    def __init__(self, text: str, shared: list[bool], short: list[bool]):
+        data = text.encode() + b"\n"
+        size = len(data)
+        grams = np.ndarray((size + 8,), np.uint64, data + b"\0" * 16, strides=(1,))
+        mixed = grams * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed = (mixed[:-8] * np.uint64(0xBF58476D1CE4E5B9)) ^ (mixed[8:] * np.uint64(0x94D049BB133111EB))
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed >> np.uint64(32)).astype(np.uint32)
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        line = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[-1], ends])))
+        inside = np.arange(size) + 16 <= ends[line]  # runs that reach over the end of a line are not of it
+        self.hashes, self.line = mixed[inside], line[inside]
+        self.whole = least(self.hashes, WHOLE)
+        free = ~(np.array(shared, bool) | np.array(short, bool))
+        self.own = least(self.hashes[free[self.line]], PROBE) if free.any() else np.zeros(0, np.uint32)
+
+    def probe(self, same: list[int]) -> np.ndarray:
+        return self.own if len(self.own) else least(self.hashes[~np.isin(self.line, same)], PROBE)
+
+
+def least(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` least distinct hashes, in order."""
+    if len(hashes) > 64 * n:  # repeated runs leave enough in nearly all texts
+        part = np.unique(np.partition(hashes, 16 * n)[: 16 * n])
+        if len(part) >= n:
+            return part[:n]
+    return np.unique(hashes)[:n]
+
+
+def _found(probe: np.ndarray, whole: np.ndarray) -> float | None:
+    """The share of ``probe`` in the text of ``whole``; None where the hashes kept don't tell."""
+    if len(whole) == WHOLE:
+        probe = probe[probe <= whole[-1]]
+    return float(np.isin(probe, whole).mean()) if len(probe) else None
+
+
+def related(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether texts, given as (probe, whole), are copies of one another as far as told by their probes."""
+    if not len(a[0]) or not len(b[0]):  # nothing but the line in question
+        return len(a[0]) == len(b[0])
+    shares = [s for s in (_found(a[0], b[1]), _found(b[0], a[1])) if s is not None]
+    return not shares or max(shares) >= RELATED
+
+
+def join_unrelated(kept: list[tuple[np.ndarray, np.ndarray]], one: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Add a text to up to MIN_DOCS mutually unrelated ones; whether it was added."""
+    if len(kept) >= MIN_DOCS or any(related(one, x) for x in kept):
+        return False
+    kept.append(one)
+    return True
+
+
 def similarity(template: list[str], tokens: list[str]) -> float:
     """The share of tokens that agree; a wildcard agrees with anything."""
     return sum(a == b or a == "<*>" for a, b in zip(template, tokens)) / max(1, len(tokens))
@@ -186,6 +257,62 @@ def _recurring(support: DataFrame) -> Column:
     return (F.col("keys") >= MIN_DOCS) & (F.col("keys") >= UNRELATED * F.col("texts"))
 
 
+def _portraits(docs: DataFrame, lines: DataFrame, text_col: str) -> DataFrame:
+    """line, probe, whole: mutually unrelated texts (of a task) that hold one of ``lines``.
+
+    ``lines``: line, open; all lines of templates with MIN_DOCS texts, and
+    whether theirs isn't settled yet.
+    """
+    text = F.col(quoted(text_col))
+    k1, k2 = text_key(text)
+    rows = docs.where(text != "").select(k1.alias("k1"), k2.alias("k2"), text.alias("text"))
+    shared = None
+    if lines.count() <= BROADCAST_ROWS:
+        pdf = lines.toPandas()
+        shared = docs.sparkSession.sparkContext.broadcast(dict(zip(pdf["line"].tolist(), pdf["open"].tolist())))
+    else:
+        held = _occurrences(docs, text_col).join(lines, "line").groupBy("k1", "k2").agg(F.collect_list("line").alias("lines"), F.collect_list("open").alias("opens"))
+        rows = rows.dropDuplicates(["k1", "k2"]).join(held, ["k1", "k2"])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for pdf in batches:
+            line, probe, whole = [], [], []
+            for i, text in enumerate(pdf["text"]):
+                own = shared.value if shared is not None else dict(zip(pdf["lines"].iloc[i], pdf["opens"].iloc[i]))
+                parsed = [p[0] if (p := parse(raw)) else None for raw in text.split("\n")]
+                places: dict[int, list[int]] = {}
+                for at, h in enumerate(parsed):
+                    if h is not None and own.get(h):
+                        places.setdefault(h, []).append(at)
+                todo = [h for h in places if len(seen.get(h, ())) < MIN_DOCS]
+                if not todo:
+                    continue
+                portrait = Portrait(text, [h in own for h in parsed], [h is None for h in parsed])
+                for h in todo:
+                    one = (portrait.probe(places[h]), portrait.whole)
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    if join_unrelated(seen.setdefault(h, []), one):
+                        line.append(h), probe.append(one[0].astype(np.int64)), whole.append(one[1].astype(np.int64))
+            yield pd.DataFrame({"line": np.array(line, np.int64), "probe": objects(probe), "whole": objects(whole)})
+
+    return rows.mapInPandas(draw, "line long, probe array<long>, whole array<long>")
+
+
+def _unrelated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The templates with MIN_DOCS unrelated texts, over rows sorted by template."""
+    template, kept = None, []
+    for pdf in batches:
+        out = []
+        for t, probe, whole in zip(pdf["template"], pdf["probe"], pdf["whole"]):
+            if t != template:
+                template, kept = t, []
+            if join_unrelated(kept, (np.asarray(probe, np.uint32), np.asarray(whole, np.uint32))) and len(kept) == MIN_DOCS:
+                out.append(t)
+        yield pd.DataFrame({"template": np.array(out, np.int64)})
+
+
 def boilerplate(docs: DataFrame, occurrences: DataFrame, text_col: str = "text") -> DataFrame:
     """line: hashes of the masked lines whose template recurs."""
     by_sketch = materialize(occurrences.groupBy("line", "leaf", "sketch").agg(F.count(F.lit(1)).alias("texts")))
@@ -201,8 +328,13 @@ def boilerplate(docs: DataFrame, occurrences: DataFrame, text_col: str = "text")
         .groupBy(F.coalesce("template", "line").alias("template"), "sketch").agg(F.sum("texts").alias("texts"))
         .groupBy("template").agg(F.sum("texts").alias("texts"), F.count(F.lit(1)).alias("keys"))
     )
-    bad = support.where(_recurring(support)).select("template")
+    many = support.where(F.col("texts") >= MIN_DOCS).select("template", (~_recurring(support)).alias("open"))
     members = by_sketch.select("line").distinct().join(merged, "line", "left").select("line", F.coalesce("template", "line").alias("template"))
+    members = materialize(members.join(many, "template"))
+    portraits = _portraits(docs, members.select("line", "open"), text_col).join(members.where("open").select("line", "template"), "line")
+    found = portraits.select("template", "probe", "whole").repartition("template").sortWithinPartitions("template", "probe", "whole")
+    more = found.mapInPandas(_unrelated, "template long")
+    bad = members.where("NOT open").select("template").union(more).distinct()
     return members.join(bad, "template", "left_semi").select("line")
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from brute import boilerplate, without_lines
 
@@ -63,3 +64,31 @@ def test_wildcards_and_short_lines():
     assert ln.masked("  at 10:32  user42 came ") == "at <*> <*> came"
     assert ln.parse("two words") is None and ln.parse("") is None
     assert ln.parse("now three words")[2] == "now three words"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(n))
+
+
+def kept_of(spark, texts, line):
+    """In how many texts the line is left, and the lines dropped besides."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = ln.dedup_lines(df).collect()
+    left = sum(line in r["text"].split("\n") for r in rows)
+    return left, sum(len(r["dropped_lines"]) for r in rows) - sum(line in t.split("\n") for t in texts) + left
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_near_copies_of_one_host_do_not_keep_a_passage(spark, monkeypatch, limit):
+    monkeypatch.setattr(ln, "BROADCAST_ROWS", limit)
+    rng = np.random.default_rng(1)
+    passage = prose(rng, 60)
+    base = [prose(rng, 12) for _ in range(20)]
+    texts = ["\n".join([prose(rng, 12) for _ in range(6)] + [passage]) for _ in range(5)]
+    for _ in range(300):
+        copy = [x.split(" ") for x in base]
+        for k in rng.integers(0, 20, 4):
+            copy[k][rng.integers(0, 12)] = prose(rng, 1)  # also among the first words, which make another leaf
+        texts.append("\n".join([" ".join(x) for x in copy] + [passage]))
+    assert kept_of(spark, texts, passage) == (0, 0)
+    assert kept_of(spark, texts[5:], passage)[0] == 300  # copies alone keep it
