@@ -90,6 +90,12 @@ def sketches(text: str) -> np.ndarray:
     return np.minimum(before, after).astype(np.int64)
 
 
+def key(line: str) -> int | None:
+    """The hash that ``parse`` gives."""
+    line = masked(line)
+    return line_hash(line) if line.count(" ") + 1 >= MIN_TOKENS else None
+
+
 class Portrait:
     """The least hashes of the runs of 16 bytes in a text, with the lines they stand in.
 
@@ -280,7 +286,7 @@ def _portraits(docs: DataFrame, lines: DataFrame, text_col: str) -> DataFrame:
             line, probe, whole = [], [], []
             for i, text in enumerate(pdf["text"]):
                 own = shared.value if shared is not None else dict(zip(pdf["lines"].iloc[i], pdf["opens"].iloc[i]))
-                parsed = [p[0] if (p := parse(raw)) else None for raw in text.split("\n")]
+                parsed = [key(raw) for raw in text.split("\n")]
                 places: dict[int, list[int]] = {}
                 for at, h in enumerate(parsed):
                     if h is not None and own.get(h):
@@ -348,7 +354,7 @@ def _cut_all(rows: list[tuple[str | None, frozenset]]) -> pd.DataFrame:
         at: list[int] = []
         if text and bad:
             lines = text.split("\n")
-            at = [i for i, raw in enumerate(lines) if (p := parse(raw)) and p[0] in bad]
+            at = [i for i, raw in enumerate(lines) if key(raw) in bad]
             gone = set(at)
             text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         texts.append(text if at else None)

@@ -92,3 +92,22 @@ def test_near_copies_of_one_host_do_not_keep_a_passage(spark, monkeypatch, limit
         texts.append("\n".join([" ".join(x) for x in copy] + [passage]))
     assert kept_of(spark, texts, passage) == (0, 0)
     assert kept_of(spark, texts[5:], passage)[0] == 300  # copies alone keep it
+
+
+@pytest.mark.parametrize("n_block, n_own", [(15, 2), (30, 2), (30, 10)])
+def test_a_block_of_lines_goes_from_its_hosts(spark, n_block, n_own):
+    rng = np.random.default_rng(2)
+    block = [prose(rng, 10) for _ in range(n_block)]
+    texts = ["\n".join([prose(rng, 10) for _ in range(n_own)] + block) for _ in range(60)]
+    for line in block[:: n_block - 1]:
+        assert kept_of(spark, texts, line) == (0, 60 * (n_block - 1))
+
+
+def test_texts_of_one_line_do_not_keep_it_elsewhere(spark):
+    rng = np.random.default_rng(3)
+    notice = "This notice number 7 is sent with every one of our messages"
+    alone = [notice.replace("7", str(10 + i)) for i in range(40)]
+    hosts = ["\n".join([prose(rng, 12), prose(rng, 12), notice]) for _ in range(4)]
+    assert kept_of(spark, alone + hosts, notice)[0] == 0
+    df = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
+    assert ln.dedup_lines(df).where("text = ''").count() == 0  # copies of one text, for near-duplicate removal
