@@ -36,9 +36,6 @@ LEET = {
 SEPARATORS = " .-_*~/\\,'`^:;#=​‌‍­"
 _LOG_SUB, _LOG_DROP, _LOG_REPEAT = math.log(0.1), math.log(0.3), math.log(0.25)
 _STRIP = ".,;:!?\"'()[]{}<>|%&*#=~`^…“”«»¿¡-_/\\"
-_SUSPECT = re.compile(r"[0-9@$!|+(€£¡*._\-~/\\^:;#='`​‌‍­]|(.)\1\1")
-#: Single characters with one separator between them: s t u p i d.
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*](?:[^\W_]|[@$!|+])){2,}(?!\S)")
 #: Numbers of different words with a stem from which it weighs more.
 RECURRENCES = (2, 3, 4)
 #: A restored word longer than this holds no lexicon entry.
@@ -218,6 +215,11 @@ def _document_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         yield pd.DataFrame({"toxic": np.array(toxic, np.int32), "feature": objects(feature), "word": objects(word)})
 
 
+def readings(ch: str) -> str:
+    """The letters that a written character may stand for, itself first."""
+    return "".join(dict.fromkeys((ch if ch in _INDEX and ch != " " else "") + LEET.get(ch, "")))
+
+
 def decode(written: str, trigram: np.ndarray) -> str:
     """The most likely letters behind ``written`` (Viterbi over the lattice).
 
@@ -227,7 +229,7 @@ def decode(written: str, trigram: np.ndarray) -> str:
     # beam of states: (letter before last, last letter) -> (score, text)
     beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for ch in written:
-        options = [(c, 0.0 if c == ch else _LOG_SUB) for c in dict.fromkeys((ch if ch in _INDEX and ch != " " else "") + LEET.get(ch, ""))]
+        options = [(c, 0.0 if c == ch else _LOG_SUB) for c in readings(ch)]
         drop = ch in SEPARATORS or ch in _STRIP
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, out) in beam.items():
@@ -252,6 +254,60 @@ def squeeze(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
+def shortened(written: str) -> str:
+    """``written`` with runs of one character of at most three, which read alike, and separators not repeated."""
+    return re.sub(r"(.)\1{3,}", r"\1\1\1", written)
+
+
+class Reach:
+    """Which written characters can be read as a lexicon entry.
+
+    A tree of the entries without repetitions; a character leads on by each
+    of its readings, and stays where it may stand for nothing or repeat.
+    Readings that don't lead to an entry end early, so long tokens and texts
+    cost little, and whatever the decoder could restore to an entry is let through.
+    """
+
+    def __init__(self, entries: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.letter = [""]
+        self.word: set[int] = set()
+        self.stem: set[int] = set()
+        for f in entries:
+            is_word = f[0] == "="
+            at = 0
+            for c in squeeze(f[1:] if is_word else f.partition("*")[0]):
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.letter.append(c)
+                at = self.next[at][c]
+            (self.word if is_word else self.stem).add(at)
+        self.cache: dict[str, tuple[str, bool]] = {}
+
+    def step(self, states: set[int], written: str) -> tuple[set[int], bool]:
+        """The places after ``written``, and whether a stem was passed."""
+        passed = False
+        for ch in written:
+            got = self.cache.get(ch)
+            if got is None:
+                letters = readings(ch)
+                got = self.cache[ch] = (letters, not letters or ch in SEPARATORS or ch in _STRIP)
+            letters, drop = got
+            new = set(states) if drop else set()
+            for at in states:
+                for c in letters:
+                    if c in self.next[at]:
+                        new.add(self.next[at][c])
+                    if c == self.letter[at]:
+                        new.add(at)
+            states = new
+            if not states:
+                break
+            passed = passed or not states.isdisjoint(self.stem)
+        return states, passed
+
+
 class Scorer:
     """Scores texts; keeps the scores of words seen before."""
 
@@ -264,6 +320,8 @@ class Scorer:
             if star and k and f[0] != "=":
                 self.recurring.setdefault(stem, {})[int(k)] = w
         self.known: dict[str, tuple[float, str, tuple[str, ...]] | None] = {}
+        self.reach = Reach(list(model.weights))
+        self.starts: dict[str, bool] = {}
 
     def weight(self, word: str) -> float:
         return max((self.model.weights.get(f, 0.0) for f in features(word)), default=0.0)
@@ -280,13 +338,60 @@ class Scorer:
         if w or own:
             return w, word, own
         core = token.rstrip(".,;:!?%&\"')]}").lstrip("\"'([{<.,;:%&*#")
-        if not 3 <= len(core) <= MAX_DECODE or not _SUSPECT.search(core) or sum(c.isalpha() for c in core) * 4 < len(core):
+        if len(core) < 3:
             return None
+        ends, passed = self.reach.step({0}, core)
+        if not passed and ends.isdisjoint(self.reach.word):
+            return None
+        if len(core) > MAX_DECODE:  # its letters may still be few
+            core = shortened(core)
+            if ends.isdisjoint(self.reach.word) and sum(c.isalpha() for c in squeeze(core)) > MAX_DECODE:
+                return None
         restored = decode(core, self.model.trigram)
         w = self.restored_weight(restored) if len(restored) >= 3 else 0.0
         own = tuple(s for s in stems(restored) if s in self.recurring)
         return (w, restored, own) if w or own else None
 
+    def split_words(self, tokens: list[str]) -> Iterator[tuple[str, float]]:
+        """Offending words that are spelled over several tokens, wherever they begin, and their weights.
+
+        One pass: each place in the tree of entries goes with the latest token from which it is reached.
+        """
+        starts, reach = self.starts, self.reach
+        places: dict[int, int] = {}
+        for j, token in enumerate(tokens):
+            try:
+                begins = starts[token]
+            except KeyError:
+                if len(starts) > _CACHE_LIMIT:
+                    starts.clear()
+                begins = starts[token] = tuple(reach.step({0}, token)[0] - {0})
+            if not places and not begins:
+                continue
+            now: dict[int, int] = {}
+            for at, start in places.items():
+                for to in reach.step({at}, token)[0]:
+                    now[to] = max(start, now.get(to, -1))
+            for at, start in now.items():
+                if at in places:  # told before
+                    continue
+                if at in reach.word and (hit := self.joined(tokens[start : j + 1])):
+                    yield hit
+                if at in reach.stem and all(len(t) == 1 for t in tokens[start : j + 1]):  # up to the last single letter
+                    end = j + 1
+                    while end < len(tokens) and len(tokens[end]) == 1 and end - start <= MAX_DECODE:
+                        end += 1
+                    if hit := self.joined(tokens[start:end]):
+                        yield hit
+            for at in begins:
+                now[at] = j
+            places = now
+
+    def joined(self, pieces: list[str]) -> tuple[str, float] | None:
+        restored = decode(shortened("".join(pieces)), self.model.trigram)
+        w = self.restored_weight(restored) if len(restored) >= 3 else 0.0
+        return (restored, w) if w else None
+
     def score(self, text: str | None) -> tuple[float, list[str]]:
         """The sum of the weights of the distinct offending words and of the heaviest recurring stem, and the words."""
         if not text or not self.model.weights:
@@ -295,7 +400,8 @@ class Scorer:
         groups: dict[str, set[str]] = {}
         low = text.lower()
         known = self.known
-        for token in set(low.split()):
+        tokens = low.split()
+        for token in set(tokens):
             try:
                 hit = known[token]
             except KeyError:
@@ -307,15 +413,8 @@ class Scorer:
                     found[hit[1]] = hit[0]
                 for s in hit[2]:
                     groups.setdefault(s, set()).add(hit[1])
-        for m in _SPACED.finditer(low):
-            run = m.group(0)
-            if len(run) > 4 * MAX_DECODE:
-                continue
-            restored = decode(run, self.model.trigram)
-            for word in (restored, restored[1:], restored[:-1]):
-                if len(word) >= 3 and (w := self.restored_weight(word)):
-                    found[word] = w
-                    break
+        for word, w in self.split_words(tokens):
+            found[word] = w
         best, stem = max(((max((w for k, w in self.recurring[s].items() if k <= len(ws)), default=0.0), s) for s, ws in groups.items()), default=(0.0, ""))
         return round(sum(found.values()) + best, 6), sorted(set(found) | (groups[stem] if best else set()))
 

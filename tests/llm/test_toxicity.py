@@ -142,3 +142,24 @@ def test_equal_rows_score_equal(spark):
     model = tx.ToxicityModel(uniform(), {"=dreadfool": 4.0}, 2.0)
     df = spark.createDataFrame([(1, "you dreadfool")] * 5 + [(2, "d r e a d f o o l")], "doc_id long, text string").repartition(4)
     assert {(r["toxicity"], r["is_toxic"]) for r in tx.score_documents(df, model).collect()} == {(4.0, True)}
+
+
+LEXICON = {"=idiot": 5.0, "=loser": 5.0, "=stupid": 5.0}
+
+
+def english():
+    """A character model of a few sentences that hold the words of LEXICON."""
+    total = np.zeros((tx.N_SYMBOLS,) * 3)
+    codes = [0, 0, *(tx._INDEX[c] for c in "you are an idiot and a loser and so stupid that nobody is as stupid a loser or an idiot as you " * 20)]
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        total[a, b, c] += 1
+    return np.log((total + 0.01) / (total + 0.01).sum(2, keepdims=True)).astype(np.float32)
+
+
+@pytest.mark.parametrize(
+    "written, word",
+    [("1d107", "idiot"), ("1053r", "loser"), ("10$3r", "loser"), ("stuupid", "stupid"), ("iddiot", "idiot"), ("loozer", "loser"), ("i" * 90 + "diot", "idiot")],
+)
+def test_words_of_few_letters_and_single_changes_are_decoded(written, word):
+    score, found = tx.Scorer(tx.ToxicityModel(english(), LEXICON, 4.0)).score(f"well {written} there")
+    assert score == 5.0 and [tx.squeeze(w) for w in found] == [word]
