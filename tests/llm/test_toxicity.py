@@ -163,3 +163,15 @@ def english():
 def test_words_of_few_letters_and_single_changes_are_decoded(written, word):
     score, found = tx.Scorer(tx.ToxicityModel(english(), LEXICON, 4.0)).score(f"well {written} there")
     assert score == 5.0 and [tx.squeeze(w) for w in found] == [word]
+
+
+@pytest.mark.parametrize(
+    "written",
+    ["y o u i d i o t", "a b c " * 100 + "i d i o t", "i  d \n i  o  t", "idi ot", "i - d - i - o - t", "1 d 1 0 t", "i d" + " -" * 200 + " i o t"],
+)
+def test_words_spelled_over_tokens_are_found(written):
+    assert tx.Scorer(tx.ToxicityModel(english(), LEXICON, 4.0)).score(f"well {written} there") == (5.0, ["idiot"])
+
+
+def test_words_that_go_on_are_not_joined():
+    assert tx.Scorer(tx.ToxicityModel(english(), LEXICON, 4.0)).score("an idi otter, a lo serving, st up idle")[0] == 0
