@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,62 @@ def centroid_pairs(df: DataFrame, group: str, vector: str, floor: float | None =
     return pairs if floor is None else pairs.where(F.col("similarity") >= floor)
 
 
+def _unit(values: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> (positions, unit vectors); zero vectors stay, vectors that are missing or hold no number are zero."""
+    groups: dict[int, list[int]] = {}
+    for i, v in enumerate(values):
+        groups.setdefault(0 if v is None else len(v), []).append(i)
+    out = {}
+    for n, at in groups.items():
+        m = np.array([values.iloc[i] for i in at], np.float64).reshape(len(at), n) if n else np.zeros((len(at), 0))
+        m[~np.isfinite(m).all(1)] = 0.0
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        out[n] = np.array(at), m / np.where(size > 0, size, 1.0)
+    return out
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int, block: int = 8_000) -> DataFrame:
+    """qid, key, similarity: the ``k`` most similar others of every row, exact.
+
+    Rows are dealt into blocks of about ``block``, and every pair of blocks is
+    one product of matrices, strip by strip, so a task holds two blocks and each
+    product leaves ``k`` rows a query; the work grows with the square of the rows.
+    Similarities are rounded to six decimals, ties go to the lesser key; it is
+    0 where lengths differ or a vector is zero or missing.  Keys are unique.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    n = max(1, -(-df.count() // block))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
+    strip = min(block, 500)
+    blocks = F.sequence(F.lit(0), F.lit(n - 1))
+    queries = rows.select("id", "v", F.col("b").alias("i"), F.explode(blocks).alias("j"))
+    items = rows.select("id", "v", F.explode(blocks).alias("i"), F.col("b").alias("j"))
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("id", ignore_index=True)
+        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+        left, right = _unit(a["v"]), _unit(b["v"])
+        qid, vec, sim = [], [], []
+        strips = [(n, at[x : x + strip], m[x : x + strip]) for n, (at, m) in left.items() for x in range(0, len(at), strip)]
+        for n, at, m in strips:
+            s = np.zeros((len(at), len(b)))
+            if n in right:
+                s[:, right[n][0]] = np.round(m @ right[n][1].T, 6)
+            s[ids[at][:, None] == others[None, :]] = -np.inf
+            for row, q in zip(s, ids[at]):
+                top = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                top = top[np.argsort(-row[top], kind="stable")][:k]  # the order of ids among equals
+                top = top[row[top] > -np.inf]
+                qid += [q] * len(top)
+                vec += list(others[top])
+                sim += list(row[top] + 0.0)
+        return pd.DataFrame({"qid": pd.Series(qid, dtype=ids.dtype), "id": pd.Series(vec, dtype=others.dtype), "similarity": np.array(sim, np.float64)})
+
+    parts = queries.groupBy("i", "j").cogroup(items.groupBy("i", "j")).applyInPandas(product, f"qid {kind}, id {kind}, similarity double")
+    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
+    return parts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).select("qid", F.col("id").alias(key), "similarity")
+
+
 def reciprocal(pairs: DataFrame, k: int, similarity: str = "similarity") -> DataFrame:
     """The pairs (a, b) that are among the k best of both ends."""
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), similarity).union(pairs.select("b", "a", similarity))

@@ -101,6 +101,12 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.orderBy(F.desc("similarity"), "vec_id").limit(10)
 
 
+@query()
+def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, vec_id, similarity: the 10 nearest of every vector, exact; ``cosine_topk`` has those of the first alone."""
+    return relate.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+
+
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 
 
