@@ -118,11 +118,17 @@ class Portrait:
         inside = np.arange(size) + 16 <= ends[line]  # runs that reach over the end of a line are not of it
         self.hashes, self.line = mixed[inside], line[inside]
         self.whole = least(self.hashes, WHOLE)
+        self.first = np.argsort(self.hashes, kind="stable")[: 2 * WHOLE]
         free = ~(np.array(shared, bool) | np.array(short, bool))
         self.own = least(self.hashes[free[self.line]], PROBE) if free.any() else np.zeros(0, np.uint32)
 
     def probe(self, same: list[int]) -> np.ndarray:
-        return self.own if len(self.own) else least(self.hashes[~np.isin(self.line, same)], PROBE)
+        if len(self.own):
+            return self.own
+        near = np.unique(self.hashes[self.first[~np.isin(self.line[self.first], same)]])[:PROBE]
+        if len(near) == PROBE or len(self.first) == len(self.hashes):
+            return near
+        return least(self.hashes[~np.isin(self.line, same)], PROBE)
 
 
 def least(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -138,7 +144,10 @@ def _found(probe: np.ndarray, whole: np.ndarray) -> float | None:
     """The share of ``probe`` in the text of ``whole``; None where the hashes kept don't tell."""
     if len(whole) == WHOLE:
         probe = probe[probe <= whole[-1]]
-    return float(np.isin(probe, whole).mean()) if len(probe) else None
+    if not len(probe) or not len(whole):
+        return None if not len(probe) else 0.0
+    at = np.minimum(np.searchsorted(whole, probe), len(whole) - 1)
+    return float((whole[at] == probe).mean())
 
 
 def related(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
@@ -300,10 +309,16 @@ def _portraits(docs: DataFrame, lines: DataFrame, text_col: str) -> DataFrame:
                     if len(seen) > REMEMBERED:
                         seen.clear()
                     if join_unrelated(seen.setdefault(h, []), one):
-                        line.append(h), probe.append(one[0].astype(np.int64)), whole.append(one[1].astype(np.int64))
-            yield pd.DataFrame({"line": np.array(line, np.int64), "probe": objects(probe), "whole": objects(whole)})
+                        line.append(h), probe.append(one[0].view(np.int32)), whole.append(one[1].view(np.int32))
+                if len(line) >= 1_000:  # a row is about a kilobyte
+                    yield frame(line, probe, whole)
+                    line, probe, whole = [], [], []
+            yield frame(line, probe, whole)
 
-    return rows.mapInPandas(draw, "line long, probe array<long>, whole array<long>")
+    def frame(line: list[int], probe: list[np.ndarray], whole: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"line": np.array(line, np.int64), "probe": objects(probe), "whole": objects(whole)})
+
+    return rows.mapInPandas(draw, "line long, probe array<int>, whole array<int>")
 
 
 def _unrelated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,7 +329,7 @@ def _unrelated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t, probe, whole in zip(pdf["template"], pdf["probe"], pdf["whole"]):
             if t != template:
                 template, kept = t, []
-            if join_unrelated(kept, (np.asarray(probe, np.uint32), np.asarray(whole, np.uint32))) and len(kept) == MIN_DOCS:
+            if join_unrelated(kept, (np.array(probe, np.int32).view(np.uint32), np.array(whole, np.int32).view(np.uint32))) and len(kept) == MIN_DOCS:
                 out.append(t)
         yield pd.DataFrame({"template": np.array(out, np.int64)})
 
