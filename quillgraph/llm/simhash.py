@@ -8,7 +8,9 @@ from the start keeps within its share of the budget.  So for each block a
 binary trie is built over the fingerprints rotated to begin there, and the
 trie is joined with itself by walking pairs of nodes together: each step
 down adds the bits in which the two paths differ, and a pair is left as soon
-as it exceeds the budget of its depth.
+as it exceeds the budget of its depth.  Only connected groups are wanted, so
+a pair of nodes is left as well when all of it is connected already; for a
+family of near copies, comparing each with the next few in order sees to that.
 
 Subtrees are the unit of distribution: a task holds one pair of subtrees of
 one rotation.  Only edges of a spanning forest leave a task, so a group of
@@ -35,8 +37,8 @@ BLOCKS = 7
 STARTS = [i * BITS // BLOCKS for i in range(BLOCKS)]
 #: Fingerprints in a subtree; beyond it the trie is cut one bit deeper.
 SUBTREE = 200_000
-#: Node pairs walked, and fingerprint pairs compared, at a time.
-_WALK, _COMPARE = 1_000_000, 4_000_000
+#: Node pairs walked, and fingerprint pairs compared, at a time; successors in order that are compared first.
+_WALK, _COMPARE, _NEXT = 500_000, 2_000_000, 4
 _CACHE_LIMIT = 400_000
 
 
@@ -126,7 +128,43 @@ class _Trie:
         return right - (ones[right] - ones[left])
 
 
-def _compare(a: _Trie, b: _Trie, pairs: np.ndarray, same: bool) -> Iterator[np.ndarray]:
+class Forest:
+    """The smallest position connected with each of n, by hooking and jumping."""
+
+    def __init__(self, n: int):
+        self.root, self.changes = np.arange(n), 0
+
+    def add(self, e: np.ndarray) -> None:
+        root = self.root
+        while True:
+            x, y = root[e[0]], root[e[1]]
+            differ = x != y
+            if not differ.any():
+                break
+            e, x, y = e[:, differ], x[differ], y[differ]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (jumped := root[root] != root).any():
+                root = np.where(jumped, root[root], root)
+            self.changes += 1
+        self.root = root
+
+
+def neighbours(hi: np.ndarray, lo: np.ndarray, leading: int = 0) -> np.ndarray:
+    """Pairs of positions within the budget among those that follow each other in the order of the bits from ``leading`` on.
+
+    They connect most of a family of near copies, so that the walk can leave
+    whatever lies within it.
+    """
+    order = np.lexsort((lo, hi & np.uint64((1 << (64 - leading)) - 1)))
+    found = [np.zeros((2, 0), np.int64)]
+    for step in range(1, 1 + min(_NEXT, len(order) - 1)):
+        i, j = order[:-step], order[step:]
+        near = np.bitwise_count(hi[i] ^ hi[j]).astype(np.int64) + np.bitwise_count(lo[i] ^ lo[j]) <= BUDGET
+        found.append(np.stack([i[near], j[near]]))
+    return np.concatenate(found, axis=1)
+
+
+def _compare(a: _Trie, b: _Trie, pairs: np.ndarray, same: bool, at_a: np.ndarray, at_b: np.ndarray, forest: Forest) -> None:
     la, ra, lb, rb = pairs[:4]
     width = rb - lb
     n = (ra - la) * width
@@ -144,18 +182,22 @@ def _compare(a: _Trie, b: _Trie, pairs: np.ndarray, same: bool) -> Iterator[np.n
             i, j = i[ok], j[ok]
         near = np.bitwise_count(a.hi[i] ^ b.hi[j]).astype(np.int64) + np.bitwise_count(a.lo[i] ^ b.lo[j]) <= BUDGET
         if near.any():
-            yield np.stack([a.order[i[near]], b.order[j[near]]])
+            forest.add(np.stack([at_a[i[near]], at_b[j[near]]]))
         at = upto
 
 
-def join_subtrees(a: _Trie, b: _Trie, depth: int, differ: int, start: int) -> Iterator[np.ndarray]:
-    """Pairs (position in a, position in b) within the budget; a is b: each pair once.
+def join_subtrees(a: _Trie, b: _Trie, depth: int, differ: int, start: int, forest: Forest, at_a: np.ndarray, at_b: np.ndarray) -> None:
+    """Connect in ``forest`` all pairs within the budget; ``at_a`` and ``at_b``: positions there.
 
-    Walks pairs of nodes from ``depth`` down, accumulating differing bits.
+    Walks pairs of nodes from ``depth`` down, accumulating differing bits, and
+    leaves a pair over the budget of its depth, or whose fingerprints are all
+    connected already.
     """
     if not len(a.hi) or not len(b.hi):
         return
     same, budget = a is b, depth_budget(start)
+    at_a, at_b = at_a[a.order], at_b[b.order]
+    seen, roots_a, roots_b, steps_a, steps_b = -1, *[np.zeros(0, np.int64)] * 4
     stack = [(depth, np.array([[0], [len(a.hi)], [0], [len(b.hi)], [differ]], np.int64))]
     while stack:
         depth, nodes = stack.pop()
@@ -163,18 +205,23 @@ def join_subtrees(a: _Trie, b: _Trie, depth: int, differ: int, start: int) -> It
             half = nodes.shape[1] // 2
             stack += [(depth, nodes[:, :half]), (depth, nodes[:, half:])]
             continue
-        small = (nodes[1] - nodes[0]) * (nodes[3] - nodes[2]) <= 4
-        if depth < 64 and depth >= STARTS[1]:
-            done = small
-        elif depth >= 64:
+        if seen != forest.changes:
+            seen, roots_a, roots_b = forest.changes, forest.root[at_a], forest.root[at_b]
+            steps_a, steps_b = (np.concatenate([[0], np.cumsum(r[1:] != r[:-1])]) for r in (roots_a, roots_b))
+        la, ra, lb, rb, _ = nodes
+        one = (steps_a[ra - 1] == steps_a[la]) & (steps_b[rb - 1] == steps_b[lb]) & (roots_a[la] == roots_b[lb])
+        nodes = nodes[:, ~one]
+        if depth == BITS:
             done = np.ones(nodes.shape[1], bool)
+        elif depth >= STARTS[1]:
+            done = (nodes[1] - nodes[0]) * (nodes[3] - nodes[2]) <= (4 if depth < 64 else 256)
         else:
             done = np.zeros(nodes.shape[1], bool)
         if done.any():
-            yield from _compare(a, b, nodes[:, done], same)
+            _compare(a, b, nodes[:, done], same, at_a, at_b, forest)
             nodes = nodes[:, ~done]
-            if not nodes.shape[1]:
-                continue
+        if not nodes.shape[1]:
+            continue
         la, ra, lb, rb, d = nodes
         ma, mb = a.split(la, ra, depth), b.split(lb, rb, depth)
         kids = [(la, ma, lb, mb, d), (ma, ra, mb, rb, d), (la, ma, mb, rb, d + 1)]
@@ -192,24 +239,6 @@ def join_subtrees(a: _Trie, b: _Trie, depth: int, differ: int, start: int) -> It
             stack.append((depth + 1, nxt[:, ok]))
 
 
-def spanning(n: int, edges: Iterator[np.ndarray]) -> np.ndarray:
-    """The smallest position connected with each of n, by hooking and jumping."""
-    root = np.arange(n)
-    for e in edges:
-        while True:
-            x, y = root[e[0]], root[e[1]]
-            differ = x != y
-            if not differ.any():
-                break
-            e, x, y = e[:, differ], x[differ], y[differ]
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while (jumped := root[root] != root).any():
-                root = np.where(jumped, root[root], root)
-    while (root[root] != root).any():
-        root = root[root]
-    return root
-
-
 def _prefixes(bits: int) -> list[tuple[int, int]]:
     """Masks of ``bits`` bits with as many ones as the first block may differ in."""
     out = []
@@ -219,51 +248,93 @@ def _prefixes(bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def _to_subtrees(bits: int):
+def _own_prefix(rh: np.ndarray, bits: int) -> np.ndarray:
+    return (rh >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rh), np.int64)
+
+
+def _count_subtrees(bits: int):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            hi, lo = pdf["hi"].to_numpy(), pdf["lo"].to_numpy()
+            for start in STARTS:
+                own, n = np.unique(_own_prefix(rotate(hi, lo, start)[0], bits), return_counts=True)
+                yield pd.DataFrame({"start": np.full(len(own), start, np.int32), "a": own, "n": n})
+
+    return count
+
+
+def _to_subtrees(bits: int, parts: dict[tuple[int, int], int]):
+    """``parts``: into how many parts (start, prefix) is dealt, where more than one."""
     masks = _prefixes(bits)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, hi, lo = pdf["id"].to_numpy(), pdf["hi"].to_numpy(), pdf["lo"].to_numpy()
+            mixed = ((hi ^ (lo * 31)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             for start in STARTS:
                 rh, rl = rotate(hi, lo, start)
-                own = (rh >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(ids), np.int64)
+                own = _own_prefix(rh, bits)
+                hot = np.array([p for s, p in parts if s == start], np.int64)
                 for mask, _ in masks:
                     other = own ^ mask
-                    yield pd.DataFrame({"start": np.full(len(ids), start, np.int32), "a": np.minimum(own, other), "b": np.maximum(own, other), "side": (own > other).astype(np.int8), "id": ids, "hi": rh.astype(np.int64), "lo": rl.astype(np.int64)})
+                    row, part, theirs = np.arange(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+                    if len(hot) and (touched := np.isin(own, hot) | np.isin(other, hot)).any():
+                        mine = np.array([parts.get((start, p), 1) for p in own.tolist()])
+                        many = np.where(touched, [parts.get((start, p), 1) for p in other.tolist()], 1)
+                        row = np.repeat(row, many)
+                        theirs = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                        part = (mixed % mine)[row]
+                    x, y = own[row], other[row]
+                    second = (x > y) | ((x == y) & (part > theirs))
+                    yield pd.DataFrame({
+                        "start": np.full(len(row), start, np.int32), "a": np.minimum(x, y), "b": np.maximum(x, y),
+                        "pa": np.where(second, theirs, part), "pb": np.where(second, part, theirs), "side": second.astype(np.int8),
+                        "id": ids[row], "hi": rh.astype(np.int64)[row], "lo": rl.astype(np.int64)[row],
+                    })
 
     return spread
 
 
 def _join_group(bits: int):
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        start, pa, pb = (int(x) for x in key)
+        start, ka, kb, pa, pb = (int(x) for x in key)
         pdf = pdf.sort_values("id", kind="stable")  # the smallest position is the smallest id
         ids, side = pdf["id"].to_numpy(), pdf["side"].to_numpy()
         hi, lo = pdf["hi"].to_numpy().astype(np.uint64), pdf["lo"].to_numpy().astype(np.uint64)
         at_a, at_b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        forest = Forest(len(ids))
+        for at in (at_a, at_b):
+            if len(at) > 1:
+                forest.add(at[neighbours(hi[at], lo[at])])
         a = _Trie(hi[at_a], lo[at_a])
-        if pa == pb:
+        if (ka, pa) == (kb, pb):
+            before = np.arange(len(ids))
             b, at_b = a, at_a
-        else:
+        else:  # what is connected within one side is told by other tasks
+            before = forest.root.copy()
             b = _Trie(hi[at_b], lo[at_b])
-        edges = (np.stack([at_a[e[0]], at_b[e[1]]]) for e in join_subtrees(a, b, bits, (pa ^ pb).bit_count(), start))
-        root = spanning(len(ids), edges)
-        tied = np.flatnonzero(root != np.arange(len(ids)))
-        return pd.DataFrame({"id": ids[tied], "root": ids[root[tied]]})
+            forest.add(neighbours(hi, lo, bits))
+        join_subtrees(a, b, bits, (ka ^ kb).bit_count(), start, forest, at_a, at_b)
+        tied = np.flatnonzero((before == np.arange(len(ids))) & (forest.root != before))
+        return pd.DataFrame({"id": ids[tied], "root": ids[forest.root[tied]]})
 
     return join
 
 
-def near_edges(fingerprints: DataFrame, n: int) -> DataFrame:
+def near_edges(fingerprints: DataFrame, n: int, subtree: int = SUBTREE) -> DataFrame:
     """id, root: edges that connect all of (id, hi, lo) within the budget.
 
-    ``n``: how many there are; it sets how deep the trie is cut.
+    ``n``: how many there are; it sets how deep the trie is cut.  A subtree of
+    more than twice ``subtree`` fingerprints, such as a family of near copies,
+    is dealt into parts, and each pair of parts is a task of its own.
     """
-    bits = max(0, math.ceil(math.log2(max(1, n) / SUBTREE)))
+    bits = min(STARTS[1], max(0, math.ceil(math.log2(max(1, n) / subtree))))
+    sizes = fingerprints.mapInPandas(_count_subtrees(bits), "start int, a long, n long").groupBy("start", "a").agg(F.sum("n").alias("n"))
+    large = sizes.where(F.col("n") > 2 * subtree).collect()  # at most 7 n / (2 subtree)
+    parts = {(r["start"], r["a"]): -(-r["n"] // subtree) for r in large}
     return (
-        fingerprints.mapInPandas(_to_subtrees(bits), "start int, a long, b long, side byte, id long, hi long, lo long")
-        .groupBy("start", "a", "b")
+        fingerprints.mapInPandas(_to_subtrees(bits, parts), "start int, a long, b long, pa long, pb long, side byte, id long, hi long, lo long")
+        .groupBy("start", "a", "b", "pa", "pb")
         .applyInPandas(_join_group(bits), "id long, root long")
         .distinct()
     )

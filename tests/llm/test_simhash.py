@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from brute import hamming, near_groups, roots
 from pyspark.sql import functions as F
@@ -36,6 +37,40 @@ def test_join_connects_exactly_the_pairs_within_the_budget(spark, deep):
     assert len(set(roots(len(prints), pairs))) not in (1, len(prints))
 
 
+def family(n, seed=5, flips=8):
+    """Distinct fingerprints that differ from one in ``flips`` bits."""
+    rng = np.random.default_rng(seed)
+    centre = rng.integers(0, 2, 128, np.uint8)
+    out = set()
+    while len(out) < n:
+        row = centre.copy()
+        row[rng.choice(128, flips, replace=False)] ^= 1
+        out.add(tuple(int(x) for x in np.packbits(row).view(">i8")))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("subtree", [10, 25, 60])
+def test_large_subtrees_in_parts_connect_the_same_pairs(spark, subtree):
+    prints = sorted({*random_prints(200), *family(80), *family(40, 6, 12)})
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(prints)], "id long, hi long, lo long")
+    edges = sh.near_edges(df, 4 * subtree, subtree).collect()
+    pairs = [(i, j) for i in range(len(prints)) for j in range(i) if hamming(prints[i], prints[j]) <= sh.BUDGET]
+    assert roots(len(prints), [(e["id"], e["root"]) for e in edges]) == roots(len(prints), pairs)
+
+
+def test_a_large_family_is_not_compared_pair_by_pair():
+    import time
+
+    prints = np.array([*family(30_000), *random_prints(2_000)], np.int64).astype(np.uint64)
+    for start in sh.STARTS[:2]:
+        hi, lo = sh.rotate(prints[:, 0], prints[:, 1], start)
+        pdf = pd.DataFrame({"id": np.arange(len(hi)), "side": 0, "hi": hi.astype(np.int64), "lo": lo.astype(np.int64)})
+        began = time.process_time()
+        got = sh._join_group(0)((start, 0, 0, 0, 0), pdf)
+        assert time.process_time() - began < 15  # pair by pair it is minutes
+        assert len(set(got["id"])) >= 29_999
+
+
 def test_some_rotation_keeps_within_its_budget():
     rng = np.random.default_rng(0)
     for _ in range(2000):
