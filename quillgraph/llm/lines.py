@@ -166,9 +166,69 @@ def join_unrelated(kept: list[tuple[np.ndarray, np.ndarray]], one: tuple[np.ndar
     return True
 
 
-def similarity(template: list[str], tokens: list[str]) -> float:
-    """The share of tokens that agree; a wildcard agrees with anything."""
-    return sum(a == b or a == "<*>" for a, b in zip(template, tokens)) / max(1, len(tokens))
+class Leaf:
+    """The templates of a leaf, found by the parts of a line that must agree.
+
+    A line may differ from a template in ``spare`` tokens.  So when the places
+    behind the leading tokens are dealt into ``spare`` + 1 blocks, one block at
+    least agrees as a whole: templates are filed under their tokens in each
+    block (with the places of wildcards left out), and a line is compared only
+    with those filed where one of its blocks leads.  The outcome is that of
+    comparing it with all.
+    """
+
+    def __init__(self, n: int):
+        self.n = n
+        need = next(a for a in range(n + 1) if a / n >= SIMILAR)
+        fixed = min(DEPTH, n)  # equal throughout the leaf
+        spare = n - need
+        self.all = spare >= n - fixed  # any line agrees with any template
+        m = min(spare + 1, max(1, n - fixed))
+        self.blocks = [list(range(fixed + i, n, m)) for i in range(m)] if not self.all else []
+        self.block_of = {at: i for i, block in enumerate(self.blocks) for at in block}
+        self.need, self.count = need, 0
+        self.tokens = np.zeros((4, n), np.int32)
+        self.roots: list[int] = []
+        # for each block: places that are not wildcards -> their tokens -> templates
+        self.filed: list[dict[tuple[int, ...], dict[tuple[int, ...], list[int]]]] = [{} for _ in self.blocks]
+
+    def best(self, line: np.ndarray, own: list[int]) -> int:
+        """The most similar template, the first of equals; -1 where none is similar enough."""
+        if self.all:
+            at = np.arange(self.count)
+        else:
+            near: set[int] = set()
+            for filed in self.filed:
+                for places, by in filed.items():
+                    near.update(by.get(tuple([own[i] for i in places]), ()))
+            at = np.array(sorted(near), np.int64)
+        if not len(at):
+            return -1
+        held = self.tokens[at]
+        agree = ((held == line) | (held == 0)).sum(1)
+        i = int(agree.argmax())
+        return int(at[i]) if agree[i] >= self.need else -1
+
+    def file(self, i: int, blocks: list[int]) -> None:
+        held = self.tokens[i].tolist()
+        for b in blocks:
+            places = tuple(at for at in self.blocks[b] if held[at])
+            self.filed[b].setdefault(places, {}).setdefault(tuple([held[at] for at in places]), []).append(i)
+
+    def add(self, root: int, line: np.ndarray) -> None:
+        if self.count == len(self.tokens):
+            self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
+        self.tokens[self.count] = line
+        self.roots.append(root)
+        self.count += 1
+        self.file(self.count - 1, list(range(len(self.blocks))))
+
+    def widen(self, i: int, line: np.ndarray) -> None:
+        """The tokens in which the template and ``line`` differ become wildcards."""
+        differ = np.flatnonzero((self.tokens[i] != line) & (self.tokens[i] != 0))
+        self.tokens[i, differ] = 0
+        if not self.all and len(differ):
+            self.file(i, sorted({self.block_of[at] for at in differ.tolist()}))
 
 
 def merge_leaf(lines: list[tuple[int, str]]) -> dict[int, int]:
@@ -177,20 +237,19 @@ def merge_leaf(lines: list[tuple[int, str]]) -> dict[int, int]:
     Lines come in the order of their text, so ties go to the template that
     was there first and the outcome doesn't depend on partitions.
     """
-    templates: list[tuple[int, list[str]]] = []
-    out = {}
-    for h, line in sorted(lines, key=lambda x: (x[1], x[0])):
-        tokens = line.split(" ")
-        best, at = 0.0, -1
-        for i, (_, template) in enumerate(templates):
-            if (s := similarity(template, tokens)) > best:
-                best, at = s, i
-        if at >= 0 and best >= SIMILAR:
-            root, template = templates[at]
-            templates[at] = (root, [a if a == b else "<*>" for a, b in zip(template, tokens)])
-            out[h] = root
+    out: dict[int, int] = {}
+    numbers = {"<*>": 0}
+    leaf: Leaf | None = None
+    for h, text in sorted(lines, key=lambda x: (x[1], x[0])):
+        own = [numbers.setdefault(t, len(numbers)) for t in text.split(" ")]
+        line = np.array(own, np.int32)
+        leaf = leaf or Leaf(len(own))
+        at = leaf.best(line, own)
+        if at >= 0:
+            leaf.widen(at, line)
+            out[h] = leaf.roots[at]
         else:
-            templates.append((h, tokens))
+            leaf.add(h, line)
             out[h] = h
     return out
 
