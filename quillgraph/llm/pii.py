@@ -10,6 +10,13 @@ is
 
 1 when t occurs only with e.  In texts that hold e, terms at or over
 ``REMOVE`` are removed, those at or over ``GENERALISE`` become their class.
+
+Counted like this are entities and the parts that several share (the domain
+of an address, a network, the first digits of a number) with the terms that
+stand beside them in at least ``MIN_JOINT`` texts.  Most entities are in fewer
+texts, which tells little: there n(t) is raised by ``PRIOR``, only terms that
+look like names or handles (a capital, a digit, an underscore) are judged, and
+they become their class but aren't removed.
 """
 
 from __future__ import annotations
@@ -28,6 +35,8 @@ from .common import fresh, materialize, objects, others, quoted, text_key
 GENERALISE, REMOVE = 0.75, 0.95
 #: Words on each side of an entity whose co-occurrence is counted; texts that must share a pair; shortest term.
 CONTEXT, MIN_JOINT, MIN_TERM = 6, 3, 3
+#: Texts that a term is taken to stand in besides, where an entity is in fewer than MIN_JOINT.
+PRIOR = 1
 #: Rows up to which the table of revealing terms is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -44,8 +53,10 @@ _SHAPES = {
 }
 _ENTITY = re.compile(r"(?<![A-Za-z0-9._%+@\-])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _SHAPES.items()) + ")")
 _WORD = re.compile(r"[^\W_](?:[\w'’]*[^\W_])?")
+#: The same words, in Java's notation.
+_JAVA_WORD = r"[\p{L}\p{N}](?:[\p{L}\p{N}_'’]*[\p{L}\p{N}])?"
 #: Texts without one of these hold no entity.
-_MAYBE = "[0-9@=:]|AKIA|ASIA|gh[pousr]_|sk-|eyJ"
+_MAYBE = r"[\p{Nd}@=:]|AKIA|ASIA|gh[pousr]_|sk-|eyJ|[a-fA-F]{32}"
 
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
@@ -53,60 +64,90 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m.lastgroup) for m in _ENTITY.finditer(text)]
 
 
-def terms_near(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, set[str]]]:
-    """(entity, terms within CONTEXT words of it); entities are not terms."""
-    blank = list(text)
+def entity_keys(kind: str, text: str) -> list[str]:
+    """The entity and its part that others share, as counted."""
+    text = text.lower()
+    out = [f"{kind}:{text}"]
+    if kind == "EMAIL":
+        out.append(f"EMAIL@{text.rpartition('@')[2]}")
+    elif kind == "IP":
+        out.append(f"IP/{text.rpartition('.')[0]}")
+    elif kind in ("PHONE", "CARD"):
+        out.append(f"{kind}/{''.join(c for c in text if c.isdigit())[:6]}")
+    return out
+
+
+def named(word: str) -> bool:
+    """Whether a word looks like a name or a handle."""
+    return word[0].isupper() or "_" in word or any(c.isdigit() for c in word)
+
+
+def terms_near(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, dict[str, bool]]]:
+    """(entity or part, terms within CONTEXT words of it and whether they look like names); entities are not terms."""
+    plain, end = [], 0
     for a, b, _ in spans:
-        blank[a:b] = " " * (b - a)
-    words = [(m.start(), m.group(0).lower()) for m in _WORD.finditer("".join(blank))]
+        plain += [text[end:a], " " * (b - a)]
+        end = b
+    words = [(m.start(), m.group(0)) for m in _WORD.finditer("".join(plain) + text[end:])] if spans else []
     starts = np.array([w[0] for w in words], np.int64)
     out = []
     for a, b, kind in spans:
         i, j = np.searchsorted(starts, a), np.searchsorted(starts, b)
-        near = {w for _, w in words[max(0, i - CONTEXT) : i] + words[j : j + CONTEXT] if len(w) >= MIN_TERM}
-        out.append((kind + ":" + text[a:b].lower(), near))
+        near: dict[str, bool] = {}
+        for _, w in words[max(0, i - CONTEXT) : i] + words[j : j + CONTEXT]:
+            if len(w) >= MIN_TERM:
+                near[w.lower()] = near.get(w.lower(), False) or named(w)
+        out += [(key, near) for key in entity_keys(kind, text[a:b])]
     return out
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        k1, k2, entity, term = [], [], [], []
+        k1, k2, entity, term, name = [], [], [], [], []
         for a, b, text in zip(pdf["k1"], pdf["k2"], pdf["text"]):
-            seen: dict[str, set[str]] = {}
+            seen: dict[str, dict[str, bool]] = {}
             for e, near in terms_near(text, find_entities(text)):
-                seen.setdefault(e, set()).update(near)
+                held = seen.setdefault(e, {})
+                for t, x in near.items():
+                    held[t] = held.get(t, False) or x
             for e, near in seen.items():
-                for t in near or {""}:
-                    k1.append(a), k2.append(b), entity.append(e), term.append(t)
-        yield pd.DataFrame({"k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "entity": objects(entity), "term": objects(term)})
+                for t, x in (near or {"": False}).items():
+                    k1.append(a), k2.append(b), entity.append(e), term.append(t), name.append(x)
+        yield pd.DataFrame({
+            "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "entity": objects(entity), "term": objects(term), "named": np.array(name, bool),
+        })
 
 
 def revealing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(entity, term, disclosure) at or over GENERALISE, and (k1, k2, entity) of all texts with entities.
 
     All texts are counted, each distinct one once; the words of the whole
-    corpus are only joined with the terms that share at least MIN_JOINT texts with an entity.
+    corpus are only joined with the terms that are judged.  Parts of entities
+    are among the entities.
     """
     text = F.col(quoted(text_col))
     k1, k2 = text_key(text)
     maybe = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).where(text.rlike(_MAYBE))
     # a text that repeats gives the same rows again, so distinct() counts it once
-    pairs = materialize(maybe.mapInPandas(_scan, "k1 long, k2 long, entity string, term string").distinct())
+    pairs = materialize(maybe.mapInPandas(_scan, "k1 long, k2 long, entity string, term string, named boolean").distinct())
     holders = pairs.select("k1", "k2", "entity").distinct()
     n_e = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    joint = pairs.where("term <> ''").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= MIN_JOINT)
-    joint = materialize(joint.join(n_e, "entity"))
+    joint = pairs.where("term <> ''").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.max("named").alias("named")).join(n_e, "entity")
+    rare = F.col("entity").rlike("^[A-Z]+:") & (F.col("n_e") < MIN_JOINT) & F.col("named")
+    joint = materialize(joint.withColumn("rare", rare).where(F.col("rare") | (F.col("n_et") >= MIN_JOINT)).drop("named"))
     wanted = joint.select("term").distinct()
     wanted = F.broadcast(wanted) if joint.count() <= BROADCAST_ROWS else wanted
     total = docs.select(k1.alias("a"), k2.alias("b")).where(text != "").distinct().agg(F.count(F.lit(1)).alias("n_all"))
-    words = docs.select(k1.alias("k"), F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_'’]+"))).alias("term"))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_JAVA_WORD), F.lit(0)), F.lower))
+    words = docs.where(text != "").select(k1.alias("k"), F.explode(found).alias("term"))
     n_t = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     scored = joint.join(n_t, "term", "left").crossJoin(F.broadcast(total))  # one row
     n_all = F.greatest(F.col("n_all"), F.col("n_e"))
-    n_term = F.greatest(F.coalesce(F.col("n_t"), F.col("n_et")), F.col("n_et"))
+    n_term = F.greatest(F.coalesce(F.col("n_t"), F.col("n_et")), F.col("n_et")) + F.when(F.col("rare"), PRIOR).otherwise(0)
     ic = F.log(n_all / F.col("n_e"))
     pmi = F.log(n_all * F.col("n_et") / (F.col("n_e") * n_term))
     disclosure = F.when(ic > 0, F.round(pmi / ic, 6)).otherwise(F.lit(0.0))
+    disclosure = F.when(F.col("rare"), F.least(disclosure, F.lit(REMOVE - 1e-6))).otherwise(disclosure)
     out = scored.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
     return out, holders
 

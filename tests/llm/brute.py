@@ -97,21 +97,24 @@ def disclosures(texts):
     """(entity, term) -> disclosure, by counting in every distinct text."""
     texts = list({t for t in texts if t})
     n_all = len(set(texts))
-    n_e, n_t, joint = defaultdict(int), defaultdict(int), defaultdict(int)
+    n_e, n_t, joint, names = defaultdict(int), defaultdict(int), defaultdict(int), set()
     for t in texts:
         near = defaultdict(set)
         for e, terms in pii.terms_near(t, pii.find_entities(t)):
-            near[e] |= terms
+            near[e] |= terms.keys()
+            names |= {(e, w) for w, named in terms.items() if named}
         for e, terms in near.items():
             n_e[e] += 1
             for w in terms:
                 joint[e, w] += 1
-        for w in set(__import__("regex").split(r"[^\p{L}\p{N}_'’]+", t.lower())):
+        for w in {m.group(0).lower() for m in pii._WORD.finditer(t)}:
             n_t[w] += 1
     out = {}
     for (e, w), n in joint.items():
-        if n >= pii.MIN_JOINT:
+        rare = e.split(":")[0].isalpha() and ":" in e and n_e[e] < pii.MIN_JOINT and (e, w) in names
+        if n >= pii.MIN_JOINT or rare:
             total = max(n_all, n_e[e])
             ic = math.log(total / n_e[e])
-            out[e, w] = round(math.log(total * n / (n_e[e] * max(n_t[w], n))) / ic, 6) if ic > 0 else 0.0
+            d = round(math.log(total * n / (n_e[e] * (max(n_t[w], n) + pii.PRIOR * rare))) / ic, 6) if ic > 0 else 0.0
+            out[e, w] = min(d, pii.REMOVE - 1e-6) if rare else d
     return {k: v for k, v in out.items() if v >= pii.GENERALISE}

@@ -52,13 +52,43 @@ def test_matches_brute_force_over_documents(spark, sf_tiny):
     terms = disclosures(docs.values())
     for r in pii.op4_pii(spark, sf_tiny).collect():
         text = docs[r["doc_id"]]
-        own = {k + ":" + text[a:b].lower() for a, b, k in pii.find_entities(text)}
+        own = {key for a, b, k in pii.find_entities(text) for key in pii.entity_keys(k, text[a:b])}
         near = {w: d for (e, w), d in terms.items() if e in own}
         high = {w for (e, w), d in terms.items() if e in own and d >= pii.REMOVE}
         clean, n, m = pii.sanitise(text, high, set(near) - high)
         assert (r["clean"], r["entities"], r["terms"]) == (clean if n else text, n, m if n else 0)
 
 
+def test_names_beside_a_unique_entity_are_generalised(spark):
+    plain = [(i, f"plain words about rivers and the {'Danube' if i % 2 else 'Rhine'} by the sea, part {i}") for i in range(40)]
+    one = [(90, "ask Quentrel or user_77x at q@corp.example about rivers by the Danube"), (91, "'__foo_ said __Bar__ to b@else.example")]
+    df = spark.createDataFrame(plain + one, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.sanitise_documents(df).collect()}
+    assert got[90]["clean"] == "ask [NAME] or [NUMBER] at [EMAIL] about rivers by the Danube" and got[90]["terms"] == 2
+    assert got[91]["clean"] == "'__foo_ said __[NAME]__ to [EMAIL]"
+    assert all(got[i]["clean"] == t for i, t in plain)
+
+
+def test_terms_beside_a_shared_domain(spark):
+    rows = [(i, f"from the {w} desk of Zorbulax team, {w}@hidden.example") for i, w in enumerate("ab cd ef gh ij".split())]
+    rows += [(10 + i, f"from the desk of a team with number {i}, without anything") for i in range(60)]
+    got = {r["doc_id"]: r["clean"] for r in pii.sanitise_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "from the ab desk of  team, [EMAIL]"
+
+
+@pytest.mark.parametrize("secret", ["deadbeefcafe" * 3, "call ５５５-１２３-４５６７ now", "at 1@b.example", "a=bcdefgh password:hunter2x"])
+def test_texts_with_an_entity_are_not_passed_over(spark, secret):
+    assert pii.find_entities(secret)
+    got = pii.sanitise_documents(spark.createDataFrame([(1, secret)], "doc_id long, text string")).first()
+    assert got["entities"] == len(pii.find_entities(secret)) and "[" in got["clean"]
+
+
+@pytest.mark.parametrize("text", ["'secretword' __x__ _foo o'neil’s a_b 7_x", "Ünï_Çode ß x² 木_林 — a-b", "Straße 12.5 don't ’tis"])
+def test_both_sides_see_the_same_words(spark, text):
+    df = spark.createDataFrame([(text,)], "text string").selectExpr(f"regexp_extract_all(text, r\"{pii._JAVA_WORD}\", 0) AS w")
+    assert df.first()["w"] == [m.group(0) for m in pii._WORD.finditer(text)]
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = pii.sanitise_documents(odd_docs)
     assert len(got.columns) == len({c.lower() for c in got.columns})
