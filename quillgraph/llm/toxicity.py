@@ -38,9 +38,9 @@ _LOG_SUB, _LOG_DROP, _LOG_REPEAT = math.log(0.1), math.log(0.3), math.log(0.25)
 _STRIP = ".,;:!?\"'()[]{}<>|%&*#=~`^…“”«»¿¡-_/\\"
 #: Numbers of different words with a stem from which it weighs more.
 RECURRENCES = (2, 3, 4)
-#: A restored word longer than this holds no lexicon entry.
-MAX_DECODE = 48
-_CACHE_LIMIT = 400_000
+#: Feature rows that a worker of the training sample sends on at a time.
+_SLICE = 20_000
+_CACHE_LIMIT = 200_000
 
 
 @dataclass(frozen=True)
@@ -142,9 +142,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000)
     )
     ids = picked.toPandas()
     spark = docs.sparkSession
-    small = spark.createDataFrame(ids.astype({"doc_id": "int64", "toxic": "int32"}) if len(ids) else [], "doc_id long, toxic int")
+    small = spark.createDataFrame(list(zip(map(str, ids["doc_id"]), map(int, ids["toxic"]))), "doc_id string, toxic int")
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+        docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text"))
         .where(F.col("text").isNotNull())
         .join(F.broadcast(small), "doc_id")  # at most max_rows rows
         .groupBy("text").agg(F.max("toxic").alias("toxic"))
@@ -166,17 +166,31 @@ def train_lexicon(
     """
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}  # two rows
     n_bad, n_good = n.get(1, 0), n.get(0, 0)
-    rows = sample.mapInPandas(_document_features, "toxic int, feature string, word string")
     least = max(min_docs, min_share * n_bad)
+    rows = sample.where("toxic = 1").select("text").mapInPandas(_toxic_features, "feature string, word string")
     counted = (
         rows.groupBy("feature")
-        .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("word"))).alias("words"))
+        .agg(F.count(F.lit(1)).alias("bad"), F.countDistinct("word").alias("words"))
         .where(F.col("feature").startswith("=") | (F.col("words") >= min_words))
-        .where((F.col("bad") >= least) & (F.col("bad") > 8 * F.col("good")))
-        .toPandas()
-    )
+        .where(F.col("bad") >= least)
+        .select("feature", "bad").toPandas()
+    )  # each is in a share min_share of the toxic documents, so there are at most 1 / min_share times a document's features
+    shared = sample.sparkSession.sparkContext.broadcast(frozenset(counted["feature"]))
+
+    def of_harmless(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        times: dict[str, int] = {}
+        for pdf in batches:
+            for text in pdf["text"]:
+                for f in document_features(text).keys() & shared.value:
+                    times[f] = times.get(f, 0) + 1
+        yield pd.DataFrame({"feature": objects(times.keys()), "good": np.array(list(times.values()), np.int64)})
+
+    harmless = sample.where("toxic = 0").select("text").mapInPandas(of_harmless, "feature string, good long")
+    seen = dict(harmless.groupBy("feature").agg(F.sum("good").alias("good")).toPandas().itertuples(index=False))
     weights: dict[str, float] = {}
-    for f, bad, good in zip(counted["feature"], counted["bad"], counted["good"]):
+    for f, bad in zip(counted["feature"], counted["bad"]):
+        if bad <= 8 * (good := int(seen.get(f, 0))):
+            continue
         odds = math.log((bad + 0.5) / (n_bad + 1)) - math.log((good + 0.5) / (n_good + 1))
         if odds >= min_odds and f.strip("=*234"):
             weights[f] = round(odds, 6)
@@ -197,22 +211,32 @@ def best_threshold(scores: pd.DataFrame) -> float:
     return at
 
 
-def _document_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def document_features(text: str) -> dict[str, str]:
+    """The features of a text, each with one of the words that it was found in."""
+    words = [w for w in plain_words(text) if len(w) >= 3]
+    found = {f: w for w in words for f in features(w)}
+    times: dict[str, int] = {}
+    for w in words:
+        for s in stems(w):
+            times[s] = n = times.get(s, 0) + 1
+            if n in RECURRENCES:
+                found[f"{s}*{n}"] = w
+    return found
+
+
+def _toxic_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """feature, word of each text, sent on in slices so that a batch of long texts is never held as a whole."""
+    feature: list[str] = []
+    word: list[str] = []
     for pdf in batches:
-        toxic, feature, word = [], [], []
-        for text, t in zip(pdf["text"], pdf["toxic"]):
-            words = [w for w in plain_words(text) if 3 <= len(w) <= MAX_DECODE]
-            found = {f: w for w in words for f in features(w)}
-            times: dict[str, int] = {}
-            for w in words:
-                for s in stems(w):
-                    times[s] = n = times.get(s, 0) + 1
-                    if n in RECURRENCES:
-                        found[f"{s}*{n}"] = w
-            toxic += [t] * len(found)
+        for text in pdf["text"]:
+            found = document_features(text)
             feature += found.keys()
             word += found.values()
-        yield pd.DataFrame({"toxic": np.array(toxic, np.int32), "feature": objects(feature), "word": objects(word)})
+            if len(feature) >= _SLICE:
+                yield pd.DataFrame({"feature": objects(feature), "word": objects(word)})
+                feature, word = [], []
+    yield pd.DataFrame({"feature": objects(feature), "word": objects(word)})
 
 
 def readings(ch: str) -> str:
@@ -226,28 +250,32 @@ def decode(written: str, trigram: np.ndarray) -> str:
     State: the last two letters and the last written character's reading.
     Ties go to the reading listed first.
     """
-    # beam of states: (letter before last, last letter) -> (score, text)
-    beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # beam of states: (letter before last, last letter) -> (score, (letters before, letter))
+    beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for ch in written:
-        options = [(c, 0.0 if c == ch else _LOG_SUB) for c in readings(ch)]
-        drop = ch in SEPARATORS or ch in _STRIP
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        options = [(c, _INDEX[c], 0.0 if c == ch else _LOG_SUB) for c in readings(ch)]
+        drop = not options or ch in SEPARATORS or ch in _STRIP
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, out) in beam.items():
-            for c, cost in options:
-                i = _INDEX[c]
+            for c, i, cost in options:
                 s = score + cost + float(trigram[a, b, i])
                 if (b, i) not in nxt or s > nxt[b, i][0]:
-                    nxt[b, i] = (s, out + c)
+                    nxt[b, i] = (s, (out, c))
                 if i == b:  # a repetition of the letter before
                     s = score + cost + _LOG_REPEAT
                     if (a, b) not in nxt or s > nxt[a, b][0]:
                         nxt[a, b] = (s, out)
-            if drop or not options:
+            if drop:
                 s = score + _LOG_DROP
                 if (a, b) not in nxt or s > nxt[a, b][0]:
                     nxt[a, b] = (s, out)
         beam = nxt
-    return max(((s + float(trigram[a, b, 0]), out) for (a, b), (s, out) in beam.items()), key=lambda x: x[0])[1]
+    path = max(((s + float(trigram[a, b, 0]), i, out) for i, ((a, b), (s, out)) in enumerate(beam.items())), key=lambda x: (x[0], -x[1]))[2]
+    letters = []
+    while path:
+        path, c = path
+        letters.append(c)
+    return "".join(reversed(letters))
 
 
 def squeeze(word: str) -> str:
@@ -321,6 +349,7 @@ class Scorer:
                 self.recurring.setdefault(stem, {})[int(k)] = w
         self.known: dict[str, tuple[float, str, tuple[str, ...]] | None] = {}
         self.reach = Reach(list(model.weights))
+        self.longest = 2 * max(map(len, model.weights), default=0)
         self.starts: dict[str, bool] = {}
 
     def weight(self, word: str) -> float:
@@ -333,7 +362,7 @@ class Scorer:
     def look(self, token: str) -> tuple[float, str, tuple[str, ...]] | None:
         """(weight, word, its stems that may recur); None for a harmless token."""
         word = token.strip(_STRIP)
-        own = tuple(s for s in stems(word) if s in self.recurring) if 3 <= len(word) <= MAX_DECODE else ()
+        own = tuple(s for s in stems(word) if s in self.recurring) if len(word) >= 3 else ()
         w = self.weight(word) if len(word) >= 3 else 0.0
         if w or own:
             return w, word, own
@@ -343,11 +372,7 @@ class Scorer:
         ends, passed = self.reach.step({0}, core)
         if not passed and ends.isdisjoint(self.reach.word):
             return None
-        if len(core) > MAX_DECODE:  # its letters may still be few
-            core = shortened(core)
-            if ends.isdisjoint(self.reach.word) and sum(c.isalpha() for c in squeeze(core)) > MAX_DECODE:
-                return None
-        restored = decode(core, self.model.trigram)
+        restored = decode(shortened(core), self.model.trigram)
         w = self.restored_weight(restored) if len(restored) >= 3 else 0.0
         own = tuple(s for s in stems(restored) if s in self.recurring)
         return (w, restored, own) if w or own else None
@@ -377,9 +402,11 @@ class Scorer:
                     continue
                 if at in reach.word and (hit := self.joined(tokens[start : j + 1])):
                     yield hit
-                if at in reach.stem and all(len(t) == 1 for t in tokens[start : j + 1]):  # up to the last single letter
-                    end = j + 1
-                    while end < len(tokens) and len(tokens[end]) == 1 and end - start <= MAX_DECODE:
+                if at in reach.stem and all(len(t) == 1 for t in tokens[start : j + 1]):
+                    # on to the last single letter, or until there are more letters than any stem has, repetitions aside
+                    end, more = j + 1, 0
+                    while end < len(tokens) and len(tokens[end]) == 1 and more < self.longest:
+                        more += tokens[end] != tokens[end - 1]
                         end += 1
                     if hit := self.joined(tokens[start:end]):
                         yield hit

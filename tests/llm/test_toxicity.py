@@ -165,6 +165,18 @@ def test_words_of_few_letters_and_single_changes_are_decoded(written, word):
     assert score == 5.0 and [tx.squeeze(w) for w in found] == [word]
 
 
+@pytest.mark.parametrize("length", [49, 500, 50_000])
+def test_tokens_of_any_length_are_decoded(length):
+    scorer = tx.Scorer(tx.ToxicityModel(english(), LEXICON | {"grum*": 4.5, "blat*3": 4.0}, 4.0))
+    assert scorer.score("s" * (length - 5) + "tupid")[0] == 5.0
+    assert scorer.score("1d" + "-" * length + "10t")[0] == 5.0
+    assert scorer.score("grum" + "xo" * (length // 2))[0] == 4.5  # plain
+    assert scorer.score("gru.m" + "xo" * (length // 2))[0] == 4.5  # to be decoded
+    assert scorer.score(" ".join("blat" + c * length for c in "xyz"))[0] == 4.0
+    assert scorer.score(" ".join("i" * length + "diot"))[0] == 5.0
+    assert scorer.score(" ".join("grum" + "xo" * (length // 2)))[0] == 4.5
+
+
 @pytest.mark.parametrize(
     "written",
     ["y o u i d i o t", "a b c " * 100 + "i d i o t", "i  d \n i  o  t", "idi ot", "i - d - i - o - t", "1 d 1 0 t", "i d" + " -" * 200 + " i o t"],
