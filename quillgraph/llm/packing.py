@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .common import materialize, objects, quoted
 
@@ -28,7 +29,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenizer of the public 50k byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CACHE_LIMIT = 400_000
-_PIECE = "struct<doc_id:bigint,start:int,length:int>"
+_PIECE = "struct<doc_id:string,start:int,length:int>"
 _OPEN_SCHEMA = f"part long, window string, used int, done boolean, pieces array<{_PIECE}>"
 
 
@@ -118,8 +119,7 @@ def _first(size: int, space: int):
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "n"], na_position="last", kind="stable")
         packer, done = Packer(size, space), []
-        ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-        for doc, n in zip(ids, pdf["n"]):
+        for doc, n in zip(pdf["doc_id"], pdf["n"]):
             n, at = int(n), 0
             while n - at >= size:
                 done.append((size, [{"doc_id": doc, "start": at, "length": size}], True))
@@ -136,8 +136,6 @@ def _next(size: int, space: int, level: int, last: bool):
         packer, done = Packer(size, space), []
         for used, pieces in zip(*(pdf.sort_values(["part", "window"], kind="stable")[c] for c in ("used", "pieces"))):
             held = [dict(p) if isinstance(p, dict) else p.asDict() for p in pieces]
-            for p in held:
-                p["doc_id"] = None if p["doc_id"] is None or pd.isna(p["doc_id"]) else int(p["doc_id"])
             if gone := packer.add(int(used), held):
                 done.append((*gone, True))
         return _rows(int(key[0]), done + [(*w, last) for w in packer.open], f"m{level}")
@@ -151,13 +149,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     ``starts`` and ``lengths`` count tokens of the document, its end-of-text
     token included; every token of every document is in exactly one window and
     none holds more than ``window``.  Null and empty texts have no tokens and
-    are in none; a null id stays null; repeated rows are packed each.  Which
+    are in none; an id may be of any type that casts to a string and back, and a
+    null one stays null; repeated rows are packed each.  Which
     partition a document goes to depends on its id and text alone, so the
     windows don't depend on how the input is split.  No rows give no windows.
     """
     text = F.col(quoted(text_col))
     n = token_counts(docs, text_col, tokenizer)
-    sizes = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(F.col(quoted(id_col)), text).alias("h"), n.alias("n"))
+    sizes = docs.select(F.col(quoted(id_col)).cast("string").alias("doc_id"), F.xxhash64(F.col(quoted(id_col)), text).alias("h"), n.alias("n"))
     sizes = materialize(sizes.where("n > 0").select("doc_id", "h", (F.col("n") + 1).alias("n")))
     parts = max(1, -(-sizes.count() // partition_docs))
     packed = sizes.withColumn("part", F.pmod("h", F.lit(parts))).groupBy("part").applyInPandas(_first(window, space), _OPEN_SCHEMA)
@@ -174,10 +173,39 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         left = merged.where("NOT done")
     return out.select(
         F.col("window").alias("window_id"), "used",
-        F.col("pieces.doc_id").alias("doc_ids"), F.col("pieces.start").alias("starts"), F.col("pieces.length").alias("lengths"),
+        F.col("pieces.doc_id").cast(ArrayType(docs.schema[id_col].dataType)).alias("doc_ids"), F.col("pieces.start").alias("starts"), F.col("pieces.length").alias("lengths"),
     )
 
 
+def window_tokens(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_of_text: int | None = None) -> DataFrame:
+    """window_id, tokens: the token ids of windows that ``pack`` made of ``docs``.
+
+    Texts are encoded once, where they are, and only the pieces are sent on.
+    ``end_of_text``: the id that ends a document, by default that after the
+    vocabulary's.  Ids must be distinct: of rows with one id, the pieces
+    couldn't be told apart; null ids are left out.
+    """
+    pieces = windows.select("window_id", F.posexplode(F.arrays_zip("doc_ids", "starts", "lengths")).alias("at", "p"))
+    wanted = pieces.select(F.col("p.doc_ids").alias("id"), F.struct("window_id", "at", F.col("p.starts").alias("start"), F.col("p.lengths").alias("length")).alias("piece"))
+    wanted = wanted.groupBy("id").agg(F.collect_list("piece").alias("pieces"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoding = load_encoding(tokenizer)
+        last = encoding.n_vocab if end_of_text is None else end_of_text
+        for pdf in batches:
+            window, at, tokens = [], [], []
+            for text, held in zip(pdf["text"], pdf["pieces"]):
+                ids = np.array([*encoding.encode_ordinary(text), last], np.int32)
+                for p in held:
+                    window.append(p["window_id"]), at.append(p["at"]), tokens.append(ids[p["start"] : p["start"] + p["length"]])
+            yield pd.DataFrame({"window_id": objects(window), "at": np.array(at, np.int32), "tokens": objects(tokens)})
+
+    texts = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).join(wanted, "id").select("text", "pieces")
+    parts = texts.mapInPandas(cut, "window_id string, at int, tokens array<int>")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"])
+    return parts.groupBy("window_id").agg(F.flatten(ordered).alias("tokens"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over every document."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -104,6 +104,19 @@ def test_odd_rows(odd_docs, no_docs, counter):
     assert pk.pack(no_docs).columns == ["window_id", "used", "doc_ids", "starts", "lengths"]
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)", "int"])
+def test_ids_of_any_type_and_their_tokens(spark, sf_tiny, counter, kind):
+    prefix = "doc-" if kind == "string" else ""
+    docs = spark.read.parquet(f"{sf_tiny}/documents.parquet").selectExpr(f"CAST(concat('{prefix}', doc_id) AS {kind}) AS doc_id", "text")
+    windows = pk.pack(docs, window=512)
+    assert windows.schema["doc_ids"].dataType.elementType == docs.schema["doc_id"].dataType
+    texts = {r["doc_id"]: counter.encode(r["text"]) + [-1] for r in docs.collect()}
+    got = {r["window_id"]: r["tokens"] for r in pk.window_tokens(docs, windows, end_of_text=-1).collect()}
+    for r in windows.collect():
+        want = [t for d, s, n in zip(r["doc_ids"], r["starts"], r["lengths"]) for t in texts[d][s : s + n]]
+        assert got[r["window_id"]] == want and len(want) == r["used"]
+
+
 def test_leftovers_merge(spark):
     rng = random.Random(1)
     docs = spark.createDataFrame([(i, "word " * rng.randrange(1, 300)) for i in range(400)], "doc_id long, text string")
