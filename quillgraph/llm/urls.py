@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -19,29 +20,13 @@ THRESHOLD = 0.5
 #: Bound on the labelled URLs that the model is fitted to.
 MAX_LABELLED = 20_000
 
-_BAD = ("ads adserver ads-track adclick tracker tracking clickbait click popunder banner-ads casino poker betting slots jackpot adult porn "
-        "xxx sexcam escort nude spam spam-farm spamhub link-farm seo-farm pills viagra cialis payday-loan cheap-pills crack warez keygen "
-        "torrent free-money get-rich phishing malware scam fake-news casino-online casino-bonus bonus-win lottery-win bets free-bets sports-bets adult-chat").split()
-_GOOD = ("news blog wiki docs library science history garden recipes travel museum school university journal health weather sport music "
-         "theatre books city forum help about archive magazine culture nature river mountain kitchen letters poems stories research data "
-         "everything something anything thinking therapy northern southern another brother mother than then ninth month path youth growth "
-         "station nation action education heritage earth north south tradition edition zeitung kirche verein schule maison musique "
-         "jardin ciudad escuela camino").split()
-_PATHS = ("/", "/en/{n}.html", "/de/{n}", "/fr/{n}/", "/es/{n}?page=2&ref=x", "/en/{n}?utm_source=feed", "/de/{n}#top", "/articles/{n}", "/{y}/05/post-{n}")
-
-
-def labelled_urls() -> pd.DataFrame:
-    """The small labelled table: url, label (1: unwanted)."""
-    rows = []
-    for label, words in ((1, _BAD), (0, _GOOD)):
-        for i, w in enumerate(words):
-            for j, pre in enumerate(("", "www.", "m.", "blog.")):
-                for k, end in enumerate(("example.com", "example.net", "example.org")):
-                    path = _PATHS[(i + 5 * j + 3 * k) % len(_PATHS)].format(n=1000 + 7919 * (i + j * 31 + k * 57) % 250_000, y=2005 + i % 20)
-                    rows.append((f"http{'s' * (j % 2)}://{pre}{w}.{end}{path}", label))
-        for i, w in enumerate(words):  # unwanted content below an innocent host, and the reverse
-            rows.append((f"https://host{i}.example.com/{w}/{i * 37 % 999}.html", label))
-    return pd.DataFrame(rows, columns=["url", "label"])
+#: The small labelled table; label 1: unwanted.  Hosts are invented, also such as hold harmless words like unwanted ones.
+TABLE = Path(__file__).with_name("labelled_urls.tsv")
+
+
+def labelled_urls(path: str | Path = TABLE) -> pd.DataFrame:
+    """url, label of the labelled table."""
+    return pd.read_csv(path, sep="\t", dtype={"url": str, "label": int}, keep_default_na=False)
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -88,7 +73,7 @@ class UrlModel:
         return 1 / (1 + np.exp(-(self.bias + total / size)))
 
 
-def fit(table: pd.DataFrame, steps: int = 300, rate: float = 2.0, l2: float = 1e-4) -> UrlModel:
+def fit(table: pd.DataFrame, steps: int = 1000, rate: float = 2.0, l2: float = 1e-5) -> UrlModel:
     """Full-batch gradient descent (AdaGrad) with L2; deterministic.
 
     Null labels are left out; with no rows every probability is one half.
