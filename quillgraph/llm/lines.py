@@ -40,8 +40,10 @@ SIMILAR = 0.7
 UNRELATED = 0.3
 #: Hashes kept of a whole text and of the part looked for in others; share found from which texts are related.
 WHOLE, PROBE, RELATED = 256, 32, 0.5
+#: Hashes of a long text that are put in order at first.
+_HEAD = 2_048
 #: Lines for which a task remembers texts, to send on only unrelated ones.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: Hashes up to which a set of lines is broadcast (16 MB); a larger one is joined by shuffling.
 BROADCAST_ROWS = 2_000_000
 _VARIABLE, _DIGIT = re.compile(r"(?<!\S)[^\s\d]*+\d\S*+"), re.compile(r"\d")
@@ -96,48 +98,93 @@ def key(line: str) -> int | None:
     return line_hash(line) if line.count(" ") + 1 >= MIN_TOKENS else None
 
 
+class Lines:
+    """A set of line hashes, 8 bytes each, with a flag for each."""
+
+    def __init__(self, hashes: np.ndarray, flags: np.ndarray | None = None):
+        hashes = np.asarray(hashes, np.int64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.flags = np.ones(len(order), bool) if flags is None else np.asarray(flags, bool)[order]
+
+    def find(self, keys: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are in the set, and which of them are flagged; None is in none."""
+        if not len(self.hashes):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        known = np.array([k is not None for k in keys], bool)
+        wanted = np.array([0 if k is None else k for k in keys], np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        found = known & (self.hashes[at] == wanted)
+        return found, found & self.flags[at]
+
+
 class Portrait:
     """The least hashes of the runs of 16 bytes in a text, with the lines they stand in.
 
-    ``own`` has those of lines that aren't shared; ``probe(i)`` is what
-    another text must hold to be related, where line ``i`` is in question.
+    ``whole`` has the least of all, ``own`` those of lines that aren't shared;
+    ``probe(i)`` is what another text must hold to be related, where line
+    ``i`` is in question.
     """
 
-    def __init__(self, text: str, shared: list[bool], short: list[bool]):
+    def __init__(self, text: str, shared: np.ndarray, short: np.ndarray):
         data = text.encode() + b"\n"
         size = len(data)
         grams = np.ndarray((size + 8,), np.uint64, data + b"\0" * 16, strides=(1,))
         mixed = grams * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-        mixed = (mixed[:-8] * np.uint64(0xBF58476D1CE4E5B9)) ^ (mixed[8:] * np.uint64(0x94D049BB133111EB))
+        after = mixed[8:] * np.uint64(0x94D049BB133111EB)
+        mixed = mixed[:-8]
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= after
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed >> np.uint64(32)).astype(np.uint32)
         ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-        line = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[-1], ends])))
-        inside = np.arange(size) + 16 <= ends[line]  # runs that reach over the end of a line are not of it
-        self.hashes, self.line = mixed[inside], line[inside]
-        self.whole = least(self.hashes, WHOLE)
-        self.first = np.argsort(self.hashes, kind="stable")[: 2 * WHOLE]
-        free = ~(np.array(shared, bool) | np.array(short, bool))
-        self.own = least(self.hashes[free[self.line]], PROBE) if free.any() else np.zeros(0, np.uint32)
+        widths = np.diff(ends, prepend=-1)
+        runs = np.maximum(widths - 16, 0)  # runs that reach over the end of a line are not of it
+        self.n_lines = len(ends)
+        mixed &= np.uint64(0xFFFFFFFF00000000)
+        mixed |= np.repeat(np.arange(self.n_lines, dtype=np.uint64), widths)
+        if self.n_lines > 1 or widths[0] > 16:
+            inside = np.repeat(np.tile([True, False], self.n_lines), np.stack([runs, widths - runs], axis=1).ravel())
+            mixed = mixed[inside]
+        else:
+            mixed = mixed[:0]
+        self.sorted, self.all = mixed, False
+        if len(mixed) > 8 * _HEAD:  # most hashes are never looked at
+            few = mixed[mixed < np.uint64(2 * _HEAD * (1 << 64) // len(mixed))]
+            self.sorted = few
+        else:
+            self.all = True
+        self.rest = mixed
+        self.sorted.sort()
+        self.whole = self.least(None, WHOLE)
+        free = ~(np.asarray(shared, bool) | np.asarray(short, bool))
+        self.own = self.least(free, PROBE) if free.any() else np.zeros(0, np.uint32)
+
+    def least(self, lines: np.ndarray | None, n: int) -> np.ndarray:
+        """The ``n`` least distinct hashes in those lines, in order."""
+        upto = 4 * n
+        while True:
+            head = self.sorted[:upto]
+            if lines is not None:
+                head = head[lines[(head & np.uint64(0xFFFFFFFF)).astype(np.int64)]]
+            head = (head >> np.uint64(32)).astype(np.uint32)
+            fresh = np.ones(len(head), bool)
+            np.not_equal(head[1:], head[:-1], out=fresh[1:])
+            head = head[fresh][:n]
+            if len(head) == n or (upto >= len(self.sorted) and self.all):
+                return head
+            if upto >= len(self.sorted):
+                self.rest.sort()
+                self.sorted, self.all = self.rest, True
+            upto *= 8
 
     def probe(self, same: list[int]) -> np.ndarray:
         if len(self.own):
             return self.own
-        near = np.unique(self.hashes[self.first[~np.isin(self.line[self.first], same)]])[:PROBE]
-        if len(near) == PROBE or len(self.first) == len(self.hashes):
-            return near
-        return least(self.hashes[~np.isin(self.line, same)], PROBE)
-
-
-def least(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` least distinct hashes, in order."""
-    if len(hashes) > 64 * n:  # repeated runs leave enough in nearly all texts
-        part = np.unique(np.partition(hashes, 16 * n)[: 16 * n])
-        if len(part) >= n:
-            return part[:n]
-    return np.unique(hashes)[:n]
+        others = np.ones(self.n_lines, bool)
+        others[same] = False
+        return self.least(others, PROBE)
 
 
 def _found(probe: np.ndarray, whole: np.ndarray) -> float | None:
@@ -306,16 +353,18 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """line, leaf, masked: the text of each of the lines ``wanted``."""
     shared = None
     if wanted.count() <= BROADCAST_ROWS:  # else all lines are sent to the join
-        shared = docs.sparkSession.sparkContext.broadcast(frozenset(wanted.select("line").toPandas()["line"]))
+        shared = docs.sparkSession.sparkContext.broadcast(Lines(wanted.select("line").toPandas()["line"].to_numpy()))
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found: dict[int, tuple[int, int, str]] = {}
             for text in pdf["text"]:
-                for raw in text.split("\n"):
-                    p = parse(raw)
-                    if p and (shared is None or p[0] in shared.value):
-                        found[p[0]] = p
+                parsed = [p for raw in text.split("\n") if (p := parse(raw))]
+                if shared is not None and parsed:
+                    held = shared.value.find([p[0] for p in parsed])[0]
+                    parsed = [parsed[i] for i in np.flatnonzero(held)]
+                for p in parsed:
+                    found[p[0]] = p
             rows = list(found.values())
             yield pd.DataFrame({
                 "line": np.array([r[0] for r in rows], np.int64), "leaf": np.array([r[1] for r in rows], np.int64), "masked": objects(r[2] for r in rows),
@@ -343,7 +392,7 @@ def _portraits(docs: DataFrame, lines: DataFrame, text_col: str) -> DataFrame:
     shared = None
     if lines.count() <= BROADCAST_ROWS:
         pdf = lines.toPandas()
-        shared = docs.sparkSession.sparkContext.broadcast(dict(zip(pdf["line"].tolist(), pdf["open"].tolist())))
+        shared = docs.sparkSession.sparkContext.broadcast(Lines(pdf["line"].to_numpy(), pdf["open"].to_numpy()))
     else:
         held = _occurrences(docs, text_col).join(lines, "line").groupBy("k1", "k2").agg(F.collect_list("line").alias("lines"), F.collect_list("open").alias("opens"))
         rows = rows.dropDuplicates(["k1", "k2"]).join(held, ["k1", "k2"])
@@ -353,16 +402,16 @@ def _portraits(docs: DataFrame, lines: DataFrame, text_col: str) -> DataFrame:
         for pdf in batches:
             line, probe, whole = [], [], []
             for i, text in enumerate(pdf["text"]):
-                own = shared.value if shared is not None else dict(zip(pdf["lines"].iloc[i], pdf["opens"].iloc[i]))
+                own = shared.value if shared is not None else Lines(pdf["lines"].iloc[i], pdf["opens"].iloc[i])
                 parsed = [key(raw) for raw in text.split("\n")]
+                held, unsettled = own.find(parsed)
                 places: dict[int, list[int]] = {}
-                for at, h in enumerate(parsed):
-                    if h is not None and own.get(h):
-                        places.setdefault(h, []).append(at)
+                for at in np.flatnonzero(unsettled).tolist():
+                    places.setdefault(parsed[at], []).append(at)
                 todo = [h for h in places if len(seen.get(h, ())) < MIN_DOCS]
                 if not todo:
                     continue
-                portrait = Portrait(text, [h in own for h in parsed], [h is None for h in parsed])
+                portrait = Portrait(text, held, np.array([h is None for h in parsed], bool))
                 for h in todo:
                     one = (portrait.probe(places[h]), portrait.whole)
                     if len(seen) > REMEMBERED:
@@ -421,14 +470,14 @@ def boilerplate(docs: DataFrame, occurrences: DataFrame, text_col: str = "text")
 _CUT = "text string, at array<int>"
 
 
-def _cut_all(rows: list[tuple[str | None, frozenset]]) -> pd.DataFrame:
+def _cut_all(rows: list[tuple[str | None, Lines | None]]) -> pd.DataFrame:
     """Texts without their bad lines (null where nothing changed) and the positions of those."""
     texts, places = [], []
     for text, bad in rows:
         at: list[int] = []
-        if text and bad:
+        if text and bad is not None and len(bad.hashes):
             lines = text.split("\n")
-            at = [i for i, raw in enumerate(lines) if key(raw) in bad]
+            at = np.flatnonzero(bad.find([key(raw) for raw in lines])[0]).tolist()
             gone = set(at)
             text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         texts.append(text if at else None)
@@ -450,7 +499,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str | None = "
     text = F.col(quoted(text_col))
     (tmp,) = fresh(docs, "lines")
     if bad.count() <= BROADCAST_ROWS:
-        shared = docs.sparkSession.sparkContext.broadcast(frozenset(bad.toPandas()["line"]))
+        shared = docs.sparkSession.sparkContext.broadcast(Lines(bad.toPandas()["line"].to_numpy()))
 
         def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
@@ -465,7 +514,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str | None = "
 
         def cut_own(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             for texts, own in batches:
-                yield _cut_all([(t, frozenset(x) if x is not None else frozenset()) for t, x in zip(texts, own)])
+                yield _cut_all([(t, Lines(x) if x is not None else None) for t, x in zip(texts, own)])
 
         joined = docs.withColumns({a: k1, b: k2}).join(hits, (F.col(a) == F.col(n1)) & (F.col(b) == F.col(n2)), "left")
         cleaned = joined.withColumn(tmp, F.pandas_udf(cut_own, _CUT)(F.when(F.col(lines).isNotNull(), text), F.col(lines)))
