@@ -1,5 +1,6 @@
 """Plain Python versions of the operators, over lists held in memory."""
 
+import itertools
 import math
 from collections import defaultdict
 
@@ -69,6 +70,19 @@ def boilerplate(texts):
         s[0] += len(where)
         s[1] |= {k for _, k in where}
     bad = {t for t, (n, keys) in support.items() if len(keys) >= ln.MIN_DOCS and len(keys) >= ln.UNRELATED * n}
+    many = {t for t, (n, _) in support.items() if n >= ln.MIN_DOCS}
+    holders = defaultdict(list)
+    for text in {t for t in texts if t}:
+        parsed = [ln.key(raw) for raw in text.split("\n")]
+        shared = [h is not None and template.get(h, h) in many for h in parsed]
+        own = {h for h in parsed if h is not None and template.get(h, h) in many - bad}
+        if own:
+            portrait = ln.Portrait(text, shared, [h is None for h in parsed])
+            for h in own:
+                holders[template.get(h, h)].append((portrait.probe([i for i, x in enumerate(parsed) if x == h]), portrait.whole))
+    for t, portraits in holders.items():  # three texts of which no two are related
+        if any(not ln.related(a, b) and not ln.related(a, c) and not ln.related(b, c) for a, b, c in itertools.combinations(portraits[:60], 3)):
+            bad.add(t)
     return {line for line in seen if template.get(line, line) in bad}
 
 
