@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -24,18 +25,19 @@ def fnv1a(s: str) -> int:
     return h
 
 
-def fnv1a_column(c: Column) -> Column:
-    """FNV-1a, 32 bits, of a text of the basic plane."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("bigint"))
-    return F.aggregate(codes, F.lit(_BASIS).cast("bigint"), lambda h, x: (h.bitwiseXOR(x) * F.lit(_PRIME)).bitwiseAND(F.lit(_MASK)))
+@functools.lru_cache(maxsize=200_000)
+def _hashes(token: str) -> tuple[int, float]:
+    """The token's hash and its signed weight."""
+    sign = 1.0 if fnv1a("sign:" + token) % 2 == 0 else -1.0
+    return fnv1a(token), sign * (1 + math.log(len(token)))
 
 
 def hash_embedding(text: str, dimensions: int = 128) -> list[float]:
     """Signed feature hashing of the search tokens, unit length, six decimals."""
     v = [0.0] * dimensions
     for t in search_tokens(text):
-        sign = 1.0 if fnv1a("sign:" + t) % 2 == 0 else -1.0
-        v[fnv1a(t) % dimensions] += sign * (1 + math.log(len(t)))
+        h, weight = _hashes(t)
+        v[h % dimensions] += weight
     norm = math.sqrt(sum(x * x for x in v))
     return [round(x / norm, 6) + 0.0 if norm else 0.0 for x in v]
 
@@ -59,13 +61,6 @@ def bounded_dot(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b)))
 
 
-def mean_vector(vectors: np.ndarray) -> np.ndarray:
-    """Unit vector of the mean."""
-    m = vectors.mean(0)
-    n = np.linalg.norm(m)
-    return m / n if n else m
-
-
 class EmbeddingError(Exception):
     """code: one of unsupported_provider, invalid_options, unavailable, timeout, http_error, invalid_response, dimension_mismatch, non_finite, empty_vector."""
 

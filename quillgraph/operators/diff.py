@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import canonical_hash
 from ..model import Config, GraphTables
 from ..sources.store import counts
+from .relate import symmetric_difference
 
 
 def source_hash(documents: DataFrame, config: Config | None = None) -> str:
@@ -73,7 +74,7 @@ def count_delta(base: DataFrame, head: DataFrame, key: str) -> DataFrame:
 
 def graph_diff(base: GraphTables, head: GraphTables, renames: dict[str, str] | None = None, base_warnings: DataFrame | None = None, head_warnings: DataFrame | None = None) -> GraphDiff:
     a, b = base.source_refs.select("path").distinct(), head.source_refs.select("path").distinct()
-    refs = a.exceptAll(b).union(b.exceptAll(a)).orderBy("path")
+    refs = symmetric_difference(a, b).orderBy("path")
     warned = None if base_warnings is None or head_warnings is None else count_delta(base_warnings, head_warnings, "code")
     was, now = counts(base), counts(head)
     return GraphDiff(diff_documents(base, head, renames), refs, warned, {k: now[k] - was[k] for k in ("sections", "source_refs", "edges")})

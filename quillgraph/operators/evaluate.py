@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import GraphTables
 from .context import Context
+from .relate import jaccard_pairs
 
 CASE_SCHEMA = (
     "id string, query string, expectedDocuments array<string>, expectedSections array<struct<path: string, heading: string>>, expectedEntities array<string>, "
@@ -87,6 +88,11 @@ def redundancy(similarities: DataFrame, threshold: float = 0.8) -> DataFrame:
     return similarities.agg(F.round(F.coalesce(F.avg(s), F.lit(0.0)), 4).alias("average"), F.round(F.coalesce(F.max(s), F.lit(0.0)), 4).alias("maximum"), F.coalesce(F.sum((s >= threshold).cast("int")), F.lit(0)).alias("near_duplicates"))
 
 
+def packing_redundancy(items: DataFrame, key: str, tokens: str, threshold: float = 0.8) -> DataFrame:
+    """``redundancy`` among the items of one context, by the Jaccard index of their tokens."""
+    return redundancy(jaccard_pairs(items, key, tokens).withColumnRenamed("jaccard", "similarity"), threshold)
+
+
 # ----------------------------------------------------------- runs of an agent
 def _sum(items: str, name: str) -> Column:
     return F.aggregate(F.coalesce(items, F.array()), F.lit(0.0), lambda s, x: s + F.coalesce(x[name], F.lit(0.0)))

@@ -35,9 +35,46 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, prefixes: list[str], index
     rows = rows.select("id", "stream", F.size("stream").alias("len"), *[count(F.col("plain"), p).alias(f"tf{i}") for i, p in enumerate(prefixes)])
     rows = rows.select("id", "len", *[F.col(f"tf{i}") for i in range(len(prefixes))], *[h.alias(f"hit{i}") for i, h in enumerate(hit)])
     totals = rows.agg(F.count(F.lit(1)).alias("n_all"), F.avg("len").alias("avg_len"), *[F.sum(F.col(f"hit{i}").cast("bigint")).alias(f"n{i}") for i in range(len(prefixes))])
-    joined = rows.where(F.greatest(*[F.col(f"hit{i}") for i in range(len(prefixes))], F.lit(False))).crossJoin(F.broadcast(totals))  # one row
+    return _scored(rows, totals, len(prefixes))
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """term, id, indexed, plain, len: the inverted index.
+
+    How often the term stands in the indexed stream and among the plain words
+    of the text, and the length of the stream.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), index_tokens(F.col(text_col)).alias("stream"), words(F.col(text_col)).alias("plain"))
+    tagged = lambda c, kind: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(kind).alias("i")))
+    both = rows.select("id", F.size("stream").alias("len"), F.inline(F.concat(tagged("stream", 1), tagged("plain", 0))))
+    return both.groupBy("term", "id").agg(F.sum("i").alias("indexed"), F.sum(1 - F.col("i")).alias("plain"), F.first("len").alias("len"))
+
+
+def totals(docs: DataFrame, text_col: str) -> DataFrame:
+    """n_all, avg_len: one row about all texts."""
+    return docs.agg(F.count(F.lit(1)).alias("n_all"), F.avg(F.size(index_tokens(F.col(text_col)))).alias("avg_len"))
+
+
+def bm25_postings(stored: DataFrame, about: DataFrame, prefixes: list[str]) -> DataFrame:
+    """What ``bm25`` gives with ``indexed``, from ``postings`` and ``totals``: only rows of the prefixes are read."""
+    if not prefixes:
+        return stored.select("id", F.lit(0.0).alias("score")).limit(0)
+    term = F.col("term")
+    wanted = term.startswith(prefixes[0])
+    for p in prefixes[1:]:
+        wanted = wanted | term.startswith(p)
+    cols = []
+    for i, p in enumerate(prefixes):
+        cols += [F.sum(F.when(term.startswith(p), F.col("plain")).otherwise(0)).alias(f"tf{i}"), F.max(term.startswith(p) & (F.col("indexed") > 0)).alias(f"hit{i}")]
+    rows = stored.where(wanted).groupBy("id").agg(F.first("len").alias("len"), *cols)
+    return _scored(rows, rows.agg(*[F.sum(F.col(f"hit{i}").cast("bigint")).alias(f"n{i}") for i in range(len(prefixes))]).crossJoin(about), len(prefixes))
+
+
+def _scored(rows: DataFrame, totals: DataFrame, n: int) -> DataFrame:
+    """id, score of ``rows`` (id, len, tf0, hit0, ...) by ``totals`` (n_all, avg_len, n0, ...), one row."""
+    joined = rows.where(F.greatest(*[F.col(f"hit{i}") for i in range(n)], F.lit(False))).crossJoin(F.broadcast(totals))
     score = F.lit(0.0)
-    for i in range(len(prefixes)):
+    for i in range(n):
         raw = F.log((F.col("n_all") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(raw > 0, raw).otherwise(F.lit(1e-6))
         tf = F.col(f"tf{i}")
@@ -49,8 +86,3 @@ def search(docs: DataFrame, id_col: str, text_col: str, query: str, limit: int)
     """rank, id, score of the best texts for a query in words."""
     top = bm25(docs, id_col, text_col, query_prefixes(query), indexed=True).orderBy(F.desc("score"), "id").limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # at most limit rows
-
-
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """term, id, tf: the inverted index, for many queries over one corpus."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(index_tokens(F.col(text_col))).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))

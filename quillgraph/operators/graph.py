@@ -74,14 +74,9 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int, target: str | None
     return seen
 
 
-def unique_aliases(aliases: DataFrame) -> DataFrame:
-    """alias, id for the aliases (alias, id) of a single target; the others resolve to nothing."""
-    return aliases.groupBy("alias").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n")).where("n = 1").drop("n")
-
-
 def definition_collisions(definitions: DataFrame) -> DataFrame:
-    """entity_id, documents: entities defined by more than one document (entity_id, document_id)."""
-    return definitions.groupBy("entity_id").agg(F.countDistinct("document_id").alias("documents")).where("documents > 1")
+    """entity_id, paths: entities defined by more than one document (entity_id, path)."""
+    return definitions.groupBy("entity_id").agg(F.sort_array(F.collect_set("path")).alias("paths")).where(F.size("paths") > 1)
 
 
 def shortest_path(edges: DataFrame, start: str, target: str, max_depth: int) -> list | None:

@@ -120,6 +120,28 @@ def document_links(g: GraphTables) -> DataFrame:
     return graph.link_stats(parts, g.edges).join(g.documents.withColumnRenamed("id", "document_id"), "document_id")
 
 
+def orphans(stats: DataFrame) -> DataFrame:
+    return stats.where("raw = 0")
+
+
+def weakly_linked(stats: DataFrame) -> DataFrame:
+    return stats.where("raw > 0 AND raw < 2")
+
+
+def missing_definitions(stats: DataFrame) -> DataFrame:
+    """Documents of kinds that should define something, and don't."""
+    return stats.where(F.col("type").isin(list(DEFINING)) & (F.col("definitions") == 0))
+
+
+def contradictions(g: GraphTables, config: Config) -> DataFrame:
+    """entity_id, paths, name, normalized_name of entities that several active documents define."""
+    stop = [s.lower() for s in config.stop_entities]
+    defining = g.edges.where("kind = 'DEFINES'").select(F.col("from_id").alias("id"), F.col("to_id").alias("entity_id")).join(owners(g), "id")
+    active = g.documents.where("status = 'active'").select(F.col("id").alias("document_id"), "path")
+    twice = graph.definition_collisions(defining.join(active, "document_id").select("entity_id", "path"))
+    return twice.join(g.entities.select(F.col("id").alias("entity_id"), "name", "normalized_name"), "entity_id").where(~F.col("normalized_name").isin(stop))
+
+
 def lifecycle(parsed: DataFrame, links: DataFrame) -> DataFrame:
     """source, target, line, raw, code, replaced_by: active documents that link to deprecated or superseded ones."""
     docs = status_of(parsed).select(F.col("id").alias("target_id"), F.col("path").alias("target"), F.col("state").alias("target_state"), (F.size("front.deprecated_by") > 0).alias("replaced"))
@@ -194,13 +216,8 @@ def run_doctor(parsed: DataFrame, g: GraphTables, config: Config | None = None,
     links = materialize(all_links(good))  # four checks read them
     stats = materialize(within(document_links(g)))
     dead = within(links.where("node_id IS NULL").where((F.col("kind") == "wikilink") | is_local_document(F.col("raw"))), "from_path")
-    orphan, weak = stats.where("raw = 0"), stats.where("raw > 0 AND raw < 2")
-    undefined = stats.where(F.col("type").isin(list(DEFINING)) & (F.col("definitions") == 0))
-    stop = [s.lower() for s in config.stop_entities]
-    defining = g.edges.where("kind = 'DEFINES'").select(F.col("from_id").alias("id"), F.col("to_id").alias("entity_id")).join(owners(g), "id")
-    active = g.documents.where("status = 'active'").select(F.col("id").alias("document_id"), "path")
-    twice = defining.join(active, "document_id").groupBy("entity_id").agg(F.sort_array(F.collect_set("path")).alias("paths")).where(F.size("paths") > 1)
-    twice = twice.join(g.entities.select(F.col("id").alias("entity_id"), "name", "normalized_name"), "entity_id").where(~F.col("normalized_name").isin(stop))
+    orphan, weak, undefined = orphans(stats), weakly_linked(stats), missing_definitions(stats)
+    twice = contradictions(g, config)
     if near is not None:
         listed = twice.select("entity_id", F.explode("paths").alias("path"))
         twice = twice.join(within(listed).select("entity_id").distinct(), "entity_id", "left_semi")

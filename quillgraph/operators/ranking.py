@@ -9,9 +9,10 @@ RRF_K = 60
 
 
 def fuse(channels: DataFrame, key: str = "key", channel: str = "channel", rank: str = "rank") -> DataFrame:
-    """key, boost: 1000 times the sum over channels of 1 / (60 + best rank), 4 decimals."""
-    first = channels.groupBy(key, channel).agg(F.min(rank).alias("r"))
-    return first.groupBy(key).agg(F.round(1000 * F.sum(1.0 / (RRF_K + F.col("r"))), 4).alias("boost"))
+    """key, boost, how: 1000 times the sum over channels of 1 / (60 + best rank), 4 decimals, and those ranks as text."""
+    first = channels.groupBy(key, F.col(channel).alias("channel")).agg(F.min(rank).alias("r"))
+    ranks = F.transform(F.sort_array(F.collect_list(F.struct("channel", "r"))), lambda c: F.concat(c["channel"], F.lit("#"), c["r"].cast("string")))
+    return first.groupBy(key).agg(F.round(1000 * F.sum(1.0 / (RRF_K + F.col("r"))), 4).alias("boost"), F.array_join(ranks, ", ").alias("how"))
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

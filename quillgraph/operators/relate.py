@@ -10,32 +10,25 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 
 
-def changes(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """key, change: added, deleted or modified rows, by one full outer join."""
-    a, b = old.select(key, F.col(value).alias("__old"), F.lit(True).alias("__was")), new.select(key, F.col(value).alias("__new"), F.lit(True).alias("__is"))
-    both = a.join(b, key, "full_outer").where(~F.col("__old").eqNullSafe(F.col("__new")) | F.col("__was").isNull() | F.col("__is").isNull())
-    return both.select(key, F.when(F.col("__was").isNull(), "added").when(F.col("__is").isNull(), "deleted").otherwise("modified").alias("change"))
-
-
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).unionByName(b.exceptAll(a))
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """group, v: unit vector of the mean of each group's vectors."""
-    parts = df.select(group, F.posexplode(vector).alias("i", "x"))
-    means = parts.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    """group, v: the unit vector of the mean direction of each group's vectors; groups without a direction are left out."""
+    size = vectors.norm(F.col(vector))
+    parts = df.where(size > 0).select(group, F.posexplode(F.transform(vector, lambda x: x.cast("double") / size)).alias("i", "x"))
+    means = parts.groupBy(group, "i").agg(F.avg("x").alias("m"))
     v = means.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
     size = vectors.norm(F.col("v"))
-    return v.select(group, F.when(size > 0, F.transform("v", lambda x: x / size)).otherwise(F.col("v")).alias("v"))
+    return v.where(size > 0).select(group, F.transform("v", lambda x: x / size).alias("v"))
 
 
-def centroid_pairs(df: DataFrame, group: str, vector: str, floor: float | None = None) -> DataFrame:
-    """a, b, similarity of all pairs of groups (a < b), at or over ``floor``."""
-    c = centroids(df, group, vector)
-    a, b = c.select(F.col(group).alias("a"), F.col("v").alias("va")), c.select(F.col(group).alias("b"), F.col("v").alias("vb"))
+def similar_pairs(centres: DataFrame, group: str, floor: float) -> DataFrame:
+    """a, b, similarity of all pairs of groups (a < b) of unit vectors ``v``, at or over ``floor``; the caller bounds the pairs."""
+    a, b = centres.select(F.col(group).alias("a"), F.col("v").alias("va")), centres.select(F.col(group).alias("b"), F.col("v").alias("vb"))
     pairs = a.join(b, F.col("a") < F.col("b")).select("a", "b", vectors.bounded_dot(F.col("va"), F.col("vb")).alias("similarity"))
-    return pairs if floor is None else pairs.where(F.col("similarity") >= floor)
+    return pairs.where(F.col("similarity") >= floor)
 
 
 def _unit(values: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:

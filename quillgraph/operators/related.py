@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
-from ..functions.vectors import bounded_dot, norm
+from ..functions.vectors import bounded_dot
 from ..model import EDGE_WEIGHTS, Config, GraphTables
+from ..session import materialize
 from .ranking import even_sample
-from .relate import reciprocal
+from .relate import centroids, reciprocal, similar_pairs
 
 MAX_PAIRS, MAX_VECTOR_PAIRS, MAX_COMPONENTS = 250_000, 2_000_000, 100_000_000
 SAMPLE, MARGIN, ALGORITHM = 12, 0.12, "mutual-neighbours-v1"
@@ -106,19 +107,13 @@ def derive_related(g: GraphTables, config: Config, options: Options | None = Non
     chunks = valid.select(F.col("chunk_id").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v")).join(g.chunks.select("id", "document_id", "section_id"), "id").join(place, "section_id", "left").join(path, "document_id")
     enough = chunks.groupBy("document_id").count().where(F.col("count") >= options.evidence).select("document_id")
     chunks = even_sample(chunks.join(enough, "document_id", "left_semi"), "document_id", [F.col("start_line").asc_nulls_first(), F.col("id")], SAMPLE)
-    size = norm(F.col("v"))
-    unit = chunks.select("document_id", "path", F.posexplode(F.transform("v", lambda x: x / size)).alias("i", "x"))
-    sums = unit.groupBy("document_id", "path", "i").agg(F.sum("x").alias("x"))
-    centroid = sums.groupBy("document_id", "path").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
-    length = norm(F.col("c"))
-    centroid = centroid.where(length > 0).select("document_id", "path", F.transform("c", lambda x: x / length).alias("c"))
+    centroid = materialize(centroids(chunks, "path", "v"))
     eligible = centroid.count()
     pairs = eligible * (eligible - 1) // 2
     if pairs > MAX_PAIRS or pairs * config.dimensions > MAX_COMPONENTS:
         raise DerivationError("corpus_too_large", f"{pairs} pairs of documents are more than the budget of {MAX_PAIRS} pairs or {MAX_COMPONENTS} components allows")
-    a = centroid.select(F.col("document_id").alias("a"), F.col("path").alias("a_path"), F.col("c").alias("va"))
-    b = centroid.select(F.col("document_id").alias("b"), F.col("path").alias("b_path"), F.col("c").alias("vb"))
-    near = a.join(b, F.col("a_path") < F.col("b_path")).where(bounded_dot(F.col("va"), F.col("vb")) >= max(0.0, options.threshold - MARGIN)).drop("va", "vb")
+    near = similar_pairs(centroid, "path", max(0.0, options.threshold - MARGIN)).select(F.col("a").alias("a_path"), F.col("b").alias("b_path"))
+    near = near.join(path.select(F.col("document_id").alias("a"), F.col("path").alias("a_path")), "a_path").join(path.select(F.col("document_id").alias("b"), F.col("path").alias("b_path")), "b_path")
     n = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
     work = near.join(n.select(F.col("document_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("document_id").alias("b"), F.col("n").alias("nb")), "b").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0))).first()[0]
     if work > MAX_VECTOR_PAIRS or work * config.dimensions > MAX_COMPONENTS:

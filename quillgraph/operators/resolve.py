@@ -34,8 +34,12 @@ def document_aliases(parsed: DataFrame) -> DataFrame:
     """alias, target: what names exactly one document: its path, stem, front-matter id or title."""
     names = F.array("path", F.element_at(F.split("path", "/"), -1), F.col("front.id"), F.col("title"))
     rows = parsed.select(F.col("id").alias("target"), F.explode(F.array_distinct(F.transform(F.array_compact(names), alias_key))).alias("alias"))
-    one = rows.where("alias <> ''").groupBy("alias").agg(F.min("target").alias("target"), F.countDistinct("target").alias("n"))
-    return one.where("n = 1").drop("n")
+    return unique_aliases(rows.where("alias <> ''"))
+
+
+def unique_aliases(aliases: DataFrame) -> DataFrame:
+    """alias, target for the aliases (alias, target) of a single target; the others resolve to nothing."""
+    return aliases.groupBy("alias").agg(F.min("target").alias("target"), F.countDistinct("target").alias("n")).where("n = 1").drop("n")
 
 
 def section_anchors(parsed: DataFrame) -> DataFrame:

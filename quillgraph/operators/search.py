@@ -13,7 +13,7 @@ from ..functions.vectors import EmbeddingError, cosine, provider
 from ..model import Config, GraphTables
 from . import fts, graph
 from .nodes import owners
-from .ranking import RRF_K
+from .ranking import fuse, top_per_group
 from .resolve import first_by
 
 TRUST = {"validated": 8.0, "authored": 5.0, "generated": -5.0, "external": -10.0, "untrusted": -30.0}
@@ -82,7 +82,7 @@ def _definitions(g: GraphTables, matched: list[dict]) -> DataFrame:
     e = g.edges.where("kind = 'DEFINES'").join(F.broadcast(asked), "to_id")
     rows = e.join(s, e["from_id"] == s["section_id"], "left").withColumn("document_id", F.coalesce("owner", "from_id"))
     rows = rows.join(g.documents.select(F.col("id").alias("document_id"), "path"), "document_id")
-    top = first_n(rows, ["pos"], [F.desc("weight"), F.col("path"), F.col("start_line").asc_nulls_first(), F.col("id")], 3, "n")
+    top = top_per_group(rows, ["pos"], [F.desc("weight"), F.col("path"), F.col("start_line").asc_nulls_first(), F.col("id")], 3, "n")
     c = g.chunks.select(F.col("id").alias("cid"), F.col("document_id").alias("cd"), F.col("section_id").alias("cs"), "content")
     by_section = first_by(c, ["cs"], [F.col("cid")]).select(F.col("cs").alias("section_id"), F.col("content").alias("own"))
     by_document = first_by(c, ["cd"], [F.col("cid")]).select(F.col("cd").alias("document_id"), F.col("content").alias("any"))
@@ -90,10 +90,6 @@ def _definitions(g: GraphTables, matched: list[dict]) -> DataFrame:
     return full.select("document_id", "section_id", F.coalesce("own", "any").alias("content"), (200 + F.col("weight")).alias("base"), F.struct("pos", "n").alias("place"))
 
 
-def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
-
-
 def _fixed(x: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", x)
 
@@ -166,12 +162,7 @@ def _fused(g: GraphTables, config: Config, channels: list[DataFrame], matched: l
     base = F.col("base") + boosts(TRUST, F.col("trust_tier")) + boosts(STATUS, F.col("status")) + F.when(ranked_down, -F.least(F.lit(60), 20 * F.size(common))).otherwise(0)
     reason = F.when(ranked_down, F.concat("reason", F.lit("; ranked down for common entities ("), details, F.lit(")"))).otherwise(F.col("reason"))
     rows = rows.withColumn("key", F.coalesce("section_id", "document_id")).withColumn("base", base).withColumn("reason", reason)
-    best = rows.groupBy("key", "channel").agg(F.min("rank").alias("r"))
-    fusion = best.groupBy("key").agg(
-        F.round(1000 * F.sum(1.0 / (RRF_K + F.col("r"))), 4).alias("boost"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("channel", "r"))), lambda c: F.concat(c["channel"], F.lit("#"), c["r"].cast("string"))), ", ").alias("how"),
-    )
-    rows = rows.join(fusion, "key").withColumn("score", F.round(F.col("base") + F.col("boost"), 4)).withColumn("seq", F.struct("order", "rank"))
+    rows = rows.join(fuse(rows), "key").withColumn("score", F.round(F.col("base") + F.col("boost"), 4)).withColumn("seq", F.struct("order", "rank"))
     reasons = F.array_append(F.split("reason", "; "), F.concat(F.lit("fused ranks ("), F.col("how"), F.lit(")")))
     ordered = lambda c: F.sort_array(F.collect_list(F.struct("seq", c.alias("v"))))
     first = F.min_by(F.struct("document_id", "section_id", "path", "title", "type", "status", "trust_tier", "content"), F.struct((-F.col("score")).alias("s"), "seq"))

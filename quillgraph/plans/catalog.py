@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,24 +10,9 @@ from ..functions import vectors
 from ..functions.ids import stable_id
 from ..operators import fts, graph, ranking, relate
 from . import dsl
+from .registry import ORACLES, QUERIES, Query, query  # noqa: F401
 from .starmap import EDGES_SQL, ORDER_DOCUMENTS_SQL, edges, order_documents, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            ORACLES[key] = sql
-        return f
-
-    return add
-
-
 # ------------------------------------------------------------------ full text
 def _bm25_sql(prefixes: list[str], name: str) -> str:
     tf = ", ".join(f"len(list_filter(t, lambda x: starts_with(x, '{p}'))) AS tf{i}" for i, p in enumerate(prefixes))
@@ -75,7 +58,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
         top = _scored(spark, sf_dir, prefixes).orderBy(F.desc("score"), "doc_id").limit(100)
         return top.select("doc_id", F.lit(name).alias("channel"), F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"))  # 100 rows
 
-    return ranking.fuse(channel(_Q1, "first").union(channel(_Q2, "second")), key="doc_id")
+    return ranking.fuse(channel(_Q1, "first").union(channel(_Q2, "second")), key="doc_id").select("doc_id", "boost")
 
 
 @query(
@@ -107,35 +90,16 @@ def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relate.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
 
 
-_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
-
-
-@query(
-    f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents),
-t AS (SELECT term, count(*) AS n FROM w WHERE length(term) > 1 GROUP BY term)
-SELECT term, n, {_FNV.format('term')} % 128 AS dimension, CASE WHEN {_FNV.format("('sign:' || term)")} % 2 = 0 THEN 1 ELSE -1 END AS sign FROM t"""
-)
-def hash_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    terms = docs.select(F.explode(tx.words(F.col("text"))).alias("term")).where(F.length("term") > 1).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    sign = F.when(vectors.fnv1a_column(F.concat(F.lit("sign:"), "term")) % 2 == 0, 1).otherwise(-1)
-    return terms.select("term", "n", (vectors.fnv1a_column(F.col("term")) % 128).alias("dimension"), sign.alias("sign"))
-
-
-@query()
-def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", vectors.embed_column(F.col("text"), "local-hash", "local-hash-v1", 128).alias("vector"))
-
-
-_CENTROIDS = """d AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i),
+_CENTROIDS = """u AS (SELECT label, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS size FROM embeddings),
+d AS (SELECT label, i, avg(x / size) AS m FROM (SELECT label, size, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u WHERE size > 0) GROUP BY label, i),
 c AS (SELECT label, list(m ORDER BY i) AS v FROM d GROUP BY label),
 p AS (SELECT a.label AS a, b.label AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM c a, c b WHERE a.label < b.label)"""
 
 
 @query(f"WITH {_CENTROIDS} SELECT a, b, similarity FROM p")
 def centroid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relate.centroid_pairs(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("similarity", F.round("similarity", 6))
+    centres = relate.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return relate.similar_pairs(centres, "label", -1.0).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
@@ -157,7 +121,7 @@ _DSL = {
         '(status = active OR NOT (type = spec AND trust !~ external)) AND path ~ "7"',
         "(lower(coalesce(status, '')) = 'active' OR NOT (type = 'spec' AND NOT contains(trust_tier, 'external'))) AND contains(path, '7')",
     ),
-    "dsl_filter_null": ("status !~ a AND updated < 1994-01-01", "NOT contains(lower(coalesce(status, '')), 'a') AND updated_at < '1994-01-01'"),
+    "dsl_filter_null": ("status !~ a AND updated < 1999-01-01", "NOT contains(lower(coalesce(status, '')), 'a') AND updated_at < '1999-01-01'"),
 }
 
 
@@ -178,9 +142,9 @@ def dsl_order_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH d AS ({ORDER_DOCUMENTS_SQL}), e AS ({EDGES_SQL})
-SELECT id, path FROM d WHERE type = 'adr' AND EXISTS (SELECT 1 FROM e WHERE from_id = d.id AND kind = 'DEFINES')
-AND NOT EXISTS (SELECT 1 FROM e JOIN part ON e.to_id = 'part:' || p_partkey WHERE from_id = d.id AND kind = 'REFERENCES' AND contains(lower(p_name), 'red'))"""
+    f"""WITH d AS ({ORDER_DOCUMENTS_SQL})
+SELECT id, path FROM d SEMI JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON d.o_orderkey = l.l_orderkey
+ANTI JOIN (SELECT DISTINCT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'red')) r ON d.o_orderkey = r.l_orderkey WHERE type = 'adr'"""
 )
 def dsl_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = edges(spark, sf_dir).select(F.col("from_id").alias("document_id"), "kind", "to_id")
@@ -199,11 +163,6 @@ def dsl_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- graph
-@query(f"WITH e AS ({EDGES_SQL}) SELECT kind, count(*) AS edges, round(avg(weight), 6) AS avg_weight, round(avg(confidence), 6) AS avg_confidence FROM e GROUP BY kind")
-def edge_kind_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edge_kind_stats(edges(spark, sf_dir))
-
-
 @query(
     f"""WITH e AS ({EDGES_SQL}), x AS (SELECT from_id AS id FROM e WHERE kind <> 'CONTAINS' UNION ALL SELECT to_id FROM e WHERE kind <> 'CONTAINS')
 SELECT id, count(*) AS degree FROM x GROUP BY id ORDER BY degree DESC, id LIMIT 10"""
@@ -219,15 +178,6 @@ def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.document_frequency(refs, owner)
 
 
-@query(
-    """WITH t AS (SELECT unnest(string_split(p_name, ' ')) AS entity_id, p_brand FROM part)
-SELECT entity_id, count(DISTINCT p_brand) AS documents FROM t GROUP BY entity_id HAVING count(DISTINCT p_brand) > 1"""
-)
-def definition_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("entity_id"), F.col("p_brand").alias("document_id"))
-    return graph.definition_collisions(parts)
-
-
 _PARTS = """d AS (SELECT r_regionkey AS k, 'region:' || r_regionkey AS id FROM region),
 s AS (SELECT n_regionkey AS k, 'nation:' || n_nationkey AS id FROM nation),
 c AS (SELECT n_regionkey AS k, 'supplier:' || s_suppkey AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey),
@@ -260,16 +210,6 @@ def link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.link_stats(parts, links)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
-@query("SELECT o_custkey AS c_custkey, count(*) AS links FROM orders GROUP BY o_custkey HAVING count(*) < 8")
-def weakly_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("links")).where("links < 8")
-
-
 @query(
     f"""WITH RECURSIVE e AS ({EDGES_SQL}), u AS (SELECT DISTINCT from_id AS x, to_id AS y FROM e WHERE kind IN ('CONTAINS', 'LINKS_TO', 'DEPENDS_ON')),
 b AS (SELECT x, y FROM u UNION SELECT y, x FROM u),
@@ -282,82 +222,8 @@ def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bfs(tree, start, 4).select("id", "depth")
 
 
-@query(
-    """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
-a AS (SELECT lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) AS alias, page_id FROM pages),
-one AS (SELECT alias, min(page_id) AS target FROM a GROUP BY alias HAVING count(DISTINCT page_id) = 1)
-SELECT page_id, href, target, count(*) AS n FROM l LEFT JOIN one ON lower(href) = alias GROUP BY ALL"""
-)
-def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-    alias = F.lower(F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1))
-    one = graph.unique_aliases(pages.select(alias.alias("alias"), F.col("page_id").alias("id")))
-    joined = links.join(one.select("alias", F.col("id").alias("target")), F.lower("href") == F.col("alias"), "left")
-    return joined.groupBy("page_id", "href", "target").agg(F.count(F.lit(1)).alias("n"))
-
-
 # ------------------------------------------------------- extraction and health
-@query(
-    r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?:href|src)="(/[A-Za-z0-9_./:{}-]+)', 1) AS r, regexp_extract_all(html, '[A-Za-z0-9]+Error|ERR_[A-Z0-9_]+', 0) AS e FROM pages),
-t AS (SELECT page_id, 'api_route' AS kind, unnest(r) AS name FROM l UNION ALL SELECT page_id, 'error_code', unnest(e) FROM l)
-SELECT kind, name, count(*) AS n, count(DISTINCT page_id) AS pages FROM t GROUP BY kind, name"""
-)
-def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.col("html")
-    found = lambda kind, pattern, g: F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(g)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
-    both = F.concat(found("api_route", '(?:href|src)="(/[A-Za-z0-9_./:{}-]+)', 1), found("error_code", "[A-Za-z0-9]+Error|ERR_[A-Z0-9_]+", 0))
-    rows = table(spark, sf_dir, "pages").select("page_id", F.inline(both))
-    return rows.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"))
-
-
-@query(
-    r"""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS line_number FROM pages)
-SELECT page_id, line_number, regexp_matches(line, '(?i)<script|<iframe') AS active, regexp_matches(line, '(?i)ignore (all )?previous instructions|system prompt') AS injection
-FROM l WHERE regexp_matches(line, '(?i)<script|<iframe|ignore (all )?previous instructions|system prompt')"""
-)
-def content_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("i", "line"))
-    active, injection = F.col("line").rlike("(?i)<script|<iframe"), F.col("line").rlike("(?i)ignore (all )?previous instructions|system prompt")
-    return lines.where(active | injection).select("page_id", (F.col("i") + 1).cast("bigint").alias("line_number"), active.alias("active"), injection.alias("injection"))
-
-
-_SECTION = "length(line) BETWEEN 1 AND 60"
-
-
-@query(
-    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents),
-h AS (SELECT doc_id, i, n, regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g') AS slug FROM l WHERE {_SECTION})
-SELECT doc_id, i AS start_line, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - 1, n) AS end_line, slug,
-  row_number() OVER (PARTITION BY doc_id, slug ORDER BY i) AS ordinal FROM h"""
-)
-def sections_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split("text", "\n")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("bigint").alias("n"), F.posexplode(lines).alias("i", "line"))
-    heads = rows.where(_SECTION).select("doc_id", "n", (F.col("i") + 1).cast("bigint").alias("start_line"), F.regexp_replace(F.lower("line"), "[^a-z0-9]+", "-").alias("slug"))
-    by_doc = Window.partitionBy("doc_id").orderBy("start_line")
-    ordinal = F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("start_line")).cast("bigint")
-    return heads.select("doc_id", "start_line", F.coalesce(F.lead("start_line").over(by_doc) - 1, F.col("n")).alias("end_line"), "slug", ordinal.alias("ordinal"))
-
-
 # ------------------------------------------------------------------- rankings
-@query(
-    """SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn, first_value(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS seen FROM documents"""
-)
-def document_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = ranking.turns(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", [F.col("doc_id")])
-    return got.select("doc_id", "source", F.col("turn").cast("bigint").alias("turn"), F.col("seen.doc_id").alias("seen"))
-
-
-@query(
-    """WITH t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn, min(doc_id) OVER (PARTITION BY source) AS seen FROM documents)
-SELECT doc_id, source, row_number() OVER (ORDER BY turn, seen) AS position FROM t QUALIFY position <= 100"""
-)
-def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = ranking.round_robin(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", [F.col("doc_id")], 100)
-    return got.withColumn("position", F.col("position").cast("bigint"))
-
-
 @query(
     """SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank
 FROM lineitem QUALIFY rank <= 3"""
@@ -400,69 +266,15 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return old, c.where("path % 13 <> 0")
 
 
-@query(
-    f"""WITH {_OLD} SELECT coalesce(o.path, c.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'deleted' ELSE 'modified' END AS change
-FROM old o FULL JOIN cur c ON o.path = c.path WHERE o.hash IS DISTINCT FROM c.hash"""
-)
-def stale_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _versions(spark, sf_dir)
-    return relate.changes(old, new, "path", "hash")
-
-
 @query(f"WITH {_OLD} SELECT * FROM (FROM old EXCEPT ALL FROM cur) UNION ALL SELECT * FROM (FROM cur EXCEPT ALL FROM old)")
 def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _versions(spark, sf_dir)
     return relate.symmetric_difference(old, new)
 
 
-@query(
-    """WITH e AS (SELECT user_id, event_type, value FROM events WHERE event_type IN ('click', 'view'))
-SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views,
-  round(coalesce(sum(round(value * 100)::BIGINT) FILTER (event_type = 'click'), 0) / 100.0 - coalesce(sum(round(value * 100)::BIGINT) FILTER (event_type = 'view'), 0) / 100.0, 2) AS delta
-FROM e GROUP BY user_id HAVING clicks > 0 AND views > 0"""
-)
-def run_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
-    n = lambda t: F.sum((F.col("event_type") == t).cast("bigint"))
-    cents = lambda t: F.coalesce(F.sum(F.when(F.col("event_type") == t, F.round(F.col("value") * 100).cast("bigint"))), F.lit(0)) / 100.0
-    got = e.groupBy("user_id").agg(n("click").alias("clicks"), n("view").alias("views"), F.round(cents("click") - cents("view"), 2).alias("delta"))
-    return got.where("clicks > 0 AND views > 0")
-
-
-@query(
-    """SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS path_group, count(*) AS documents, sum(strlen(url))::BIGINT AS url_bytes, sum(length(html))::BIGINT AS chars
-FROM pages GROUP BY 1"""
-)
-def path_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
-    return table(spark, sf_dir, "pages").groupBy(host.alias("path_group")).agg(
-        F.count(F.lit(1)).alias("documents"), F.sum(F.octet_length("url")).alias("url_bytes"), F.sum(F.length("html")).alias("chars")
-    )
-
-
 @query("SELECT c_custkey, 'entity:' || substr(sha1('entity:' || c_name), 1, 20) AS id FROM customer")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", stable_id("entity", F.col("c_name")).alias("id"))
 
 
-@query(
-    """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
-s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
-SELECT user_id, session::BIGINT AS session, count(*) AS events, min(ts) AS started, max(ts) AS ended FROM s GROUP BY user_id, session"""
-)
-def watch_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relate.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "INTERVAL 6 HOUR")
-
-
-@query(
-    """SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_event, count(*) FILTER (event_type = 'error') AS errors,
-  max(ts) FILTER (event_type = 'error') AS last_error, CASE WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN 'degraded' ELSE 'healthy' END AS state
-FROM events GROUP BY user_id"""
-)
-def health_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.max_by("event_type", F.struct("ts", "event_id"))
-    error = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        last.alias("last_event"), F.sum(error.cast("bigint")).alias("errors"), F.max(F.when(error, F.col("ts"))).alias("last_error"),
-        F.when(last == "error", "degraded").otherwise("healthy").alias("state"),
-    )
+from . import catalog_library, catalog_papers  # noqa: E402, F401  they register their queries

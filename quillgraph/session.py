@@ -22,10 +22,12 @@ def local_session(app: str = "quillgraph", cores: int | str = "*", partitions: i
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a local folder is made.
+    Where that is unset, one machine makes a local folder; a cluster is refused.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgraph-checkpoint-"))
     return df.checkpoint(eager=True)
