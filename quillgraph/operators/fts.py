@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import index_tokens, query_prefixes, words
 
 K1, B = 1.2, 0.75
+POSTINGS_SCHEMA = "term string, id string, indexed bigint, plain bigint, len int"
+TOTALS_SCHEMA = "n_all bigint, avg_len double"
 
 
 def matches(token: Column, prefixes: list[str]) -> list[Column]:

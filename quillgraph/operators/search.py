@@ -120,7 +120,9 @@ def search(g: GraphTables, query: str, config: Config | None = None, limit: int
     if matched:
         channel(_definitions(g, matched), "definition", 0, [F.col("place")], F.lit("definition of an entity that the query names"))
     if prefixes:
-        scored = fts.bm25(g.chunks, "id", "content", prefixes, indexed=True).orderBy(F.desc("score"), "id").limit(2 * limit)
+        stored = g.extra.get("postings")  # an index that is stored; else the chunks are read
+        matches = fts.bm25(g.chunks, "id", "content", prefixes, indexed=True) if stored is None else fts.bm25_postings(stored, g.extra["text_totals"], prefixes)
+        scored = matches.orderBy(F.desc("score"), "id").limit(2 * limit)
         hits = chunk.join(F.broadcast(scored), F.col("chunk_id") == F.col("id")).withColumn("base", 100 + F.col("score"))  # 2 * limit rows
         channel(hits, "fts", 1, [F.desc("score"), F.col("chunk_id")], F.lit("full-text match"))
     diagnostic = None

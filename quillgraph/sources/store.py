@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markdown import PARSED_SCHEMA
 from ..model import SCHEMAS, Config, GraphTables
+from ..operators import fts
 from ..operators.build import build_graph, with_edges
 from ..operators.related import replace_derived
 
@@ -67,16 +68,28 @@ class GraphStore:
             raise StoreError(f"the index was written by a later version ({about['schema_version']})")
         return about
 
-    def save(self, graph: GraphTables, parsed: DataFrame | None = None) -> str:
-        """Writes a version and makes it current; gives its name."""
+    def save(self, graph: GraphTables, parsed: DataFrame | None = None, old: GraphTables | None = None) -> str:
+        """Writes a version and makes it current; gives its name.  ``old``: the version before, whose postings of unchanged chunks are taken over."""
         version = f"v-{uuid.uuid4().hex}"
         for name, df in graph.items():
             df.write.parquet(f"{self.root}/{version}/{name}")
+        chunks = self._table(version, "chunks", SCHEMAS["chunks"])
+        self._postings(chunks, old).repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{self.root}/{version}/postings")
+        fts.totals(chunks, "content").coalesce(1).write.parquet(f"{self.root}/{version}/text_totals")
         if parsed is not None:
             parsed.write.parquet(f"{self.root}/{version}/parsed")
-        self._write(_POINTER, json.dumps({"version": version, "schema_version": SCHEMA_VERSION, "parsed": parsed is not None}))
+        self._write(_POINTER, json.dumps({"version": version, "schema_version": SCHEMA_VERSION, "parsed": parsed is not None, "postings": True}))
         return version
 
+    @staticmethod
+    def _postings(chunks: DataFrame, old: GraphTables | None) -> DataFrame:
+        if old is None or "postings" not in old.extra:
+            return fts.postings(chunks, "id", "content")
+        pair = lambda df: df.select("id", F.xxhash64("content").alias("h"), F.sha1(F.col("content").cast("binary")).alias("s"))
+        same = pair(chunks).join(pair(old.chunks), ["id", "h", "s"], "left_semi").select("id")
+        kept = old.extra["postings"].join(same, "id", "left_semi").select("term", "id", "indexed", "plain", "len")
+        return kept.unionByName(fts.postings(chunks.join(same, "id", "left_anti"), "id", "content"))
+
     def _table(self, version: str, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{version}/{name}")
 
@@ -87,6 +100,9 @@ class GraphStore:
         graph = GraphTables(*[self._table(about["version"], name, schema) for name, schema in SCHEMAS.items()])
         if about["parsed"]:
             graph.extra["parsed"] = self._table(about["version"], "parsed", PARSED_SCHEMA)
+        if about.get("postings"):
+            graph.extra["postings"] = self._table(about["version"], "postings", fts.POSTINGS_SCHEMA)
+            graph.extra["text_totals"] = self._table(about["version"], "text_totals", fts.TOTALS_SCHEMA)
         return graph
 
     def prune(self) -> int:
@@ -141,7 +157,7 @@ class GraphStore:
         derived = old.edges.where("kind = 'RELATED_TO' AND provenance = 'embedding_similarity'")
         derived = derived.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
         graph = with_edges(graph, replace_derived(graph.edges, derived.select(graph.edges.columns)))
-        self.save(graph, stored)
+        self.save(graph, stored, old)
         self._fs().delete(self._path(staged.rsplit("/", 1)[1]), True)
         loaded = self.load()
         return loaded, {"parsed": loaded.extra["parsed"].count() - kept, "kept": kept, "deleted": gone}
@@ -149,7 +165,7 @@ class GraphStore:
     def replace_related(self, derived: DataFrame) -> GraphTables:
         """Swaps the derived edges of the current version in one step."""
         graph = self.load()
-        self.save(with_edges(graph, replace_derived(graph.edges, derived)), graph.extra.get("parsed"))
+        self.save(with_edges(graph, replace_derived(graph.edges, derived)), graph.extra.get("parsed"), graph)
         return self.load()
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import corpus
 
@@ -17,6 +18,28 @@ def test_files_that_arrive_are_indexed(spark, tmp_path):
     assert [r["path"] for r in w.store.load().documents.collect()] == ["docs/b.md"]
 
 
+def test_a_file_that_vanishes_is_noticed_and_a_failure_tried_again(spark, tmp_path):
+    root = corpus.write(tmp_path / "p", {"docs/a.md": "# a page\n", "docs/b.md": "# b page\n"})
+    w = Watcher(spark, root, GraphStore(spark, str(tmp_path / "store")))
+    w.start(str(tmp_path / "checkpoint"), interval="1 second")
+
+    def until(condition):
+        end = time.time() + 90
+        while time.time() < end and not condition():
+            time.sleep(0.5)
+        return condition()
+
+    try:
+        assert w.store.load().documents.count() == 2
+        (tmp_path / "p/docs/a.md").unlink()
+        assert until(lambda: [r["path"] for r in w.store.load().documents.collect()] == ["docs/b.md"])
+        w.health = w.health.failed("INDEX_ERROR", "x", "runtime")
+        n = w.health.refreshes
+        assert until(lambda: w.health.state == "healthy" and w.health.refreshes > n)
+    finally:
+        w.stop()
+
+
 def test_health_states():
     h = WatchHealth().succeeded()
     assert h.failed("INDEX_ERROR", "x", "runtime").state == "degraded" and h.failed("INDEX_ERROR", "x", "runtime").pending
