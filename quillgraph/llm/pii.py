@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, objects, others, quoted, text_key
+from .common import fresh, lean, materialize, objects, others, quoted, small_batches, text_key
 
 #: Disclosure from which terms are generalised and removed.
 GENERALISE, REMOVE = 0.75, 0.95
@@ -53,10 +53,22 @@ _SHAPES = {
 }
 _ENTITY = re.compile(r"(?<![A-Za-z0-9._%+@\-])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _SHAPES.items()) + ")")
 _WORD = re.compile(r"[^\W_](?:[\w'’]*[^\W_])?")
-#: The same words, in Java's notation.
-_JAVA_WORD = r"[\p{L}\p{N}](?:[\p{L}\p{N}_'’]*[\p{L}\p{N}])?"
-#: Texts without one of these hold no entity.
-_MAYBE = r"[\p{Nd}@=:]|AKIA|ASIA|gh[pousr]_|sk-|eyJ|[a-fA-F]{32}"
+#: What lies between words, in Java's notation; and what a word doesn't begin or end with.
+_JAVA_GAP, _EDGE = r"[_'’]*[^\p{L}\p{N}_'’]+[_'’]*", "_'’"
+
+
+def corpus_words(text: Column) -> Column:
+    """The distinct words of ``_WORD`` in the text in lower case; some may be empty."""
+    return F.array_distinct(F.split(F.trim(F.lower(text), F.lit(_EDGE)), _JAVA_GAP))
+
+
+def may_hold(text: Column) -> Column:
+    """False for texts that hold no entity: no digit, key, mark or long hash."""
+    keys = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ")
+    out = text.rlike("[0-9@=:]")
+    for k in keys:
+        out = out | text.contains(k)
+    return out | text.rlike("[a-fA-F]{32}") | text.rlike(r"\p{Nd}")
 
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
@@ -95,12 +107,14 @@ def terms_near(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str,
         i, j = np.searchsorted(starts, a), np.searchsorted(starts, b)
         near: dict[str, bool] = {}
         for _, w in words[max(0, i - CONTEXT) : i] + words[j : j + CONTEXT]:
-            if len(w) >= MIN_TERM:
-                near[w.lower()] = near.get(w.lower(), False) or named(w)
+            for t in _WORD.findall(w.lower()):  # itself, but for letters that are several in lower case
+                if len(t) >= MIN_TERM:
+                    near[t] = near.get(t, False) or named(w)
         out += [(key, near) for key in entity_keys(kind, text[a:b])]
     return out
 
 
+@lean
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         k1, k2, entity, term, name = [], [], [], [], []
@@ -127,7 +141,7 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     """
     text = F.col(quoted(text_col))
     k1, k2 = text_key(text)
-    maybe = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).where(text.rlike(_MAYBE))
+    maybe = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")).where(may_hold(text))
     # a text that repeats gives the same rows again, so distinct() counts it once
     pairs = materialize(maybe.mapInPandas(_scan, "k1 long, k2 long, entity string, term string, named boolean").distinct())
     holders = pairs.select("k1", "k2", "entity").distinct()
@@ -137,10 +151,14 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     joint = materialize(joint.withColumn("rare", rare).where(F.col("rare") | (F.col("n_et") >= MIN_JOINT)).drop("named"))
     wanted = joint.select("term").distinct()
     wanted = F.broadcast(wanted) if joint.count() <= BROADCAST_ROWS else wanted
-    total = docs.select(k1.alias("a"), k2.alias("b")).where(text != "").distinct().agg(F.count(F.lit(1)).alias("n_all"))
-    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_JAVA_WORD), F.lit(0)), F.lower))
-    words = docs.where(text != "").select(k1.alias("k"), F.explode(found).alias("term"))
-    n_t = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # a row of a text that stands in m rows weighs 1 / m, so words need only be added up where they are read
+    copies = materialize(docs.where(text != "").groupBy(k1.alias("a"), k2.alias("b")).agg(F.count(F.lit(1)).alias("m")))
+    total = copies.agg(F.count(F.lit(1)).alias("n_all"))
+    again = copies.where("m > 1")
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    rows = docs.where(text != "").select(k1.alias("a"), k2.alias("b"), text.alias("text")).join(again, ["a", "b"], "left")
+    words = rows.select(F.coalesce(1.0 / F.col("m"), F.lit(1.0)).alias("w"), F.explode(corpus_words(F.col("text"))).alias("term"))
+    n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.round(F.sum("w")).cast("long").alias("n_t"))
     scored = joint.join(n_t, "term", "left").crossJoin(F.broadcast(total))  # one row
     n_all = F.greatest(F.col("n_all"), F.col("n_e"))
     n_term = F.greatest(F.coalesce(F.col("n_t"), F.col("n_et")), F.col("n_et")) + F.when(F.col("rare"), PRIOR).otherwise(0)
@@ -197,6 +215,7 @@ def sanitise_documents(docs: DataFrame, text_col: str = "text", out: tuple[str,
     table nothing is revealing.  Columns named like an output are replaced,
     all others are untouched.
     """
+    small_batches(docs.sparkSession)
     terms, holders = revealing_terms(docs, text_col)
     by_text = (
         holders.join(terms, "entity").groupBy("k1", "k2")
@@ -213,6 +232,7 @@ def sanitise_documents(docs: DataFrame, text_col: str = "text", out: tuple[str,
     by_text = F.broadcast(by_text) if by_text.count() <= BROADCAST_ROWS // 20 else by_text
     df = docs.withColumns({a: k1, b: k2}).join(by_text, (F.col(a) == F.col(n1)) & (F.col(b) == F.col(n2)), "left")
 
+    @lean
     def clean(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, removed, generalised in batches:
             rows = []
@@ -222,7 +242,7 @@ def sanitise_documents(docs: DataFrame, text_col: str = "text", out: tuple[str,
             yield pd.DataFrame({"text": [r[0] for r in rows], "entities": [r[1] for r in rows], "terms": [r[2] for r in rows]})
 
     # texts that can hold no entity don't go to Python
-    made = F.pandas_udf(clean, "text string, entities int, terms int")(F.when(text.rlike(_MAYBE), text), F.col(x), F.col(y))
+    made = F.pandas_udf(clean, "text string, entities int, terms int")(F.when(may_hold(text), text), F.col(x), F.col(y))
     hit = F.col(tmp)
     return df.withColumn(tmp, made).select(
         *others(docs, *out),

@@ -121,7 +121,7 @@ def disclosures(texts):
             n_e[e] += 1
             for w in terms:
                 joint[e, w] += 1
-        for w in {m.group(0).lower() for m in pii._WORD.finditer(t)}:
+        for w in set(pii._WORD.findall(t.lower())):
             n_t[w] += 1
     out = {}
     for (e, w), n in joint.items():
