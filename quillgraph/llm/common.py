@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +17,8 @@ from pyspark.sql import functions as F
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for reliable checkpoints.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only when
-    that is unset (tests on one machine) a local folder is made.
+    The cluster names a shared folder in ``spark.checkpoint.dir``; where that
+    is unset, one machine makes a local folder and a cluster is refused.
     """
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir", None)
@@ -24,6 +28,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if conf is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="quillgraph-checkpoint-")
     sc.setCheckpointDir(conf)
     return conf
@@ -69,5 +75,31 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(filled), F.xxhash64(F.lit(0x5BD1E995), filled, F.length(filled))]
 
 
+#: Rows of a batch that is sent to Python; texts are long, so the default of Spark would be many times a worker's own memory.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark send texts to Python in batches of at most ``BATCH_ROWS``, for this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, giving memory back to the system at its end: workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

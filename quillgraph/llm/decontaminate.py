@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, objects, others, quoted, text_key
+from .common import fresh, lean, materialize, objects, others, quoted, small_batches, text_key
 
 #: A match of so many tokens is removed.
 MIN_LENGTH = 8
@@ -194,6 +194,7 @@ def _cleaned(rows: list[tuple[str | None, list[tuple[int, int]], float]]) -> pd.
 def _in_one_pass(docs: DataFrame, automaton: SuffixAutomaton, text_col: str, tmp: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(automaton)  # at most AUTOMATON_TOKENS tokens
 
+    @lean
     def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = shared.value
         for texts in batches:
@@ -212,6 +213,7 @@ def _in_passes(docs: DataFrame, automata: Iterable[SuffixAutomaton], text_col: s
     for automaton in automata:
         shared = docs.sparkSession.sparkContext.broadcast(automaton)  # at most AUTOMATON_TOKENS tokens
 
+        @lean
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = [(a, b, s) for a, b, t in zip(pdf["k1"], pdf["k2"], pdf["text"]) if (s := shared.value.spans(normalise(t)))]
@@ -224,6 +226,7 @@ def _in_passes(docs: DataFrame, automata: Iterable[SuffixAutomaton], text_col: s
     by_text = by_text.select(F.col("k1").alias(n1), F.col("k2").alias(n2), at)
     joined = docs.withColumns({a: k1, b: k2}).join(by_text, (F.col(a) == F.col(n1)) & (F.col(b) == F.col(n2)), "left")
 
+    @lean
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, places in batches:
             rows = []
@@ -244,6 +247,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     are named like an output are replaced, all others are untouched.
     """
     text = F.col(quoted(text_col))
+    small_batches(docs.sparkSession)
     items = benchmark.select("text").where(F.col("text").isNotNull()).distinct().orderBy("text")
     automata = batched(r[0] for r in items.toLocalIterator())
     first = next(automata, None) or SuffixAutomaton().finish()

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, others, quoted
+from .common import fresh, lean, others, quoted
 
 #: Bound on the labelled pages that weights are learned from.
 MAX_LABELLED = 2_000
@@ -164,6 +164,7 @@ def extract_content(pages: DataFrame, model: ContentModel, html_col: str = "html
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)  # some tag names
 
+    @lean
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
             yield pd.Series([extract(p, shared.value) for p in column], dtype=object)

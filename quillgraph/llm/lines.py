@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, objects, quoted, text_key
+from .common import fresh, lean, materialize, objects, quoted, small_batches, text_key
 
 DEPTH = 3
 MIN_DOCS = 3
@@ -301,6 +301,7 @@ def merge_leaf(lines: list[tuple[int, str]]) -> dict[int, int]:
     return out
 
 
+@lean
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Leaf by leaf over rows sorted by leaf."""
     leaf, lines = None, []
@@ -324,6 +325,7 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done()
 
 
+@lean
 def _parse_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         doc, lines, leaves, rest = [], [], [], []
@@ -355,6 +357,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     if wanted.count() <= BROADCAST_ROWS:  # else all lines are sent to the join
         shared = docs.sparkSession.sparkContext.broadcast(Lines(wanted.select("line").toPandas()["line"].to_numpy()))
 
+    @lean
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found: dict[int, tuple[int, int, str]] = {}
@@ -397,6 +400,7 @@ def _portraits(docs: DataFrame, lines: DataFrame, text_col: str) -> DataFrame:
         held = _occurrences(docs, text_col).join(lines, "line").groupBy("k1", "k2").agg(F.collect_list("line").alias("lines"), F.collect_list("open").alias("opens"))
         rows = rows.dropDuplicates(["k1", "k2"]).join(held, ["k1", "k2"])
 
+    @lean
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for pdf in batches:
@@ -429,6 +433,7 @@ def _portraits(docs: DataFrame, lines: DataFrame, text_col: str) -> DataFrame:
     return rows.mapInPandas(draw, "line long, probe array<int>, whole array<int>")
 
 
+@lean
 def _unrelated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The templates with MIN_DOCS unrelated texts, over rows sorted by template."""
     template, kept = None, []
@@ -494,6 +499,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str | None = "
     set anew where the text changed; a column named like ``dropped`` is
     replaced, all others are untouched.  No rows give none.
     """
+    small_batches(docs.sparkSession)
     occurrences = _occurrences(docs, text_col)
     bad = materialize(boilerplate(docs, occurrences, text_col))
     text = F.col(quoted(text_col))
@@ -501,6 +507,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str | None = "
     if bad.count() <= BROADCAST_ROWS:
         shared = docs.sparkSession.sparkContext.broadcast(Lines(bad.toPandas()["line"].to_numpy()))
 
+        @lean
         def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
                 yield _cut_all([(t, shared.value) for t in texts])
@@ -512,6 +519,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", dropped: str | None = "
         hits = occurrences.join(bad, "line", "left_semi").groupBy("k1", "k2").agg(F.collect_set("line").alias("bad"))
         hits = hits.select(F.col("k1").alias(n1), F.col("k2").alias(n2), F.col("bad").alias(lines))
 
+        @lean
         def cut_own(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             for texts, own in batches:
                 yield _cut_all([(t, Lines(x) if x is not None else None) for t, x in zip(texts, own)])

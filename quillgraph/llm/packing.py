@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from .common import materialize, objects, quoted
+from .common import lean, materialize, objects, quoted, small_batches
 
 WINDOW = 2048
 OPEN = 16
@@ -28,7 +28,7 @@ PARTITION_DOCS, FAN_IN = 20_000, 64
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenizer of the public 50k byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 100_000
 _PIECE = "struct<doc_id:string,start:int,length:int>"
 _OPEN_SCHEMA = f"part long, window string, used int, done boolean, pieces array<{_PIECE}>"
 
@@ -70,6 +70,7 @@ class TokenCounter(dict):
 
 
 def token_counts(docs: DataFrame, text_col: str, tokenizer: str):
+    @lean
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = TokenCounter(load_encoding(tokenizer))
         for texts in batches:
@@ -154,6 +155,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     partition a document goes to depends on its id and text alone, so the
     windows don't depend on how the input is split.  No rows give no windows.
     """
+    small_batches(docs.sparkSession)
     text = F.col(quoted(text_col))
     n = token_counts(docs, text_col, tokenizer)
     sizes = docs.select(F.col(quoted(id_col)).cast("string").alias("doc_id"), F.xxhash64(F.col(quoted(id_col)), text).alias("h"), n.alias("n"))
@@ -189,6 +191,7 @@ def window_tokens(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", t
     wanted = pieces.select(F.col("p.doc_ids").alias("id"), F.struct("window_id", "at", F.col("p.starts").alias("start"), F.col("p.lengths").alias("length")).alias("piece"))
     wanted = wanted.groupBy("id").agg(F.collect_list("piece").alias("pieces"))
 
+    @lean
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = load_encoding(tokenizer)
         last = encoding.n_vocab if end_of_text is None else end_of_text

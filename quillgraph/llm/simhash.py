@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, materialize, quoted, text_key
+from .common import fresh, lean, materialize, quoted, small_batches, text_key
 
 BITS = 128
 BUDGET = 20
@@ -38,8 +38,8 @@ STARTS = [i * BITS // BLOCKS for i in range(BLOCKS)]
 #: Fingerprints in a subtree; beyond it the trie is cut one bit deeper.
 SUBTREE = 200_000
 #: Node pairs walked, and fingerprint pairs compared, at a time; successors in order that are compared first.
-_WALK, _COMPARE, _NEXT = 500_000, 2_000_000, 4
-_CACHE_LIMIT = 400_000
+_WALK, _COMPARE, _NEXT = 200_000, 500_000, 4
+_CACHE_LIMIT = 100_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -78,6 +78,7 @@ class Fingerprinter:
         return int(hi), int(lo)
 
 
+@lean
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     make = Fingerprinter()
     for texts in batches:
@@ -115,16 +116,16 @@ class _Trie:
     def __init__(self, hi: np.ndarray, lo: np.ndarray):
         self.order = np.lexsort((lo, hi))
         self.hi, self.lo = hi[self.order], lo[self.order]
-        self._ones: dict[int, np.ndarray] = {}
+        self._bit, self._ones = -1, np.zeros(0, np.int32)
 
     def split(self, left: np.ndarray, right: np.ndarray, bit: int) -> np.ndarray:
         """Where the children of the nodes part."""
-        ones = self._ones.get(bit)
-        if ones is None:
+        if self._bit != bit:  # the walk stays at a depth for long, so one is kept
             word, at = (self.hi, 63 - bit) if bit < 64 else (self.lo, 127 - bit)
-            ones = np.zeros(len(word) + 1, np.int64)
-            np.cumsum((word >> np.uint64(at)) & np.uint64(1), out=ones[1:])
-            self._ones[bit] = ones
+            self._ones = np.zeros(len(word) + 1, np.int32)
+            np.cumsum((word >> np.uint64(at)) & np.uint64(1), out=self._ones[1:], dtype=np.int32)
+            self._bit = bit
+        ones = self._ones
         return right - (ones[right] - ones[left])
 
 
@@ -253,6 +254,7 @@ def _own_prefix(rh: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _count_subtrees(bits: int):
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             hi, lo = pdf["hi"].to_numpy(), pdf["lo"].to_numpy()
@@ -267,6 +269,7 @@ def _to_subtrees(bits: int, parts: dict[tuple[int, int], int]):
     """``parts``: into how many parts (start, prefix) is dealt, where more than one."""
     masks = _prefixes(bits)
 
+    @lean
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, hi, lo = pdf["id"].to_numpy(), pdf["hi"].to_numpy(), pdf["lo"].to_numpy()
@@ -363,6 +366,7 @@ def components(edges: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ documents
 def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, k1, k2, member: a row for each of ``docs``; near duplicates share member."""
+    small_batches(docs.sparkSession)
     k1, k2 = text_key(F.col(quoted(text_col)))
     rows = docs.select(F.col(quoted(id_col)).alias("doc"), k1.alias("k1"), k2.alias("k2"), F.pandas_udf(_fingerprints, "hi long, lo long")(F.col(quoted(text_col))).alias("f"))
     rows = materialize(rows.select("doc", "k1", "k2", "f.hi", "f.lo"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, objects, others, quoted
+from .common import fresh, lean, materialize, objects, others, quoted, small_batches
 
 #: Letters that the language model knows; everything else ends a word.
 ALPHABET = " abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -40,7 +40,7 @@ _STRIP = ".,;:!?\"'()[]{}<>|%&*#=~`^…“”«»¿¡-_/\\"
 RECURRENCES = (2, 3, 4)
 #: Feature rows that a worker of the training sample sends on at a time.
 _SLICE = 20_000
-_CACHE_LIMIT = 200_000
+_CACHE_LIMIT = 100_000
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,7 @@ def _codes_table() -> np.ndarray:
     return table
 
 
+@lean
 def _count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     table = _codes_table()
     total = np.zeros(N_SYMBOLS**3, np.int64)
@@ -177,6 +178,7 @@ def train_lexicon(
     )  # each is in a share min_share of the toxic documents, so there are at most 1 / min_share times a document's features
     shared = sample.sparkSession.sparkContext.broadcast(frozenset(counted["feature"]))
 
+    @lean
     def of_harmless(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         times: dict[str, int] = {}
         for pdf in batches:
@@ -224,6 +226,7 @@ def document_features(text: str) -> dict[str, str]:
     return found
 
 
+@lean
 def _toxic_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """feature, word of each text, sent on in slices so that a batch of long texts is never held as a whole."""
     feature: list[str] = []
@@ -448,6 +451,7 @@ class Scorer:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, **options: float) -> ToxicityModel:
     """The character model from all of ``docs``; lexicon and threshold from the labelled sample."""
+    small_batches(docs.sparkSession)
     sample = materialize(labelled_sample(docs, labels, max_rows))
     model = ToxicityModel(train_char_model(docs), train_lexicon(sample, **options), math.inf)
     scores = score_documents(sample, model).select("toxic", F.col("toxicity").alias("score")).toPandas()  # at most max_rows rows
@@ -461,9 +465,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     repeated rows get equal scores; columns named like an output are replaced, all
     others are untouched.  No rows give none.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 64^3 floats and the lexicon
 
     @F.pandas_udf("score double, words array<string>")
+    @lean
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for texts in batches:

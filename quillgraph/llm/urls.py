@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, others, quoted
+from .common import fresh, lean, others, quoted
 
 #: Width of the hashed feature space and the n-grams used.
 BUCKETS, SIZES = 1 << 18, (3, 4, 5)
@@ -108,6 +108,7 @@ def score_urls(df: DataFrame, model: UrlModel, url_col: str = "url", out: tuple[
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # fixed size: 2^18 floats
 
+    @lean
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for urls in batches:
             p = shared.value.probability(list(urls)) if len(urls) else np.zeros(0)
