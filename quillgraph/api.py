@@ -8,9 +8,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import vectors
 from .model import Config, GraphTables
 from .operators import context as ctx
-from .operators import export, graph, health, related
+from .operators import evaluate, export, graph, health, related
 from .operators import search as srch
 from .operators.build import now
 from .operators.diff import GraphDiff, graph_diff
@@ -60,6 +61,15 @@ class Project:
         g = self.graph
         return {"indexed": True, "indexed_at": g.documents.agg(F.max("indexed_at")).first()[0], "bytes": self.store.size()} | counts(g)
 
+    def storage(self) -> dict:
+        """What the index holds and where it is large."""
+        g = self.graph
+        rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  bounded: first folders, kinds of edges, ten nodes, kinds of vectors
+        return {
+            "bytes": self.store.size(), "path_groups": rows(health.path_groups(g).limit(20)), "edge_kinds": rows(graph.edge_kind_stats(g.edges).orderBy("kind")),
+            "high_degree": rows(health.high_degree(g).orderBy(F.desc("degree"), "id")), "vectors": rows(health.vector_profiles(g).orderBy("provider", "model", "dimensions")),
+        }
+
     def freshness(self) -> DataFrame:
         """path, reason of files that are newer than the index, new or gone; contents are not read."""
         files = self.files().select("path", F.col("modified"), F.lit(True).alias("there"))
@@ -104,6 +114,16 @@ class Project:
             steps.append({"from_id": s["a"], "from_label": labels.get(s["a"], s["a"]), "to_id": s["b"], "to_label": labels.get(s["b"], s["b"]), "edge_from": e["from_id"], "edge_to": e["to_id"], "kind": e["kind"], "direction": "forward" if e["from_id"] == s["a"] else "reverse", "confidence": e["confidence"], "provenance": e["provenance"]})
         return names | {"found": True, "steps": steps}
 
+    def reach(self, start: str, max_depth: int = 2) -> DataFrame:
+        """id, depth, parent of the nodes within some hops of one."""
+        found = resolve_node(self.graph, checked(start))
+        if found.status != "found":
+            raise ValueError(f"the start wasn't found: {start}")
+        return graph.bfs(self.graph.edges, self.spark.createDataFrame([(found.node["id"],)], "id string"), max_depth)
+
+    def semantic_status(self) -> str:
+        return evaluate.semantic_status(self.graph, self.config.provider, self.config.embedding_model, self.config.dimensions, self.config.semantic, vectors.known_providers())
+
     def query(self, source: str) -> tuple[DataFrame, DataFrame]:
         """(all documents that match, the ordered and limited ones)."""
         q = dsl.parse(source)

@@ -78,6 +78,10 @@ def register_provider(name: str, factory: Callable[[str, int], Embedder]) -> Non
     _PROVIDERS[name] = factory
 
 
+def known_providers() -> frozenset[str]:
+    return frozenset(_PROVIDERS)
+
+
 def provider(name: str, model: str, dimensions: int) -> Embedder:
     if name not in _PROVIDERS:
         raise EmbeddingError("unsupported_provider", f"no embedding provider named {name}")

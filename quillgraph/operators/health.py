@@ -170,6 +170,13 @@ def path_groups(g: GraphTables) -> DataFrame:
     return rows.groupBy("path_group").agg(F.count(F.lit(1)).alias("documents"), F.sum("chunks").alias("chunks"), F.sum("bytes").alias("content_bytes")).orderBy(F.desc("content_bytes"), "path_group")
 
 
+def vector_profiles(g: GraphTables) -> DataFrame:
+    """provider, model, dimensions, vectors, invalid: vectors by kind; invalid ones have another length, or nothing or no number in them."""
+    v = F.col("vector")
+    sound = (F.size(v) == F.col("dimensions")) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return g.chunk_vectors.groupBy("provider", "model", "dimensions").agg(F.count(F.lit(1)).alias("vectors"), F.sum((~F.coalesce(sound, F.lit(False))).cast("bigint")).alias("invalid"))
+
+
 def storage_warnings(g: GraphTables, total_bytes: int | None = None) -> DataFrame:
     groups = path_groups(g).where(F.col("path_group").isin(list(GENERATED)))
     out = warning(groups, "storage.generated_path_indexed", F.col("path_group"), F.concat(F.lit("A folder of generated files is indexed: "), "path_group"), evidence=F.to_json(F.struct("documents", "chunks", "content_bytes")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,7 +181,26 @@ def _fused(g: GraphTables, config: Config, channels: list[DataFrame], matched: l
     ).orderBy("rank")
 
 
-def agent_limit(query: str, documents: int) -> int:
-    """How many results an agent gets: more for long questions and large corpora, from 4 to 24."""
-    n = 8 + (4 if len(query.split()) > 6 or len(query) > 80 else 0) + (8 if documents >= 1000 else 4 if documents >= 100 else 0)
-    return max(4, min(24, n))
+def explain(run: SearchRun) -> dict:
+    """How the results came about, without their rows."""
+    return {f.name: getattr(run, f.name) for f in fields(run) if f.name != "results"}
+
+
+def agent_limit(query: str, documents: int, base: int = 8) -> tuple[int, str]:
+    """(how many results an agent gets, why): more for long questions and large corpora, from 4 to 24."""
+    half, n, why = -(-base // 2), base, ["the default of the settings"]
+    if len(query.split()) > 6 or len(query) > 80:
+        n, why = n + half, [*why, "a long question"]
+    if documents >= 1000:
+        n, why = n + base, [*why, "a large index"]
+    elif documents >= 100:
+        n, why = n + half, [*why, "an index of middle size"]
+    return max(4, min(24, n)), "; ".join(why)
+
+
+def agent_context(query: str, documents: int, config: Config, known_files: list[str], max_chars: int | None) -> dict:
+    """search_limit, max_depth, max_chars and why, for an agent's context."""
+    limit, why = agent_limit(query, documents, config.default_limit)
+    deep = bool(known_files) or len(query.split()) > 6 or documents >= 100
+    chars = max_chars or (config.max_context_chars if deep else min(config.max_context_chars, 16_000))
+    return {"search_limit": limit, "max_depth": min(4, config.max_depth + deep), "max_chars": chars, "why": f"{why}; {'the budget asked for' if max_chars else 'a budget by the question'}"}
