@@ -22,29 +22,35 @@ MAX_LABELLED = 16_000
 MAX_RULES, MAX_LITERALS, MIN_COVER, MIN_PRECISION = 12, 4, 5, 0.9
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Numbers about a text; null counts as empty; shares of an empty text are 0."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.length(text)
-    words = F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0)
-    n_words = F.size(words)
-    lines = F.split(text, "\n")
+def with_statistics(df: DataFrame, text: Column, names: dict[str, str]) -> DataFrame:
+    """``df`` with numbers about a text, under ``names``; null counts as empty, shares of an empty text are 0.
+
+    Words, lines and letters are columns of a projection below that of the
+    numbers, which use them several times, so each is made once a row.
+    """
+    t, n, words, lines, letters, digits, symbols = fresh(df.select("*", *[F.lit(0).alias(x) for x in names.values()]), "text", "n", "words", "lines", "letters", "digits", "symbols")
+    kept = [F.col(quoted(c)) for c in df.columns]
+    first = df.select(*kept, F.coalesce(text, F.lit("")).alias(t))
+    without = lambda pattern: F.length(F.regexp_replace(F.col(t), pattern, ""))
+    second = first.select(
+        *kept, t, F.length(t).alias(n), F.array_remove(F.split(F.col(t), r"\s+"), "").alias(words), F.split(F.col(t), "\n").alias(lines),
+        without(r"[^\p{L}]+").alias(letters), without(r"[^0-9]+").alias(digits), without(r"[\p{L}0-9\s.,;:!?'\"()-]+").alias(symbols),
+    )
+    n, words, lines, letters, digits, n_words = F.col(n), F.col(words), F.col(lines), F.col(letters), F.col(digits), F.size(words)
     share = lambda part, whole: F.when(whole > 0, F.round(part / whole, 6)).otherwise(F.lit(0.0))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    digits = F.length(F.regexp_replace(text, r"[^0-9]+", ""))
-    spaces = n - F.length(F.regexp_replace(text, r"[\s.,;:!?'\"()-]+", ""))
-    return {
+    numbers = {
         "chars": n.cast("double"),
         "words": n_words.cast("double"),
         "word_length": share(letters, n_words),
         "letter_share": share(letters, n),
         "digit_share": share(digits, n),
-        "symbol_share": share(n - letters - digits - spaces, n),
+        "symbol_share": share(F.col(symbols), n),
         "distinct_words": share(F.size(F.array_distinct(words)), n_words),
         "distinct_lines": share(F.size(F.array_distinct(lines)), F.size(lines)),
-        "capital_share": share(F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")), letters),
-        "stops_per_word": share(F.length(F.regexp_replace(text, r"[^.!?]+", "")), n_words),
+        "capital_share": share(without(r"[^\p{Lu}]+"), letters),
+        "stops_per_word": share(without(r"[^.!?]+"), n_words),
     }
+    return second.select(*kept, *[numbers[k].alias(names[k]) for k in STATISTICS])
 
 
 STATISTICS = ("chars", "words", "word_length", "letter_share", "digit_share", "symbol_share", "distinct_words", "distinct_lines", "capital_share", "stops_per_word")
@@ -153,10 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> l
     lab = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toPandas()
     spark = docs.sparkSession
-    small = spark.createDataFrame(ids.astype({"doc_id": "int64", "quality": "int32"}) if len(ids) else [], "doc_id long, quality int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(small), "doc_id")  # at most max_rows ids
-    stats = statistics(F.col("text"))
-    pdf = rows.select("doc_id", "quality", *[c.alias(k) for k, c in stats.items()]).toPandas()
+    small = spark.createDataFrame(list(zip(map(str, ids["doc_id"]), map(int, ids["quality"]))), "doc_id string, quality int")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(F.broadcast(small), "doc_id")  # at most max_rows ids
+    pdf = with_statistics(rows, F.col("text"), {k: k for k in STATISTICS}).drop("text").toPandas()
     pdf = pdf.drop_duplicates(list(STATISTICS) + ["quality"])  # copies count once
     if pdf.empty:
         return []
@@ -191,7 +196,7 @@ def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", out:
         while name.lower() in taken:
             name += "_"
         names[k] = name
-    with_stats = docs.select(*[F.col(quoted(c)) for c in docs.columns], *[c.alias(names[k]) for k, c in statistics(F.col(quoted(text_col))).items()])
+    with_stats = with_statistics(docs, F.col(quoted(text_col)), names)
     (tmp,) = fresh(with_stats, "rule")
     ruled = with_stats.withColumn(tmp, rule_column(rules, {k: F.col(v) for k, v in names.items()}))
     return ruled.select(*others(with_stats, *out), F.col(tmp).alias(out[0]), F.col(tmp).isNull().alias(out[1]))

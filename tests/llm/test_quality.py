@@ -48,7 +48,8 @@ def test_each_literal_has_the_greatest_gain(seed):
 
 def test_statistics_by_hand(spark):
     text = "Hello, World! 42\nHello, World! 42\n\nx"
-    row = spark.createDataFrame([(text,), (None,), ("",)], "text string").select(*[c.alias(k) for k, c in q.statistics(F.col("text")).items()]).collect()
+    row = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    row = q.with_statistics(row, F.col("text"), {k: k for k in q.STATISTICS}).drop("text").collect()
     assert row[0]["chars"] == len(text) and row[0]["words"] == 7
     assert row[0]["letter_share"] == round(21 / len(text), 6) and row[0]["digit_share"] == round(4 / len(text), 6)
     assert row[0]["distinct_lines"] == 0.75 and row[0]["capital_share"] == round(4 / 21, 6) and row[0]["stops_per_word"] == round(2 / 7, 6)
