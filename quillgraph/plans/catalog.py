@@ -250,9 +250,13 @@ FROM w a JOIN w b ON a.doc_id < b.doc_id"""
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redundancy among search results: pairs of the 20 best documents of one text query, not of the whole table."""
+    return relate.jaccard_pairs(best_items(spark, sf_dir), "doc_id", "tokens").withColumn("jaccard", F.round("jaccard", 6))
+
+
+def best_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, tokens of the 20 best documents of a search."""
     top = _scored(spark, sf_dir, _Q2).orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id")
-    items = table(spark, sf_dir, "documents").join(F.broadcast(top), "doc_id").select("doc_id", tx.words(F.col("text")).alias("tokens"))  # 20 rows
-    return relate.jaccard_pairs(items, "doc_id", "tokens").withColumn("jaccard", F.round("jaccard", 6))
+    return table(spark, sf_dir, "documents").join(F.broadcast(top), "doc_id").select("doc_id", tx.words(F.col("text")).alias("tokens"))  # 20 rows
 
 
 # -------------------------------------------------------- differences, events

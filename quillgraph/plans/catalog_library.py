@@ -15,7 +15,7 @@ from ..sources.store import counts
 from ..streaming import watch
 from . import dsl
 from .library import LIBRARY_SQL, library
-from .registry import query
+from .registry import ORACLES, query
 from .starmap import table
 
 _WITH = f"WITH {LIBRARY_SQL}"
@@ -274,16 +274,12 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{_WITH}, plain AS (SELECT * FROM l_edges WHERE kind <> 'CONTAINS' AND provenance <> 'embedding_similarity'),
 sc AS (SELECT d.id AS document_id, s.id AS s, c.id AS c FROM l_documents d LEFT JOIN l_sections s ON s.document_id = d.id LEFT JOIN l_chunks c ON c.document_id = d.id),
 touched AS (SELECT DISTINCT o.document_id, e.id, e.from_id, e.to_id, e.kind FROM plain e JOIN l_owners o ON o.id IN (e.from_id, e.to_id)),
-few AS (SELECT document_id FROM sc GROUP BY document_id HAVING count(*) <= 400),
 raw AS (SELECT t.document_id, count(*) AS raw, count(DISTINCT t.id) AS exact, count(*) FILTER (kind = 'DEFINES') AS definitions FROM touched t JOIN sc USING (document_id)
   WHERE from_id IN (t.document_id, s, c) OR to_id IN (t.document_id, s, c) GROUP BY t.document_id)
-SELECT f.document_id, coalesce(raw, 0) AS raw, coalesce(exact, 0) AS exact, coalesce(definitions, 0) AS definitions FROM few f LEFT JOIN raw USING (document_id)"""
+SELECT f.document_id, coalesce(raw, 0) AS raw, coalesce(exact, 0) AS exact, coalesce(definitions, 0) AS definitions FROM (SELECT id AS document_id FROM l_documents) f LEFT JOIN raw USING (document_id)"""
 )
 def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of documents of up to 400 pairs of a section and a chunk, which SQL can list; the operator counts them."""
-    g = library(spark, sf_dir)
-    pairs = g.sections.groupBy("document_id").agg(F.count(F.lit(1)).alias("s")).where("s * s <= 400")
-    return health.document_links(g).join(pairs, "document_id", "left_semi").select("document_id", "raw", "exact", "definitions")
+    return health.document_links(library(spark, sf_dir)).select("document_id", "raw", "exact", "definitions")
 
 
 _TOUCHED = f"""{_WITH}, plain AS (SELECT * FROM l_edges WHERE kind <> 'CONTAINS' AND provenance <> 'embedding_similarity'),
@@ -434,12 +430,11 @@ def structural_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""{_WITH}, n AS (SELECT 0 AS k, [path, id] AS sort, id FROM l_documents UNION ALL SELECT 1, [path, lpad(start_line::VARCHAR, 10, '0'), s.id], s.id FROM l_sections s JOIN l_documents d ON d.id = document_id
 UNION ALL SELECT 2, [kind, normalized_name, id], id FROM l_entities UNION ALL SELECT 3, [path, id], id FROM l_source_refs)
-SELECT row_number() OVER (ORDER BY k, sort) AS position, id FROM n QUALIFY position <= 2000"""
+SELECT k, array_to_string(sort, '|') AS sort, id FROM n"""
 )
 def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order of an export's first 2000 nodes."""
-    first = export.structural_nodes(library(spark, sf_dir)).orderBy("k", "sort").select("id").limit(2000).collect()
-    return spark.createDataFrame([(i, r["id"]) for i, r in enumerate(first, 1)], "position bigint, id string")
+    """By what the nodes of an export are sorted."""
+    return export.structural_nodes(library(spark, sf_dir)).select("k", F.array_join("sort", "|").alias("sort"), "id")
 
 
 @query(
@@ -552,15 +547,12 @@ def recall_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recall_at(ranked.select(*pair, "rank"), line.where("l_quantity >= 49").select(*pair), 5)
 
 
-@query(
-    r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM documents WHERE doc_id % 100 = 0),
-j AS (SELECT len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS s FROM w a JOIN w b ON a.doc_id < b.doc_id)
-SELECT round(avg(s), 4) AS average, round(max(s), 4) AS maximum, count(*) FILTER (s >= 0.2) AS near_duplicates FROM j"""
-)
+@query(f"WITH j AS ({ORACLES['jaccard_pairs']}) SELECT round(avg(jaccard), 4) AS average, round(max(jaccard), 4) AS maximum, count(*) FILTER (jaccard >= 0.1) AS near_duplicates FROM j")
 def redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How alike the items of one context are: a context of the documents whose id is divisible by 100."""
-    items = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select("doc_id", tx.words(F.col("text")).alias("tokens"))
-    return evaluate.packing_redundancy(items, "doc_id", "tokens", 0.2)
+    """How alike the 20 best results of a search are."""
+    from .catalog import best_items
+
+    return evaluate.packing_redundancy(best_items(spark, sf_dir), "doc_id", "tokens", 0.1)
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -624,16 +616,19 @@ def total_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------- context
 @query(
-    f"""{_WITH}, x AS (SELECT n, path, (n % 37)::DOUBLE AS score, n % 3 = 0 AS direct FROM l_documents WHERE n < 200),
-t AS (SELECT *, row_number() OVER (PARTITION BY direct, path[1:4] ORDER BY score DESC, n) AS turn FROM x),
-f AS (SELECT *, min(struct_pack(s := -score, n := n)) OVER (PARTITION BY direct, path[1:4]) AS seen FROM t)
-SELECT row_number() OVER (ORDER BY direct DESC, turn, seen) AS position, n FROM f"""
+    f"""{_WITH}, {_indexed_bm25("l_chunks", "id", "content", ("the", "nicht", "que"))}, best AS (SELECT id, round(score, 4) AS score FROM x_bm25 ORDER BY score DESC, id LIMIT 100),
+x AS (SELECT c.id, d.path, score, n % 3 = 0 AS direct FROM best JOIN l_chunks c USING (id) JOIN l_documents d USING (n)),
+t AS (SELECT *, row_number() OVER (PARTITION BY direct, path ORDER BY score DESC, id) AS turn FROM x),
+f AS (SELECT *, min(struct_pack(s := -score, id := id)) OVER (PARTITION BY direct, path) AS seen FROM t)
+SELECT row_number() OVER (ORDER BY direct DESC, turn, seen) AS position, id FROM f"""
 )
 def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order in which a context takes its candidates: documents (here: sources) in turns, direct hits first."""
-    rows = library(spark, sf_dir).documents.withColumn("n", F.substring_index("id", ":", -1).cast("int")).where("n < 200").orderBy("n").collect()
-    items = [context.Candidate(r["id"], r["id"], r["path"][:4], r["title"], "", float(r["n"] % 37), r["n"] % 3 == 0, "") for r in rows]
-    return spark.createDataFrame([(i, int(c.node_id[4:])) for i, c in enumerate(context.interleave(items), 1)], "position bigint, n bigint")
+    """The order in which a context takes the 100 best results of a search: documents in turns, direct hits first."""
+    g = library(spark, sf_dir)
+    best = fts.bm25(g.chunks, "id", "content", ["the", "nicht", "que"], indexed=True).withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), "id").limit(100)
+    rows = best.join(g.chunks, "id").join(g.documents.select(F.col("id").alias("document_id"), "path"), "document_id").orderBy("id").collect()
+    items = [context.Candidate(r["id"], r["document_id"], r["path"], "", r["content"], r["score"], int(r["document_id"][4:]) % 3 == 0, "") for r in rows]
+    return spark.createDataFrame([(i, c.node_id) for i, c in enumerate(context.interleave(items), 1)], "position bigint, id string")
 
 
 @query(
