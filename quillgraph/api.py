@@ -42,6 +42,14 @@ class Project:
     def parsed(self) -> DataFrame:
         return parse_files(self.files())
 
+    def current(self) -> DataFrame:
+        """The files as they are now; those that the index knows are not parsed again."""
+        about = self.store.current()
+        if about is None or not about["parsed"]:
+            return self.parsed()
+        same, fresh = self.store.reparse(self.files(), parse_files)
+        return same.unionByName(fresh)
+
     def index(self, full: bool = False) -> dict[str, int]:
         if full or self.store.current() is None:
             self._graph = self.store.index(self.parsed(), self.config, now())
@@ -139,13 +147,13 @@ class Project:
     # ------------------------------------------------------------------ health
     def doctor(self, scope: health.Scope | None = None) -> health.Report:
         files = git.all_files(self.spark, self.root) if "://" not in self.root else None
-        report = health.run_doctor(materialize(self.parsed()), self.graph, self.config, files, scope)
+        report = health.run_doctor(materialize(self.current()), self.graph, self.config, files, scope)
         if report.is_stale:
             report.parts = {}
         return report
 
     def derive(self, options: related.Options | None = None, dry_run: bool = False) -> related.Derivation:
-        parsed = self.parsed()
+        parsed = materialize(self.current())
         stale = not health.stale_index(parsed, self.graph.documents).isEmpty() or not parsed.where("error IS NOT NULL").isEmpty()
         found = related.derive_related(self.graph, self.config, options, now(), stale)
         if not dry_run:

@@ -111,4 +111,4 @@ def vectors(chunks: DataFrame, config: Config, created: str) -> DataFrame:
 
 
 def with_edges(graph: GraphTables, edges: DataFrame) -> GraphTables:
-    return GraphTables(graph.documents, graph.sections, graph.entities, graph.source_refs, edges, graph.chunks, graph.chunk_vectors, graph.extra)
+    return GraphTables(graph.documents, graph.sections, graph.entities, graph.source_refs, edges, graph.chunks, graph.chunk_vectors, {k: v for k, v in graph.extra.items() if k != "adjacency"})

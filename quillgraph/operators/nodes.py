@@ -61,12 +61,20 @@ def context_chunks(g: GraphTables, ids: list[str]) -> DataFrame:
     return best.join(d, "c_document").withColumnRenamed("c_document", "document_id").withColumnRenamed("c_section", "section_id")
 
 
+def both_ends(edges: DataFrame) -> DataFrame:
+    """node and the edge, a row for each end."""
+    return edges.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("node"), "*")
+
+
 def edges_of(g: GraphTables, ids: list[str], per_node: int | None = None, skip: str | None = None) -> DataFrame:
-    """node, other and the edge, for both ends; the ``per_node`` best by weight times confidence."""
-    wanted = F.broadcast(g.edges.sparkSession.createDataFrame([(i,) for i in ids], "node string"))  # the nodes asked for
-    e = g.edges if skip is None else g.edges.where(F.col("kind") != skip)
-    sides = e.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("node"), "*")
-    near = sides.join(wanted, "node").withColumn("other", F.when(F.col("node") == F.col("from_id"), F.col("to_id")).otherwise(F.col("from_id")))
+    """node, other and the edge, for both ends; the ``per_node`` best by weight times confidence.
+
+    A stored index has its edges by node, so that only parts with one of
+    ``ids`` (which the callers bound) are read.
+    """
+    sides = g.extra["adjacency"] if "adjacency" in g.extra else both_ends(g.edges)
+    sides = sides if skip is None else sides.where(F.col("kind") != skip)
+    near = sides.where(F.col("node").isin(ids)).withColumn("other", F.when(F.col("node") == F.col("from_id"), F.col("to_id")).otherwise(F.col("from_id")))
     if per_node is None:
         return near
     from .ranking import top_per_group

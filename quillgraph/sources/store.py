@@ -16,9 +16,15 @@ from ..functions.markdown import PARSED_SCHEMA
 from ..model import SCHEMAS, Config, GraphTables
 from ..operators import fts
 from ..operators.build import build_graph, with_edges
+from ..operators.nodes import both_ends
 from ..operators.related import replace_derived
 
 SCHEMA_VERSION = 1
+#: By what the rows of each table are looked up.
+_LOOKUPS = {
+    "documents": ("id",), "sections": ("id", "document_id"), "entities": ("id", "normalized_name"), "source_refs": ("id", "normalized_path"),
+    "edges": ("from_id", "to_id", "id"), "chunks": ("document_id", "section_id", "id"), "chunk_vectors": ("chunk_id",),
+}
 _POINTER = "_CURRENT"
 
 
@@ -72,7 +78,8 @@ class GraphStore:
         """Writes a version and makes it current; gives its name.  ``old``: the version before, whose postings of unchanged chunks are taken over."""
         version = f"v-{uuid.uuid4().hex}"
         for name, df in graph.items():
-            df.write.parquet(f"{self.root}/{version}/{name}")
+            self._write_table(df, f"{self.root}/{version}/{name}", *_LOOKUPS[name])
+        self._write_table(both_ends(self._table(version, "edges", SCHEMAS["edges"])).repartition("node"), f"{self.root}/{version}/adjacency", "node")
         chunks = self._table(version, "chunks", SCHEMAS["chunks"])
         self._postings(chunks, old).repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{self.root}/{version}/postings")
         fts.totals(chunks, "content").coalesce(1).write.parquet(f"{self.root}/{version}/text_totals")
@@ -81,6 +88,14 @@ class GraphStore:
         self._write(_POINTER, json.dumps({"version": version, "schema_version": SCHEMA_VERSION, "parsed": parsed is not None, "postings": True}))
         return version
 
+    @staticmethod
+    def _write_table(df: DataFrame, path: str, *keys: str) -> None:
+        """Sorted by the first key within its files and with Bloom filters, so that lookups by key skip most of them."""
+        writer = df.sortWithinPartitions(*keys[:1]).write
+        for k in keys:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true")
+        writer.parquet(path)
+
     @staticmethod
     def _postings(chunks: DataFrame, old: GraphTables | None) -> DataFrame:
         if old is None or "postings" not in old.extra:
@@ -101,6 +116,7 @@ class GraphStore:
         if about["parsed"]:
             graph.extra["parsed"] = self._table(about["version"], "parsed", PARSED_SCHEMA)
         if about.get("postings"):
+            graph.extra["adjacency"] = self._table(about["version"], "adjacency", f"node string, {SCHEMAS['edges']}")
             graph.extra["postings"] = self._table(about["version"], "postings", fts.POSTINGS_SCHEMA)
             graph.extra["text_totals"] = self._table(about["version"], "text_totals", fts.TOTALS_SCHEMA)
         return graph
@@ -142,13 +158,9 @@ class GraphStore:
             graph = self.index((parse or parse_files)(files), config, indexed_at)
             return graph, {"parsed": graph.extra["parsed"].count(), "kept": 0, "deleted": 0}
         old = self.load()
-        before = old.extra["parsed"]
-        hashed = files.withColumn("__hash", F.sha2(F.decode("content", "UTF-8").cast("binary"), 256))
-        same = before.join(hashed.select("path", F.col("__hash").alias("hash")), ["path", "hash"], "left_semi").select(before.columns)
-        changed = hashed.join(before.where("error IS NULL").select("path", F.col("hash").alias("__hash")), ["path", "__hash"], "left_anti").drop("__hash")
-        gone = before.join(files.select("path"), "path", "left_anti").count()
+        same, fresh = self.reparse(files, parse or parse_files)
+        gone = old.extra["parsed"].join(files.select("path"), "path", "left_anti").count()
         kept = same.count()
-        fresh = (parse or parse_files)(changed)
         staged = f"{self.root}/staged-{uuid.uuid4().hex}"
         same.unionByName(fresh).write.parquet(staged)
         stored = self.spark.read.schema(PARSED_SCHEMA).parquet(staged)
@@ -162,6 +174,14 @@ class GraphStore:
         loaded = self.load()
         return loaded, {"parsed": loaded.extra["parsed"].count() - kept, "kept": kept, "deleted": gone}
 
+    def reparse(self, files: DataFrame, parse) -> tuple[DataFrame, DataFrame]:
+        """(stored records of the files whose content is the same, records of the others): only these are parsed."""
+        before = self.load().extra["parsed"]
+        hashed = files.withColumn("__hash", F.sha2(F.decode("content", "UTF-8").cast("binary"), 256))
+        same = before.join(hashed.select("path", F.col("__hash").alias("hash")), ["path", "hash"], "left_semi").select(before.columns)
+        changed = hashed.join(before.where("error IS NULL").select("path", F.col("hash").alias("__hash")), ["path", "__hash"], "left_anti").drop("__hash")
+        return same, parse(changed)
+
     def replace_related(self, derived: DataFrame) -> GraphTables:
         """Swaps the derived edges of the current version in one step."""
         graph = self.load()

@@ -17,6 +17,7 @@ from quillgraph.functions import vectors
 from quillgraph.functions.http_embedding import http_embedder, register_http
 from quillgraph.model import Config
 from quillgraph.operators import fts, related
+from quillgraph.operators.nodes import edges_of
 from quillgraph.plans import dsl
 
 
@@ -94,6 +95,17 @@ def test_stored_postings_give_the_same_scores(spark, tmp_path):
     assert "StringStartsWith(term,session)" in plan
 
 
+def test_lookups_skip_what_they_dont_need(spark, tmp_path):
+    p = Project(spark, corpus.write(tmp_path))
+    p.index()
+    ids = [r["id"] for r in p.graph.documents.limit(2).collect()]
+    stored = edges_of(p.graph, ids)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert any(f.rsplit("/", 2)[1] == "adjacency" for f in stored.inputFiles()) and "In(node" in plan and "Exchange" not in plan
+    bare = dataclasses.replace(p.graph, extra={})
+    assert sorted(map(str, stored.select("node", "id", "other").collect())) == sorted(map(str, edges_of(bare, ids).select("node", "id", "other").collect()))
+
+
 # ------------------------------------------------------------------ derivation
 WORDS = {"cache": [1.0, 0.0, 0.0, 0.0], "login": [0.0, 1.0, 0.0, 0.0], "trees": [0.0, 0.0, 1.0, 0.0]}
 
