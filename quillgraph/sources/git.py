@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import subprocess
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import Config
@@ -69,11 +71,31 @@ def revision(root: str, ref: str) -> str:
 def snapshot_files(spark: SparkSession, root: str, ref: str, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
     """(Markdown files, paths of all files) of a revision; only Markdown is read."""
     commit = revision(root, ref)
-    paths = [p for p in _git(root, "ls-tree", "-r", "-z", "--name-only", commit).decode().split("\0") if p]
+    listed = [x.partition("\t") for x in _git(root, "ls-tree", "-r", "-z", "-l", commit).decode().split("\0") if x]
+    entries = [(path, *about.split()[1:4]) for about, _, path in listed]  # path, kind, object, size
+    paths = [e[0] for e in entries]
     ignore = _git(root, "show", f"{commit}:.gitignore").decode(errors="replace") if ".gitignore" in paths else ""
-    rows = [(p, None, len(c), bytearray(c)) for p in paths if _markdown(p) for c in [_git(root, "show", f"{commit}:{p}")]]
-    files = spark.createDataFrame(rows, "path string, modified timestamp, length long, content binary")
-    return narrowed(files, config or Config(), ignore), spark.createDataFrame([(p,) for p in paths], "path string")
+    rows = [(p, None, int(size), blob) for p, kind, blob, size in entries if kind == "blob" and _markdown(p)]
+    files = narrowed(spark.createDataFrame(rows, "path string, modified timestamp, length long, blob string"), config or Config(), ignore)
+    read = files.repartition(max(1, -(-len(rows) // 2_000))).mapInPandas(_reader(root), "path string, modified timestamp, length long, content binary")
+    return read, spark.createDataFrame([(p,) for p in paths], "path string")
+
+
+def _reader(root: str):
+    """Contents of blobs, from one process a batch, where the executors see the repository's folder as they see its files."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = subprocess.run(["git", "-C", root, "cat-file", "--batch"], input="".join(f"{b}\n" for b in pdf["blob"]).encode(), capture_output=True, check=True).stdout
+            contents, at = [], 0
+            for _ in range(len(pdf)):
+                end = out.index(b"\n", at)
+                size = int(out[at:end].split()[2])
+                contents.append(out[end + 1 : end + 1 + size])
+                at = end + size + 2
+            yield pd.DataFrame({"path": pdf["path"], "modified": pdf["modified"], "length": pdf["length"], "content": pd.Series(contents, dtype=object, index=pdf.index)})
+
+    return read
 
 
 def all_files(spark: SparkSession, root: str) -> DataFrame:
