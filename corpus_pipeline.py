@@ -21,27 +21,42 @@ from quillgraph.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents found toxic go; the rest are unchanged."""
+    """Operator 7: documents found toxic go; the rest are unchanged.
+
+    Null and empty texts stay, equal texts share their fate, ids may be null or repeat.
+    """
     return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: recurring lines are cut from the texts; every document stays."""
+    """Operator 6: recurring lines are cut from the texts; every document stays.
+
+    Null and empty texts stay as they are; repeated rows are cut alike and count once.
+    """
     return dedup_lines(docs, dropped=None)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group of near duplicates the smallest doc_id stays."""
+    """Operator 1: of each group of near duplicates the smallest doc_id stays.
+
+    Null ids come after all others; of repeated rows one stays; null, empty and blank texts are one group.
+    """
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: passages of the benchmark are cut; documents made of them go."""
+    """Operator 9: passages of the benchmark are cut; documents made of them go.
+
+    Null and empty texts stay; null and empty test items count for nothing.
+    """
     return remove_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: windows of at most 2048 tokens over all that is left."""
+    """Operator 5: windows of at most 2048 tokens over all that is left.
+
+    Null and empty texts are in none; null ids stay null; repeated rows are packed each.
+    """
     return pack(docs)
 
 
