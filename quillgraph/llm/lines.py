@@ -49,10 +49,22 @@ BROADCAST_ROWS = 2_000_000
 _VARIABLE, _DIGIT = re.compile(r"(?<!\S)[^\s\d]*+\d\S*+"), re.compile(r"\d")
 
 
+def has_digit(line: str) -> bool:
+    for d in "0123456789":
+        if d in line:
+            return True
+    try:
+        line.encode("latin-1")  # has no other digits
+    except UnicodeEncodeError:
+        return _DIGIT.search(line) is not None
+    return False
+
+
 def masked(line: str) -> str:
     """The line with single spaces, its tokens with digits as wildcards."""
-    line = " ".join(line.split())
-    return _VARIABLE.sub("<*>", line) if _DIGIT.search(line) else line
+    if not line.isprintable() or "  " in line or line[:1] == " " or line[-1:] == " ":  # white space but for a space isn't printable
+        line = " ".join(line.split())
+    return _VARIABLE.sub("<*>", line) if has_digit(line) else line
 
 
 def line_hash(line: str) -> int:

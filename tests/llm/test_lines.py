@@ -1,7 +1,12 @@
+import re
+
 import numpy as np
 import pytest
 from brute import boilerplate, without_lines
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from quillgraph.llm import lines as ln
 
 FOOT = "Copyright 2019 by the authors, all rights reserved worldwide"
@@ -66,6 +71,57 @@ def test_wildcards_and_short_lines():
     assert ln.parse("now three words")[2] == "now three words"
 
 
+def by_comparing_all(lines):
+    """Templates of a leaf, each line compared with each."""
+    templates, out = [], {}
+    for h, line in sorted(lines, key=lambda x: (x[1], x[0])):
+        tokens = line.split(" ")
+        scores = [sum(a in (b, "<*>") for a, b in zip(t, tokens)) / len(tokens) for _, t in templates]
+        best = max(scores, default=0.0)
+        if best >= ln.SIMILAR:
+            i = scores.index(best)
+            root, t = templates[i]
+            templates[i] = (root, [a if a == b else "<*>" for a, b in zip(t, tokens)])
+            out[h] = root
+        else:
+            templates.append((h, tokens))
+            out[h] = h
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_templates_of_a_leaf_are_those_of_comparing_all(seed):
+    rng = np.random.default_rng(seed)
+    n, words = int(rng.integers(3, 25)), int(rng.choice([2, 3, 5, 30]))
+    lines = {}
+    for i in range(int(rng.integers(1, 120))):
+        tokens = [f"w{rng.integers(words)}" if rng.random() < 0.9 else "<*>" for _ in range(n)]
+        if lines and rng.random() < 0.6:
+            tokens = list(lines)[int(rng.integers(len(lines)))].split(" ")
+            for _ in range(int(rng.integers(0, n // 2 + 1))):
+                tokens[int(rng.integers(n))] = f"w{rng.integers(words)}"
+        tokens[: ln.DEPTH] = ["a", "b", "<*>"]
+        lines.setdefault(" ".join(tokens), i)
+    lines = [(i, t) for t, i in lines.items()]
+    assert ln.merge_leaf(lines) == by_comparing_all(lines)
+
+
+def test_a_large_leaf_takes_seconds():
+    import time
+
+    rng = np.random.default_rng(0)
+    lines = [(i, "a b c " + " ".join(f"w{x}" for x in row)) for i, row in enumerate(rng.integers(0, 20_000, (100_000, 12)))]
+    began = time.process_time()
+    assert len(ln.merge_leaf(lines)) == 100_000
+    assert time.process_time() - began < 30
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="ab é1\t  \u3000٣²5\xa0\x85\xad\x1c", max_size=20))
+def test_masking_is_by_tokens(line):
+    assert ln.masked(line) == " ".join("<*>" if re.search(r"\d", t) else t for t in line.split())
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(n))
 
