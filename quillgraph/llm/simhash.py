@@ -39,7 +39,8 @@ STARTS = [i * BITS // BLOCKS for i in range(BLOCKS)]
 SUBTREE = 200_000
 #: Node pairs walked, and fingerprint pairs compared, at a time; successors in order that are compared first.
 _WALK, _COMPARE, _NEXT = 200_000, 500_000, 4
-_CACHE_LIMIT = 100_000
+#: Words whose hashes are kept: the first ones, among them all that are frequent.
+_CACHE_LIMIT = 200_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -62,15 +63,15 @@ class Fingerprinter:
         words = self.words(text) if text else []
         if not words:
             return 0, 0
-        if len(self.known) > _CACHE_LIMIT:
-            self.known.clear()
         known, total = self.known, np.zeros(BITS, np.int64)
         for at in range(0, len(words), 65_536):
             digests = []
             for w in words[at : at + 65_536]:
                 d = known.get(w)
                 if d is None:
-                    d = known[w] = xxhash.xxh3_128_digest(w)
+                    d = xxhash.xxh3_128_digest(w)
+                    if len(known) < _CACHE_LIMIT:
+                        known[w] = d
                 digests.append(d)
             bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, BITS // 8), axis=1)
             total += bits.sum(0, dtype=np.int64)

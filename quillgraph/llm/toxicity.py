@@ -40,7 +40,8 @@ _STRIP = ".,;:!?\"'()[]{}<>|%&*#=~`^…“”«»¿¡-_/\\"
 RECURRENCES = (2, 3, 4)
 #: Feature rows that a worker of the training sample sends on at a time.
 _SLICE = 20_000
-_CACHE_LIMIT = 100_000
+#: Tokens whose outcome is kept: the first ones, among them all that are frequent.
+_CACHE_LIMIT = 200_000
 
 
 @dataclass(frozen=True)
@@ -391,9 +392,9 @@ class Scorer:
             try:
                 begins = starts[token]
             except KeyError:
-                if len(starts) > _CACHE_LIMIT:
-                    starts.clear()
-                begins = starts[token] = tuple(reach.step({0}, token)[0] - {0})
+                begins = tuple(reach.step({0}, token)[0] - {0})
+                if len(starts) < _CACHE_LIMIT:
+                    starts[token] = begins
             if not places and not begins:
                 continue
             now: dict[int, int] = {}
@@ -435,9 +436,9 @@ class Scorer:
             try:
                 hit = known[token]
             except KeyError:
-                if len(known) > _CACHE_LIMIT:
-                    known.clear()
-                hit = known[token] = self.look(token)
+                hit = self.look(token)
+                if len(known) < _CACHE_LIMIT:
+                    known[token] = hit
             if hit:
                 if hit[0]:
                     found[hit[1]] = hit[0]
