@@ -75,6 +75,11 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(filled), F.xxhash64(F.lit(0x5BD1E995), filled, F.length(filled))]
 
 
+def fits(df: DataFrame, size: Column, most: int) -> bool:
+    """Whether all rows of ``df``, each of ``size`` bytes and some more, take at most ``most`` bytes."""
+    return (df.agg(F.sum(F.coalesce(size, F.lit(0)) + 48)).first()[0] or 0) <= most
+
+
 #: Rows of a batch that is sent to Python; texts are long, so the default of Spark would be many times a worker's own memory.
 BATCH_ROWS = 2_000
 

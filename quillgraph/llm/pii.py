@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, lean, materialize, objects, others, quoted, small_batches, text_key
+from .common import fits, fresh, lean, materialize, objects, others, quoted, small_batches, text_key
 
 #: Disclosure from which terms are generalised and removed.
 GENERALISE, REMOVE = 0.75, 0.95
@@ -37,8 +37,8 @@ GENERALISE, REMOVE = 0.75, 0.95
 CONTEXT, MIN_JOINT, MIN_TERM = 6, 3, 3
 #: Texts that a term is taken to stand in besides, where an entity is in fewer than MIN_JOINT.
 PRIOR = 1
-#: Rows up to which the table of revealing terms is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which terms, or keys of repeated texts, are broadcast; more are joined by shuffling.
+BROADCAST_BYTES = 96_000_000
 
 _SHAPES = {
     "EMAIL": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
@@ -150,12 +150,12 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     rare = F.col("entity").rlike("^[A-Z]+:") & (F.col("n_e") < MIN_JOINT) & F.col("named")
     joint = materialize(joint.withColumn("rare", rare).where(F.col("rare") | (F.col("n_et") >= MIN_JOINT)).drop("named"))
     wanted = joint.select("term").distinct()
-    wanted = F.broadcast(wanted) if joint.count() <= BROADCAST_ROWS else wanted
+    wanted = F.broadcast(wanted) if fits(joint, F.octet_length("term"), BROADCAST_BYTES) else wanted
     # a row of a text that stands in m rows weighs 1 / m, so words need only be added up where they are read
     copies = materialize(docs.where(text != "").groupBy(k1.alias("a"), k2.alias("b")).agg(F.count(F.lit(1)).alias("m")))
     total = copies.agg(F.count(F.lit(1)).alias("n_all"))
     again = copies.where("m > 1")
-    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    again = F.broadcast(again) if fits(again, F.lit(24), BROADCAST_BYTES) else again
     rows = docs.where(text != "").select(k1.alias("a"), k2.alias("b"), text.alias("text")).join(again, ["a", "b"], "left")
     words = rows.select(F.coalesce(1.0 / F.col("m"), F.lit(1.0)).alias("w"), F.explode(corpus_words(F.col("text"))).alias("term"))
     n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.round(F.sum("w")).cast("long").alias("n_t"))
@@ -229,7 +229,8 @@ def sanitise_documents(docs: DataFrame, text_col: str = "text", out: tuple[str,
     a, b, n1, n2, x, y, tmp = fresh(docs, "k1", "k2", "t1", "t2", "removed", "generalised", "pii")
     k1, k2 = text_key(text)
     by_text = by_text.select(F.col("k1").alias(n1), F.col("k2").alias(n2), F.col("removed").alias(x), F.col("generalised").alias(y))
-    by_text = F.broadcast(by_text) if by_text.count() <= BROADCAST_ROWS // 20 else by_text
+    terms_of = F.octet_length(F.array_join(F.concat(x, y), " "))
+    by_text = F.broadcast(by_text) if fits(by_text, terms_of, BROADCAST_BYTES) else by_text
     df = docs.withColumns({a: k1, b: k2}).join(by_text, (F.col(a) == F.col(n1)) & (F.col(b) == F.col(n2)), "left")
 
     @lean

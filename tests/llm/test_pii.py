@@ -100,7 +100,7 @@ def test_odd_rows(odd_docs, no_docs):
 
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_with_and_without_broadcast(spark, monkeypatch, limit):
-    monkeypatch.setattr(pii, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", limit)
     df = spark.createDataFrame(rows(), "doc_id long, text string")
     assert "[EMAIL]" in pii.sanitise_documents(df).where("doc_id = 0").first()["clean"]
 
