@@ -609,7 +609,10 @@ def runs_passed_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.paired_runs(run_metrics(spark, sf_dir))[1].select("questionId", "reason")
 
 
-@query(f"WITH {_PAIRS_SQL} SELECT count(*) AS pairs, {', '.join(f'sum({m}) AS {m}' for m in evaluate.MEASURES if m != 'citation_rate')}, round(avg(citation_rate), 4) AS citation_rate FROM p")
+_WHOLE = dict.fromkeys(("tool_calls", "file_reads", "text_searches", "graph_calls", "fallback", "unknown"), "::BIGINT")
+
+
+@query(f"WITH {_PAIRS_SQL} SELECT count(*) AS pairs, {', '.join(f'sum({m}){_WHOLE.get(m, "")} AS {m}' for m in evaluate.MEASURES if m != 'citation_rate')}, round(avg(citation_rate), 4) AS citation_rate FROM p")
 def total_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.total_difference(paired_runs(spark, sf_dir))
 
