@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import index_tokens, query_prefixes, words
+from ..functions.text import index_tokens, words
 
 K1, B = 1.2, 0.75
 POSTINGS_SCHEMA = "term string, id string, indexed bigint, plain bigint, len int"
 TOTALS_SCHEMA = "n_all bigint, avg_len double"
 
 
-def matches(token: Column, prefixes: list[str]) -> list[Column]:
-    return [token.startswith(p) for p in prefixes]
-
-
 def bm25(docs: DataFrame, id_col: str, text_col: str, prefixes: list[str], indexed: bool = False) -> DataFrame:
     """id, score of the texts that hold a token with one of ``prefixes``.
 
@@ -82,9 +78,3 @@ def _scored(rows: DataFrame, totals: DataFrame, n: int) -> DataFrame:
         tf = F.col(f"tf{i}")
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return joined.select("id", score.alias("score"))
-
-
-def search(docs: DataFrame, id_col: str, text_col: str, query: str, limit: int) -> DataFrame:
-    """rank, id, score of the best texts for a query in words."""
-    top = bm25(docs, id_col, text_col, query_prefixes(query), indexed=True).orderBy(F.desc("score"), "id").limit(limit)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # at most limit rows

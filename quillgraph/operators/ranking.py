@@ -1,4 +1,4 @@
-"""Rankings: reciprocal-rank fusion, best rows of groups, interleaving, even samples."""
+"""Rankings: reciprocal-rank fusion, best rows of groups, even samples."""
 
 from __future__ import annotations
 
@@ -20,22 +20,6 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def turns(df: DataFrame, group: str, order: list[Column], turn: str = "turn", seen: str = "seen") -> DataFrame:
-    """Each row's turn in its group, and the sort key of its group's first row.
-
-    Sorted by the two, rows come in rounds: the k-th of every group before any
-    (k+1)-th, groups as first seen.  No total order is built for it.
-    """
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn(turn, F.row_number().over(w)).withColumn(seen, F.first(F.struct(*order)).over(w))
-
-
-def round_robin(df: DataFrame, group: str, order: list[Column], limit: int, position: str = "position") -> DataFrame:
-    """The first ``limit`` rows of the rounds, with their positions from 1."""
-    first = turns(df, group, order, "__turn", "__seen").orderBy("__turn", "__seen").limit(limit)
-    return first.withColumn(position, F.row_number().over(Window.orderBy("__turn", "__seen"))).drop("__turn", "__seen")  # at most limit rows
-
-
 def even_sample(df: DataFrame, group: str, order: list[Column], n: int = 12) -> DataFrame:
     """At most n rows of each group, at evenly spaced places, the first and last among them."""
     w = Window.partitionBy(group)

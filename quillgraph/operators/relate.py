@@ -1,4 +1,4 @@
-"""Relations between versions and between items: changes, similar pairs, sessions."""
+"""Relations between versions and between items: differences, similar pairs, nearest neighbours."""
 
 from __future__ import annotations
 
@@ -102,12 +102,3 @@ def jaccard_pairs(items: DataFrame, key: str, tokens: str) -> DataFrame:
     common = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - common
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.when(union > 0, common / union).otherwise(F.lit(0.0)).alias("jaccard"))
-
-
-def sessions(events: DataFrame, who: str, when: str, tie: str, gap: str) -> DataFrame:
-    """who, session, events, started, ended: runs of events without a pause over ``gap``."""
-    w = Window.partitionBy(who).orderBy(when, tie)
-    fresh = F.when(F.col(when) - F.lag(when).over(w) <= F.expr(gap), 0).otherwise(1)
-    marked = events.select(who, when, tie, fresh.alias("__fresh"))
-    numbered = marked.withColumn("session", F.sum("__fresh").over(w))
-    return numbered.groupBy(who, "session").agg(F.count(F.lit(1)).alias("events"), F.min(when).alias("started"), F.max(when).alias("ended"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors
 from ..model import Config, GraphTables
-from ..operators import context, diff, evaluate, export, extract, fts, graph, health, nodes, relate, resolve, search
+from ..operators import context, diff, evaluate, export, extract, fts, graph, health, nodes, resolve, search
 from ..sources.store import counts
 from ..streaming import watch
 from . import dsl
