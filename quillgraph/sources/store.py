@@ -149,7 +149,8 @@ class GraphStore:
         """Indexes what changed: only files whose content differs are parsed again.
 
         ``files``: path, modified, length, content.  Derived edges between
-        documents that remain are carried over.
+        documents that remain are carried over.  Where nothing changed since the
+        last version, it stays.
         """
         from .markdown import parse_files
 
@@ -161,6 +162,10 @@ class GraphStore:
         same, fresh = self.reparse(files, parse or parse_files)
         gone = old.extra["parsed"].join(files.select("path"), "path", "left_anti").count()
         kept = same.count()
+        about_files = files.agg(F.count(F.lit(1)).alias("n"), F.max("modified").alias("latest")).first()
+        indexed = old.documents.agg(F.min(F.to_timestamp("indexed_at"))).first()[0]
+        if kept == about_files["n"] and not gone and (not kept or indexed is not None and about_files["latest"] <= indexed):  # else times are to be renewed
+            return old, {"parsed": 0, "kept": kept, "deleted": 0}
         staged = f"{self.root}/staged-{uuid.uuid4().hex}"
         same.unionByName(fresh).write.parquet(staged)
         stored = self.spark.read.schema(PARSED_SCHEMA).parquet(staged)

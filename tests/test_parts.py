@@ -95,6 +95,15 @@ def test_stored_postings_give_the_same_scores(spark, tmp_path):
     assert "StringStartsWith(term,session)" in plan
 
 
+def test_a_refresh_without_changes_writes_nothing(spark, tmp_path):
+    p = Project(spark, corpus.write(tmp_path))
+    p.index()
+    version = p.store.current()["version"]
+    assert p.index() == {"parsed": 0, "kept": 6, "deleted": 0} and p.store.current()["version"] == version
+    (tmp_path / "docs/guide.md").write_text("# Guide\n\nnew words\n")
+    assert p.index() == {"parsed": 1, "kept": 5, "deleted": 0} and p.store.current()["version"] != version
+
+
 def test_lookups_skip_what_they_dont_need(spark, tmp_path):
     p = Project(spark, corpus.write(tmp_path))
     p.index()

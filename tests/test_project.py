@@ -161,7 +161,7 @@ def test_incremental_refresh(spark, tmp_path):
     for name, df in p.graph.items():
         drop = [c for c in ("created_at", "indexed_at") if c in df.columns]
         assert sorted(map(str, df.drop(*drop).collect())) == sorted(map(str, getattr(fresh.graph, name).drop(*drop).collect()))
-    assert p.store.prune() >= 2 and p.store.load().documents.count() == 6
+    assert p.store.prune() == 1 and p.store.load().documents.count() == 6
 
 
 def test_exports(project, tmp_path):
