@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import replace
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -641,6 +643,17 @@ SELECT doc_id, CASE WHEN length(text) <= room THEN text WHEN room <= 3 THEN subs
 )
 def packed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What fits a budget of 50000 characters, the text that crosses it cut."""
-    rows = table(spark, sf_dir, "documents").where("length(text) > 0").orderBy("doc_id").limit(50_000).select("doc_id", "text").collect()  # no more fit, as each has a character
-    items = [context.Candidate(str(r["doc_id"]), "", "", "", r["text"], 0.0, True, "") for r in rows]
-    return spark.createDataFrame([(int(c.node_id), c.content) for c in context.pack(items, 50_000)[0]], "doc_id bigint, content string")
+    docs = table(spark, sf_dir, "documents").where("length(text) > 0").withColumn("n", F.length("text"))
+    order, budget, most = [F.col("doc_id").asc_nulls_last(), F.col("n")], 50_000, 500
+    while True:  # lengths alone, until they fill the budget; at most 50000 rows, as each has a character
+        lengths = docs.select("doc_id", "n").orderBy(*order).limit(most).collect()
+        sums = list(accumulate(r["n"] for r in lengths))
+        if len(lengths) < most or sums[-1] >= budget:
+            break
+        most = min(budget, most * 10)
+    fit = bisect.bisect_left(sums, budget) + 1  # texts up to the one that crosses the budget; what is beyond it is never taken
+    if lengths and (last := lengths[: fit][-1]["doc_id"]) is not None:
+        docs = docs.where(F.col("doc_id") <= last)
+    rows = docs.orderBy(*order).limit(fit).select("doc_id", F.substring("text", 1, budget + 1).alias("text")).collect()  # under 100001 characters
+    items = [context.Candidate(str(i), "", "", "", r["text"], 0.0, True, "") for i, r in enumerate(rows)]
+    return spark.createDataFrame([(rows[int(c.node_id)]["doc_id"], c.content) for c in context.pack(items, budget)[0]], "doc_id bigint, content string")
