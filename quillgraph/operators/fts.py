@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import index_tokens, words
+from ..functions.text import count_index_tokens, count_prefix, count_words, fold, has_prefix, index_tokens, is_simple, words
 
 K1, B = 1.2, 0.75
 POSTINGS_SCHEMA = "term string, id string, indexed bigint, plain bigint, len int"
@@ -16,22 +16,19 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, prefixes: list[str], index
     """id, score of the texts that hold a token with one of ``prefixes``.
 
     A phrase is a prefix; its weight is ln((N - n + .5) / (n + .5)), 1e-6 where
-    that is not positive.  Scores are positive, greater is better.  Term
-    counts are taken by one pass of higher-order functions over the tokens
-    of a row, so no row is exploded and only ids and counts are shuffled.
+    that is not positive.  Scores are positive, greater is better.  Prefixes
+    are counted where a text holds them, without making its tokens, and only
+    texts that match are measured a second time; ids and counts are shuffled.
     ``indexed``: match and measure the indexed stream, with CJK n-grams, while
     term frequencies come from the words alone.
     """
     if not prefixes:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    plain = words(F.col(text_col))
-    stream = index_tokens(F.col(text_col)) if indexed else plain
-    count = lambda tokens, p: F.size(F.filter(tokens, lambda t: t.startswith(p)))
-    begins = lambda p: F.exists("stream", lambda t: t.startswith(p))
-    hit = [begins(p) if indexed else F.col(f"tf{i}") > 0 for i, p in enumerate(prefixes)]
-    rows = docs.select(F.col(id_col).alias("id"), stream.alias("stream"), plain.alias("plain"))
-    rows = rows.select("id", "stream", F.size("stream").alias("len"), *[count(F.col("plain"), p).alias(f"tf{i}") for i, p in enumerate(prefixes)])
-    rows = rows.select("id", "len", *[F.col(f"tf{i}") for i in range(len(prefixes))], *[h.alias(f"hit{i}") for i, h in enumerate(hit)])
+    text = F.col(text_col)
+    tf = [count_prefix(text, p) for p in prefixes]
+    hit = [has_prefix(text, p) if indexed else n > 0 for n, p in zip(tf, prefixes)]
+    length = count_index_tokens(text) if indexed else count_words(text)
+    rows = docs.select(F.col(id_col).alias("id"), length.alias("len"), *[n.alias(f"tf{i}") for i, n in enumerate(tf)], *[h.alias(f"hit{i}") for i, h in enumerate(hit)])
     totals = rows.agg(F.count(F.lit(1)).alias("n_all"), F.avg("len").alias("avg_len"), *[F.sum(F.col(f"hit{i}").cast("bigint")).alias(f"n{i}") for i in range(len(prefixes))])
     return _scored(rows, totals, len(prefixes))
 
@@ -42,15 +39,37 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     How often the term stands in the indexed stream and among the plain words
     of the text, and the length of the stream.
     """
-    rows = docs.select(F.col(id_col).alias("id"), index_tokens(F.col(text_col)).alias("stream"), words(F.col(text_col)).alias("plain"))
-    tagged = lambda c, kind: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(kind).alias("i")))
-    both = rows.select("id", F.size("stream").alias("len"), F.inline(F.concat(tagged("stream", 1), tagged("plain", 0))))
-    return both.groupBy("term", "id").agg(F.sum("i").alias("indexed"), F.sum(1 - F.col("i")).alias("plain"), F.first("len").alias("len"))
+    text, t, kind = F.col(text_col), F.col("t"), F.col("kind")
+    rows = docs.select(F.col(id_col).alias("id"), words(text).alias("plain"), F.when(~is_simple(text), index_tokens(text)).alias("stream"))
+    part = lambda kind, tokens: F.struct(F.lit(kind).alias("kind"), F.col(tokens).alias("tokens"))
+    parts = F.when(F.col("stream").isNull(), F.array(part("both", "plain"))).otherwise(F.array(part("stream", "stream"), part("plain", "plain")))
+    tokens = rows.select("id", F.size(F.coalesce("stream", "plain")).alias("len"), F.inline(parts)).select("id", "len", "kind", F.explode("tokens").alias("t"))
+    tokens = tokens.withColumn("f", F.when((kind == "both") & (F.length(t) < F.octet_length(t)), fold(t)).otherwise(t))
+    row = lambda term, i, p: F.struct(F.col(term).alias("term"), F.lit(i).alias("i"), F.lit(p).alias("p"))
+    given = F.when(kind == "stream", F.array(row("t", 1, 0))).when(kind == "plain", F.array(row("t", 0, 1))).when(F.col("f") == t, F.array(row("t", 1, 1))).otherwise(F.array(row("f", 1, 0), row("t", 0, 1)))
+    both = tokens.select("id", "len", F.inline(given))
+    return both.groupBy("term", "id").agg(F.sum("i").alias("indexed"), F.sum("p").alias("plain"), F.first("len").alias("len"))
 
 
 def totals(docs: DataFrame, text_col: str) -> DataFrame:
     """n_all, avg_len: one row about all texts."""
-    return docs.agg(F.count(F.lit(1)).alias("n_all"), F.avg(F.size(index_tokens(F.col(text_col)))).alias("avg_len"))
+    return docs.agg(F.count(F.lit(1)).alias("n_all"), F.avg(count_index_tokens(F.col(text_col))).alias("avg_len"))
+
+
+def term_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """term, tf, df: how often a word comes and in how many ids.
+
+    Where no id comes twice, both are counted by terms alone, which are few;
+    else pairs of a term and an id have to be told apart.  Texts without an id
+    count for ``tf``.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("t"))
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        once = F.when(F.col("id").isNotNull(), F.array_distinct("t")).otherwise(F.slice("t", 1, 0))
+        per = rows.select(F.posexplode(F.array("t", once)).alias("k", "t")).select("k", F.explode("t").alias("term"))
+        return per.groupBy("term").agg(F.sum((F.col("k") == 0).cast("bigint")).alias("tf"), F.sum(F.col("k").cast("bigint")).alias("df"))
+    per = rows.select("id", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("term").agg(F.sum("n").alias("tf"), F.count("id").alias("df"))
 
 
 def bm25_postings(stored: DataFrame, about: DataFrame, prefixes: list[str]) -> DataFrame:

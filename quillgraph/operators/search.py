@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import query_prefixes
 from ..functions.vectors import EmbeddingError, cosine, provider
 from ..model import Config, GraphTables
+from ..session import few, materialize
 from . import fts, graph
 from .nodes import owners
 from .ranking import fuse, top_per_group
@@ -69,8 +70,9 @@ def _matched(g: GraphTables, config: Config, names: list[str]) -> list[dict]:
     if not found:
         return []
     ids = list({r["id"] for r in found})
-    own = g.edges.where(F.col("from_id").isin(ids) | F.col("to_id").isin(ids))
-    df = {r["id"]: r["documents"] for r in graph.document_frequency(own, owners(g)).where(F.col("id").isin(ids)).collect()}
+    own = materialize(g.edges.where("kind <> 'CONTAINS'").where(F.col("from_id").isin(ids) | F.col("to_id").isin(ids)))
+    ends = few(own.select(F.col("from_id").alias("id")).union(own.select("to_id")).distinct())
+    df = {r["id"]: r["documents"] for r in graph.document_frequency(own, owners(g).join(ends, "id", "left_semi")).where(F.col("id").isin(ids)).collect()}
     return [r | {"documents": df.get(r["id"], 0)} for r in found]
 
 
@@ -79,13 +81,15 @@ def _definitions(g: GraphTables, matched: list[dict]) -> DataFrame:
     spark = g.edges.sparkSession
     asked = spark.createDataFrame([(i, m["id"]) for i, m in enumerate(matched)], "pos int, to_id string")
     s = g.sections.select(F.col("id").alias("section_id"), F.col("document_id").alias("owner"), "start_line")
-    e = g.edges.where("kind = 'DEFINES'").join(F.broadcast(asked), "to_id")
+    e = few(g.edges.where("kind = 'DEFINES'").join(F.broadcast(asked), "to_id"))
+    s = s.join(e.select(F.col("from_id").alias("section_id")), "section_id", "left_semi")
     rows = e.join(s, e["from_id"] == s["section_id"], "left").withColumn("document_id", F.coalesce("owner", "from_id"))
     rows = rows.join(g.documents.select(F.col("id").alias("document_id"), "path"), "document_id")
-    top = top_per_group(rows, ["pos"], [F.desc("weight"), F.col("path"), F.col("start_line").asc_nulls_first(), F.col("id")], 3, "n")
+    top = materialize(top_per_group(rows, ["pos"], [F.desc("weight"), F.col("path"), F.col("start_line").asc_nulls_first(), F.col("id")], 3, "n"))
+    asked_for = lambda df, c, key: df.join(F.broadcast(top.select(F.col(key).alias(c))), c, "left_semi")  # noqa: E731  three rows a name
     c = g.chunks.select(F.col("id").alias("cid"), F.col("document_id").alias("cd"), F.col("section_id").alias("cs"), "content")
-    by_section = first_by(c, ["cs"], [F.col("cid")]).select(F.col("cs").alias("section_id"), F.col("content").alias("own"))
-    by_document = first_by(c, ["cd"], [F.col("cid")]).select(F.col("cd").alias("document_id"), F.col("content").alias("any"))
+    by_section = first_by(asked_for(c, "cs", "section_id"), ["cs"], [F.col("cid")]).select(F.col("cs").alias("section_id"), F.col("content").alias("own"))
+    by_document = first_by(asked_for(c, "cd", "document_id"), ["cd"], [F.col("cid")]).select(F.col("cd").alias("document_id"), F.col("content").alias("any"))
     full = top.join(by_section, "section_id", "left").join(by_document, "document_id", "left")
     return full.select("document_id", "section_id", F.coalesce("own", "any").alias("content"), (200 + F.col("weight")).alias("base"), F.struct("pos", "n").alias("place"))
 
@@ -156,6 +160,7 @@ def _fused(g: GraphTables, config: Config, channels: list[DataFrame], matched: l
     known = F.array(*[F.struct(*[F.lit(m[f]).alias(f) for f in fields]) for m in unique]).cast(_ENTITY) if unique else F.array().cast(_ENTITY)
     low = F.lower("content")
     inside = F.filter(known, lambda e: low.contains(F.lower(e["name"])) | low.contains(e["normalized_name"]))
+    rows = F.broadcast(materialize(rows))  # 2 * limit rows a channel, which are used twice
     rows = rows.withColumn("entities", inside).join(g.documents.select(F.col("id").alias("document_id"), "path", "title", "type", "status", "trust_tier"), "document_id")
     common = F.filter("entities", lambda e: e["documents"] > config.high_frequency_entity_threshold)
     ranked_down = (F.col("channel") != "definition") & (F.size(common) > 0)
@@ -173,7 +178,8 @@ def _fused(g: GraphTables, config: Config, channels: list[DataFrame], matched: l
         F.array_distinct(F.flatten(F.transform(ordered(F.col("entities")), lambda x: x["v"]))).alias("entities"), F.max("similarity").alias("similarity"),
     )
     sections = g.sections.select(F.col("id").alias("key"), "anchor", "heading", "start_line", "end_line")
-    out = merged.orderBy(F.desc("score"), "seq").limit(limit).join(sections, "key", "left")
+    best = materialize(merged.orderBy(F.desc("score"), "seq").limit(limit))
+    out = best.join(sections.join(F.broadcast(best.select("key")), "key", "left_semi"), "key", "left")  # at most limit rows
     position = F.row_number().over(Window.orderBy(F.desc("score"), "seq"))  # at most limit rows
     return out.select(
         position.alias("rank"), F.col("key").alias("node_id"), "d.document_id", "d.section_id", "d.path", "d.title", "d.type", "d.status", "d.trust_tier", "anchor", "heading", "start_line", "end_line",

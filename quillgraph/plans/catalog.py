@@ -66,9 +66,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM w GROUP BY term"""
 )
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    per = docs.select("doc_id", F.explode(tx.words(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    return fts.term_statistics(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 # -------------------------------------------------------------------- vectors

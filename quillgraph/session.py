@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "quillgraph", cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -31,3 +32,13 @@ def materialize(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgraph-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a table that is taken for small.
+FEW = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` stored, and broadcast where it has at most ``FEW`` rows: counted first, and joined by a shuffle beyond that."""
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= FEW else kept

@@ -1,6 +1,10 @@
 """What keeps queries within bounds on larger tables, and gives the same."""
 
-from quillgraph.operators import context
+import pytest
+from pyspark.sql import functions as F
+
+from quillgraph.functions import text as tx
+from quillgraph.operators import context, fts
 from quillgraph.plans import catalog, catalog_library
 
 
@@ -34,3 +38,38 @@ def test_packing_takes_all_of_few_or_many_short_texts(spark, tmp_path):
 def test_nothing_is_packed_behind_the_text_that_is_cut(spark, tmp_path):
     rows = [(1, "y" * 40_000, "en", "web"), (2, "z" * 9_990 + " " * 20, "en", "web"), (3, "tail", "en", "web")]
     assert packed(spark, documents(spark, tmp_path, rows)) == [(1, "y" * 40_000), (2, "z" * 9_990 + "...")]
+
+
+ODD = ["", None, "aİb İ KİLO Straße ΣΑΣ Žž ǅ Ⅷ", "The the THE then", "café Cafe CAFÉS ecole École", "ユーザー認証 ab ユーザ 한국어 漢 x漢字x", "ab the-the_the thé \U00010400the \U00010428\U00010428 the\U00010428", "—the “nicht” 10the 1٠the", "že ž Žluť ž", "x" * 200 + " the"]
+PREFIXES = ["the", "cafe", "café", "th", "ユー", "認証", "漢字x", "漢", "국어", "1", "\U00010428", "ž", "no such", "the-", "b", "ecole", "aé"]
+
+
+@pytest.mark.parametrize("indexed", [False, True])
+def test_prefixes_are_counted_as_tokens_would_be(spark, indexed):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id long, text string")
+    tokens = {r["id"]: r for r in df.select("id", tx.words(F.col("text")).alias("plain"), tx.index_tokens(F.col("text")).alias("stream")).collect()}
+    cols = [c for i, p in enumerate(PREFIXES) for c in (tx.count_prefix(F.col("text"), p).alias(f"n{i}"), tx.has_prefix(F.col("text"), p).alias(f"h{i}"))]
+    for r in df.select("id", tx.count_words(F.col("text")).alias("words"), tx.count_index_tokens(F.col("text")).alias("tokens"), *cols).collect():
+        own = tokens[r["id"]]
+        assert (r["words"], r["tokens"]) == (len(own["plain"]), len(own["stream"]))
+        for i, p in enumerate(PREFIXES):
+            assert r[f"n{i}"] == sum(t.startswith(p) for t in own["plain"]), (p, own)
+            assert r[f"h{i}"] == any(t.startswith(p) for t in own["stream"]), (p, own)
+
+
+def test_postings_hold_each_token(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id long, text string")
+    want = {}
+    for r in df.select("id", tx.words(F.col("text")).alias("plain"), tx.index_tokens(F.col("text")).alias("stream")).collect():
+        for k, tokens in enumerate((r["stream"], r["plain"])):
+            for t in tokens:
+                want.setdefault((t, r["id"]), [0, 0, len(r["stream"])])[k] += 1
+    got = {(r["term"], r["id"]): [r["indexed"], r["plain"], r["len"]] for r in fts.postings(df, "id", "text").collect()}
+    assert got == want and ("認証", 5) in got and ("漢字", 5) in got
+
+
+def test_texts_with_one_id_or_none_in_term_statistics(spark):
+    rows = [(1, "a a b"), (2, "a"), (None, "b c"), (None, "c")]
+    count = lambda rows: {r["term"]: (r["tf"], r["df"]) for r in fts.term_statistics(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert count(rows) == {"a": (3, 2), "b": (2, 1), "c": (2, 0)}
+    assert count([*rows, (1, "a c")]) == {"a": (4, 2), "b": (2, 1), "c": (3, 1)}
