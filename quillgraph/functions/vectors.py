@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import lean, small_batches
 from .text import search_tokens
 
 _PRIME, _BASIS, _MASK = 16_777_619, 2_166_136_261, 0xFFFFFFFF
@@ -110,7 +111,9 @@ def embed_column(c: Column, name: str, model: str, dimensions: int, batch: int =
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             values = [t or "" for t in texts]
-            out = [v for i in range(0, len(values), batch) for v in embed(values[i : i + batch])]
-            yield pd.Series([np.array(v, np.float32) for v in out], dtype=object)
+            out = [np.array(v, np.float32) for i in range(0, len(values), batch) for v in embed(values[i : i + batch])]
+            yield pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, "array<float>")(c)
+    if (spark := SparkSession.getActiveSession()) is not None:
+        small_batches(spark)  # texts are long
+    return F.pandas_udf(lean(run), "array<float>")(c)

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +48,29 @@ def few(df: DataFrame) -> DataFrame:
     """``df`` stored, and broadcast where it has at most ``FEW`` rows: counted first, and joined by a shuffle beyond that."""
     kept = materialize(df)
     return F.broadcast(kept) if kept.count() <= FEW else kept
+
+
+#: Rows of a batch that is sent to Python; files and texts may be long.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark send rows to Python in batches of at most ``BATCH_ROWS``, for this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, giving memory back to the system at its end: workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.markdown import PARSED_SCHEMA, parse_document
 from ..model import EXCLUDED, Config
+from ..session import lean, small_batches
 
 
 def glob_regex(pattern: str) -> str:
@@ -101,20 +103,42 @@ def narrowed(files: DataFrame, config: Config, ignore_text: str = "") -> DataFra
     return kept.where(~F.col("path").rlike("|".join(f"(?:{glob_regex(g)})" for g in excluded)))
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for path, stamp, content in zip(pdf["path"], pdf["updated_at"], pdf["content"]):
-            try:
-                raw = bytes(content).decode("utf-8", "replace") if not isinstance(content, str) else content
-                rows.append(parse_document(path, raw, stamp))
-            except Exception as e:  # noqa: BLE001  one bad file must not fail the others
-                rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
-        names = [f.split(" ")[0] for f in re.sub(r"<[^<>]*(?:<[^<>]*(?:<[^<>]*>[^<>]*)*>[^<>]*)*>", "", PARSED_SCHEMA).split(", ")]
-        yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+#: Files whose records are held at once.
+SLICE = 100
+
+
+def _record(path: str, stamp: str, content: bytes) -> dict:
+    try:
+        raw = bytes(content).decode("utf-8", "replace") if not isinstance(content, str) else content
+        return parse_document(path, raw, stamp)
+    except Exception as e:  # noqa: BLE001  one bad file must not fail the others
+        return {"path": path, "error": f"{type(e).__name__}: {e}"}
+
+
+def _stored(records: list[dict], kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(records, kind)
+    except (pa.ArrowException, ValueError, TypeError, OverflowError) as e:
+        if len(records) > 1:
+            return pa.concat_arrays([_stored([r], kind) for r in records])
+        return pa.array([{"path": records[0]["path"], "error": f"{type(e).__name__}: {e}"}], kind)
+
+
+def _parser(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    kind = pa.struct(list(schema))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_struct_array(_stored([_record(*row) for row in zip(*(c.to_pylist() for c in part.columns))], kind))
+
+    return lean(parse)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """A nested record for each file; ``error`` says why one could not be parsed, its other columns are null."""
     stamp = F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return files.select("path", stamp.alias("updated_at"), "content").mapInPandas(_parse, PARSED_SCHEMA)
+    small_batches(files.sparkSession)
+    schema = to_arrow_schema(files.sparkSession.createDataFrame([], PARSED_SCHEMA).schema)
+    return files.select("path", stamp.alias("updated_at"), "content").mapInArrow(_parser(schema), PARSED_SCHEMA)

@@ -1,11 +1,18 @@
 """What keeps queries within bounds on larger tables, and gives the same."""
 
+import random
+
+import pyarrow as pa
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
+from quillgraph.functions import markdown as md
 from quillgraph.functions import text as tx
+from quillgraph.functions import vectors
 from quillgraph.operators import context, fts
 from quillgraph.plans import catalog, catalog_library
+from quillgraph.sources import markdown
 
 
 def documents(spark, folder, rows):
@@ -73,3 +80,39 @@ def test_texts_with_one_id_or_none_in_term_statistics(spark):
     count = lambda rows: {r["term"]: (r["tf"], r["df"]) for r in fts.term_statistics(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
     assert count(rows) == {"a": (3, 2), "b": (2, 1), "c": (2, 0)}
     assert count([*rows, (1, "a c")]) == {"a": (4, 2), "b": (2, 1), "c": (3, 1)}
+
+
+def test_plain_front_matter_is_read_as_yaml_reads_it():
+    rng = random.Random(7)
+    words = ["a", "Zé", "x y", "./src/en.ts", "1", "1.5", "true", "Null", "2026-01-01", "a-b_c", "中文", "-", "~", ".5", "a:b", "no", "a  b", "#x", "'q'", "a #b"]
+    plain = 0
+    for _ in range(3_000):
+        lines = [f"{rng.choice(['title', 'tags', 'true', 'x-y'])}:{rng.choice([' ', '  '])}{rng.choice([rng.choice(words), '[' + ', '.join(rng.choices(words, k=2)) + ' ]'])}{rng.choice(['', ' ', chr(13)])}" for _ in range(2)]
+        fast = md._plain_mapping(lines)
+        if fast is not None:
+            plain += 1
+            assert fast == yaml.load("\n".join(lines), Loader=md._Loader), lines  # noqa: S506
+    assert plain > 100
+
+
+def test_files_are_parsed_in_small_slices(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(markdown, "_stored", lambda records, kind, real=markdown._stored: held.append(len(records)) or real(records, kind))
+    schema = markdown.to_arrow_schema(spark.createDataFrame([], md.PARSED_SCHEMA).schema)
+    batch = pa.record_batch({"path": [f"{i}.md" for i in range(2_500)], "updated_at": ["t"] * 2_500, "content": [b"# A"] * 2_500})
+    got = list(markdown._parser(schema)([batch]))
+    assert max(held) == max(b.num_rows for b in got) == markdown.SLICE and sum(b.num_rows for b in got) == 2_500
+
+
+def test_a_record_that_cannot_be_stored_fails_alone(spark):
+    files = [("a.md", b"# A"), ("b.md", b'---\ntitle: "\\ud800"\n---\n# B'), ("c.md", None), ("d.md", b"# D")]
+    df = spark.createDataFrame(files, "path string, content binary").withColumn("modified", F.lit("2026-01-01").cast("timestamp"))
+    got = {r["path"]: r for r in markdown.parse_files(df.coalesce(1)).collect()}
+    assert [p for p in sorted(got) if got[p]["error"] is None] == ["a.md", "d.md"] and got["a.md"]["title"] == "A"
+    assert got["b.md"]["error"].startswith("Unicode") and got["c.md"]["error"].startswith("TypeError")
+
+
+def test_texts_go_to_the_embedder_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    vectors.embed_column(F.col("x"), "local-hash", "local-hash-v1", 8)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000
