@@ -12,7 +12,7 @@ from ..functions.text import estimate_tokens, trim
 from ..functions.vectors import embed_column
 from ..model import EDGE_WEIGHTS, SCHEMAS, Config, GraphTables
 from .extract import extract_entities, kind_of, normal
-from .resolve import all_links, first_by, front_references, posix
+from .resolve import all_links, first_by, first_by_rare, front_references, posix
 
 RELATIONS = {"depends_on": "DEPENDS_ON", "supersedes": "SUPERSEDES", "deprecated_by": "DEPRECATED_BY"}
 
@@ -43,7 +43,7 @@ def build_graph(parsed: DataFrame, config: Config | None = None, indexed_at: str
     """
     config, created = config or Config(), indexed_at or now()
     spark = parsed.sparkSession
-    parsed = first_by(parsed.where("error IS NULL"), ["id"], [F.col("path").desc()])
+    parsed = first_by_rare(parsed.where("error IS NULL"), ["id"], [F.col("path").desc()])
     front = F.col("front")
     metadata = F.to_json(F.struct(front["trust_tier"].alias("declaredTrustTier"), front["id"].alias("frontmatterId"), F.coalesce(front["tags"], F.array().cast("array<string>")).alias("tags")))
     documents = parsed.select(
@@ -51,7 +51,7 @@ def build_graph(parsed: DataFrame, config: Config | None = None, indexed_at: str
         F.coalesce(front["trust_tier"], F.lit("authored")).alias("trust_tier"), "updated_at", F.lit(created).alias("indexed_at"), F.coalesce(front["tags"], F.array().cast("array<string>")).alias("tags"), metadata.alias("metadata_json"),
     )
     placed = parsed.select(F.col("id").alias("document_id"), F.posexplode("sections").alias("i", "s"))
-    sections = first_by(placed.select("s.id", "document_id", "s.anchor", "s.heading", "s.level", "s.start_line", "s.end_line", "s.content", "i"), ["id"], [F.col("i").desc()])
+    sections = first_by_rare(placed.select("s.id", "document_id", "s.anchor", "s.heading", "s.level", "s.start_line", "s.end_line", "s.content", "i"), ["id"], [F.col("i").desc()])
     chunk = stable_id("chunk", F.concat("id", F.lit(":content")))
     chunks = sections.select(
         chunk.alias("id"), "document_id", F.col("id").alias("section_id"), "content", estimate_tokens(F.col("content")).alias("token_estimate"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify, trim
+from ..session import few
 
 
 def posix(c: Column) -> Column:
@@ -124,3 +125,20 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def first_by_rare(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """As ``first_by``, for wide rows whose keys seldom come twice: only rows of such keys are sent and sorted."""
+    twice = df.groupBy(*keys).count().where("count > 1").drop("count")
+    if twice.isEmpty():
+        return df
+    twice = few(twice)
+    alone = df.join(twice, keys, "left_anti").select(*df.columns)
+    return alone.where(~_null(keys)).union(first_by(df.join(twice, keys, "left_semi").select(*df.columns).union(df.where(_null(keys))), keys, order))
+
+
+def _null(keys: list[str]) -> Column:
+    out = F.lit(False)
+    for k in keys:
+        out = out | F.col(k).isNull()
+    return out

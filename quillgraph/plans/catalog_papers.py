@@ -6,13 +6,15 @@ wiki links, code.  So the whole way from text to warnings is compared.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Config, GraphTables
 from ..operators import extract, health, resolve
 from ..operators.build import build_graph
-from ..session import materialize
+from ..session import stored
 from ..sources.markdown import parse_files
 from .registry import query
 from .starmap import table
@@ -54,7 +56,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(parse_files(papers(spark, sf_dir)))
+    return stored(parse_files(papers(spark, sf_dir)))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, GraphTables]:
@@ -62,6 +64,13 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, GraphTables]:
     return parsed, build_graph(parsed, Config(), "2026-02-01T00:00:00.000Z")
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, GraphTables]:
+    """As ``graph``, its tables stored, as an examination reads them again and again."""
+    parsed, g = graph(spark, sf_dir)
+    names = ("documents", "sections", "entities", "source_refs", "edges", "chunks")
+    return parsed, replace(g, **{n: stored(getattr(g, n)) for n in names})
+
+
 def _joined(c: str) -> Column:
     return F.array_join(c, ",").alias(c.rsplit(".", 1)[-1])
 
@@ -147,7 +156,7 @@ UNION ALL SELECT 'storage.high_degree_node', NULL, NULL, coalesce((SELECT DISTIN
 )
 def doctor_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every warning of a whole examination."""
-    parsed, g = graph(spark, sf_dir)
+    parsed, g = indexed(spark, sf_dir)
     return health.run_doctor(parsed, g).warnings.select("code", "path", "line", "label")
 
 
@@ -168,5 +177,5 @@ SELECT * FROM h"""
 )
 def health_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of documents for the filter language; all active ones define Part."""
-    parsed, g = graph(spark, sf_dir)
+    parsed, g = indexed(spark, sf_dir)
     return health.health_states(health.run_doctor(parsed, g), g)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import markdown as md
 from quillgraph.functions import text as tx
 from quillgraph.functions import vectors
-from quillgraph.operators import context, fts
+from quillgraph.operators import context, fts, resolve
 from quillgraph.plans import catalog, catalog_library
 from quillgraph.sources import markdown
 
@@ -116,3 +116,15 @@ def test_texts_go_to_the_embedder_in_small_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     vectors.embed_column(F.col("x"), "local-hash", "local-hash-v1", 8)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000
+
+
+def test_only_rows_of_repeated_keys_are_sorted(spark):
+    rows = [(i, i, "x") for i in range(50)] + [(7, 1, "y"), (7, 99, "z"), (None, 2, "n"), (None, 1, "m")]
+    order = [F.col("at")]
+    for given in (rows, rows[:50], rows[:50] + rows[-1:], rows[:50] + rows[-2:]):
+        df = spark.createDataFrame(given, "id long, at long, t string")
+        as_before = resolve.first_by(df, ["id"], order)
+        got = resolve.first_by_rare(df, ["id"], order)
+        assert sorted(map(str, got.collect())) == sorted(map(str, as_before.collect()))
+    plain = resolve.first_by_rare(spark.createDataFrame(rows[:50], "id long, at long, t string"), ["id"], order)
+    assert "Window" not in plain._jdf.queryExecution().optimizedPlan().toString()
